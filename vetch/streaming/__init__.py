@@ -1,0 +1 @@
+"""Nothing streams here: a run reads a bounded folder, and a refresh is a new run."""
