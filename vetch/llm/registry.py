@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, quality, simhash_dedup
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op7_simhash": simhash_dedup.op7_simhash,
+        "op9_quality": quality.op9_quality,
     }
 
 
