@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, simhash_dedup
+import corpus_pipeline
+
+from . import exact_dedup, mixing, pieces, quality, simhash_dedup
 
 
 def queries():
@@ -10,7 +12,9 @@ def queries():
         "op1_mixing": mixing.op1_mixing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op7_simhash": simhash_dedup.op7_simhash,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_quality": quality.op9_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
