@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, mixing, pieces, quality, simhash_dedup
+from . import exact_dedup, mixing, pieces, quality, secrets, simhash_dedup
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_secrets": secrets.op2_secrets,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op7_simhash": simhash_dedup.op7_simhash,
         "op8_sentencepiece": pieces.op8_sentencepiece,
@@ -21,5 +22,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_mixing": mixing.ORACLE_OP1,
+        "op2_secrets": secrets.ORACLE_OP2,
         "op3_exact_dedup": exact_dedup.ORACLE_OP3,
     }
