@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, mixing, pieces, quality, secrets, simhash_dedup, substring_dedup, syncmers
+from . import exact_dedup, lm, mixing, pieces, quality, secrets, simhash_dedup, substring_dedup, syncmers
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op7_simhash": simhash_dedup.op7_simhash,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_quality": quality.op9_quality,
+        "op10_lm": lm.op10_lm,
         "pipeline": corpus_pipeline.run,
     }
 
