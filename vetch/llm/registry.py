@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, lm, mixing, pieces, quality, secrets, simhash_dedup, substring_dedup, syncmers
+from . import exact_dedup, line_dedup, lm, mixing, pieces, quality, secrets, simhash_dedup, substring_dedup, syncmers
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_syncmers": syncmers.op4_syncmers,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_simhash": simhash_dedup.op7_simhash,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_quality": quality.op9_quality,
