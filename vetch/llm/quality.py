@@ -94,14 +94,13 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
 
     rows = labelled.select("text", "label", F.xxhash64("doc_id", "text").alias("order"), F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).alias("shard"))
     parts = rows.groupBy("shard").applyInArrow(fit, "place long, weight double, shard long")
-    found = parts.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("shard", "weight"))).alias("w"), F.count("*")).toPandas()  # at most 2 ** BITS + 1 rows
-    weights, bias, shards = np.zeros(1 << BITS), 0.0, 1
-    for place, w in zip(found["place"], found["w"]):
-        total = sum(x["weight"] for x in w)
-        if place < 0:
-            bias, shards = total, len(w)
-        else:
-            weights[place] = total
+    # Added up in the order of the shards, so that reruns agree; at most 2 ** BITS + 1 rows come to the driver.
+    total = F.aggregate(F.sort_array(F.collect_list(F.struct("shard", "weight"))), F.lit(0.0), lambda a, x: a + x["weight"])
+    found = parts.groupBy("place").agg(total.alias("weight"), F.count("*").alias("n")).toArrow()
+    place, weight, n = (found[c].to_numpy() for c in ("place", "weight", "n"))
+    weights, biases = np.zeros(1 << BITS), place < 0
+    weights[place[~biases]] = weight[~biases]
+    bias, shards = float(weight[biases].sum()), max(1, int(n[biases].sum()))
     return weights / shards, bias / shards
 
 
