@@ -36,10 +36,9 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     return fits.groupBy("slot").agg(F.min(F.struct("depth", "bucket")).alias("b")).select("slot", "b.depth", "b.bucket")
 
 
-def _keyed(docs: DataFrame, hash_bits: int) -> DataFrame:
-    keyed = docs.select(F.col("doc_id"), ascii_lower(text_of()).alias("norm"))
-    h = F.xxhash64("norm")
-    return keyed.withColumn("h", h if hash_bits == 64 else F.shiftleft(_slot(h, hash_bits), 64 - hash_bits))
+def _hash(bits: int, norm: str) -> Column:
+    h = F.xxhash64(norm)
+    return h if bits == 64 else F.shiftleft(_slot(h, bits), 64 - bits)
 
 
 def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> DataFrame:
@@ -47,7 +46,8 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
     Fewer hash_bits make hashes collide, for tests.
     """
-    entries = _keyed(docs, hash_bits).groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    keyed = docs.select("doc_id", ascii_lower(text_of()).alias("norm")).withColumn("h", _hash(hash_bits, "norm"))
+    entries = keyed.groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     entries = cut(entries.select("h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"))
     chain = Window.partitionBy("h").orderBy("sha")
     placed = entries.withColumn("chain", F.row_number().over(chain))
@@ -59,28 +59,28 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     return cut(owners.select("bucket", "depth", "h", "chain", "sha", "keep_id", "group_size"))
 
 
-def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> DataFrame:
-    """The rows of docs (doc_id, text) with keep_id, group_size, kept and text_sha256.
+RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
+
+
+def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hash_bits: int = 64, columns: list[str] | None = None) -> DataFrame:
+    """The rows of docs (doc_id, text), with their ``columns`` (default: all), and keep_id, group_size, kept and text_sha256.
 
     Texts are equal when they are after lower-casing A-Z; null counts as empty. The row with the largest doc_id of its group
     stays, and of repeated rows with that id one. A null doc_id is smaller than any other; where a whole group has none, keep_id is
-    null and one row stays. All columns of docs are returned; those named like a result are replaced.
+    null and one row stays. Columns named like a result are replaced. An empty table gives no rows.
     """
     index = build_index(docs, capacity, max_depth, hash_bits)
-    base = [c for c in docs.columns if c not in ("h", "sha", "keep_id", "group_size", "kept", "text_sha256")]
-    norm = ascii_lower(text_of())
-    h = F.xxhash64("_norm")
-    rows = docs.select(*base).withColumn("_norm", norm).withColumn("h", h if hash_bits == 64 else F.shiftleft(_slot(h, hash_bits), 64 - hash_bits))
-    rows = rows.withColumn("sha", F.sha2("_norm", 256)).drop("_norm")
+    base = [c for c in (columns or docs.columns) if c not in RESULTS]
+    rows = docs.select(F.struct(*base).alias("_doc"), "doc_id", ascii_lower(text_of()).alias("_norm"))
+    rows = rows.select("_doc", "doc_id", _hash(hash_bits, "_norm").alias("h"), F.sha2("_norm", 256).alias("sha"))
     found = skew_left_join(rows, index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"], "group_size", "doc_id")
     once = F.row_number().over(Window.partitionBy("_key", "_done", "h", "sha", "doc_id").orderBy(F.lit(1))) == 1
     found = found.withColumn("kept", once & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return found.select(*base, "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+    return found.select("_doc.*", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_groups(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
 ORACLE_OP3 = """

@@ -65,26 +65,26 @@ def _time(c: Column, target: Column, schedule: Column, weight: Column, phases: i
     return found
 
 
-def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """The rows of docs with source_size, target, taken and placements.
-
-    docs has doc_id, source and either text or size (words; computed from text where it is missing). Columns keep their values;
-    those named like a result are replaced. ``taken`` is how many words of the document the mix takes, repeats counted;
-    ``placements`` has (epoch, words, time) for each time the document is taken. The last document that a source gives
-    may be taken in part, so that a source's words come within one word of its target. Null and empty texts have size 0 and are
-    never taken; an empty table gives an empty result; repeated rows are documents of their own.
+def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, max_epochs: float = MAX_EPOCHS, size: str | None = None) -> DataFrame:
+    """The rows of docs with size, source_size, target, taken and placements.
+
+    docs has doc_id, source and either text, whose words are counted, or a column ``size`` of sizes. All columns stay; those named
+    like a result are replaced. ``taken`` is how many words of the document the mix takes, repeats counted; ``placements`` has
+    (epoch, words, time) for each time the document is taken. The last document that a source gives may be taken in part, so
+    that a source's words come within one word of its target. Null and empty texts have size 0 and are never taken; an empty table
+    gives an empty result; repeated rows are documents of their own.
     """
-    if "size" not in docs.columns:
-        docs = docs.withColumn("size", word_count(F.col("text")))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    docs = docs.drop("source_size", "target", "taken", "placements").withColumn("_order", key).withColumn("_slice", F.substring("_order", 1, 3))
-    slices = docs.groupBy("source", "_slice").agg(F.sum("size").alias("_words"))
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "placements")]
+    sizes = F.coalesce(F.col(size), F.lit(0)).cast("long") if size else word_count(F.col("text"))
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    d = docs.select(F.struct(*kept).alias("_doc"), "doc_id", "source", sizes.alias("size"), order.alias("_order"), F.substring(order, 1, 3).alias("_slice"))
+    slices = d.groupBy("source", "_slice").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
     targets = source_targets(slices.groupBy("source").agg(F.sum("_words").alias("source_size")), schedules, share, max_epochs)
     targets = targets.withColumnRenamed("source", "_source")
-    slices = slices.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumnsRenamed({"source": "_s", "_slice": "_n"})
-    d = docs.join(slices, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_n")))
+    slices = slices.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_words").withColumnsRenamed({"source": "_s", "_slice": "_n"})
+    d = d.join(slices, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_n")))
     running = Window.partitionBy("source", "_slice").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_start", F.col("_before") + F.coalesce(F.sum("size").over(running), F.lit(0)))
     epochs, phases = math.ceil(max_epochs), len(schedules[0])
@@ -97,18 +97,19 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, max_epochs:
         places.append(F.when(words > 0, F.struct(F.lit(e).alias("epoch"), words.cast("long").alias("words"), time.alias("time"))))
     d = d.withColumn("placements", F.filter(F.array(*places), lambda p: p.isNotNull()))
     d = d.withColumn("taken", F.aggregate("placements", F.lit(0).cast("long"), lambda a, p: a + p["words"]))
-    return d.drop("_order", "_slice", "_s", "_n", "_words", "_before", "_start", "schedule", "weight")
+    return d.select("_doc.*", "size", "source_size", "target", "taken", "placements")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """A row for each placement of what mix() returned, in range-sorted training order (time, then doc_id)."""
-    return mixed.withColumn("_p", F.explode("placements")).select("*", "_p.epoch", "_p.words", "_p.time").drop("_p", "placements").orderBy("time", "doc_id", "epoch")
+    """A row for each placement of what mix() returned, in range-sorted training order (time, then doc_id); columns named epoch, words and time are replaced."""
+    rows = mixed.drop("epoch", "words", "time").withColumn("_p", F.explode("placements"))
+    return rows.select("*", "_p.epoch", "_p.words", "_p.time").drop("_p", "placements").orderBy("time", "doc_id", "epoch")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    mixed = mix(sized).withColumn("first_time", F.get("placements", F.lit(0))["time"])
+    mixed = mix(sized, size="size").withColumn("first_time", F.get("placements", F.lit(0))["time"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_time").orderBy("first_time", "doc_id")
 
 
