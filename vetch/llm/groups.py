@@ -25,7 +25,7 @@ def grouped(docs: DataFrame, rows: int, size: int = GROUP, *more: Column) -> tup
     """(grp, doc_id, text) for ``rows`` documents, null ids as FIRST and null texts as empty; and the number of bits of a shard."""
     n = max(1, -(-rows // size))
     out = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), text_of().alias("text"), *more)
-    return out.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), min(16, max(3, (n // 16).bit_length()))
+    return out.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), min(16, max(3, (n // 2).bit_length()))
 
 
 def ask(grp: int, shards: np.ndarray, bits: int, keys: np.ndarray, *extra: np.ndarray, width: int = 8) -> pa.Table:
