@@ -66,12 +66,16 @@ def pptx(slides: list[tuple[list[str], list[str], bool]]) -> bytes:
     return _zip(parts)
 
 
+#: What stands for brackets and backslashes in a PDF string.
+ESCAPES = {40: r"\(", 41: r"\)", 92: r"\\"}
+
+
 def pdf(pages: list[list[str]], flate: bool = True) -> bytes:
     """Pages of blocks; lines of a block are its line ends, blocks are set apart by an empty line."""
     objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /Kids [{' '.join(f'{3 + 2 * k} 0 R' for k in range(len(pages)))}] >>"]
     out = [b"%PDF-1.4\n"] + [f"{n} 0 obj\n{o}\nendobj\n".encode() for n, o in enumerate(objects, 1)]
     for k, blocks in enumerate(pages):
-        shown = "\n".join("\n".join(f"({line.translate({40: r'\\(', 41: r'\\)', 92: r'\\\\'})}) Tj T*" for line in b.split("\n")) + " T*" for b in blocks)
+        shown = "\n".join("\n".join(f"({line.translate(ESCAPES)}) Tj T*" for line in b.split("\n")) + " T*" for b in blocks)
         stream = f"BT\n{shown}\nET".encode("latin-1") if blocks else b""
         body = zlib.compress(stream) if flate else stream
         out.append(f"{3 + 2 * k} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * k} 0 R >>\nendobj\n".encode())

@@ -54,6 +54,7 @@ class Service:
         return run.refresh(self.spark, self.store, self.deliverables, from_run, name, input_dir, kind, generate)
 
     def status(self, run_id: str) -> dict:
+        self._run(run_id)
         return self._rows("readiness", run_id).first().asDict()
 
     def next_action(self, run_id: str) -> dict:
