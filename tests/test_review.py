@@ -55,11 +55,11 @@ def test_planted_defects_are_found(first):
 
 def test_artifacts(first):
     at = first["path"]
-    for name in ("01_source-packet/source-packet.md", "01_source-packet/conflict-log.json", "02_artifact-spec/artifact-spec.md", "03_verification/trust-report.json", "03_verification/review-queue.md", "03_verification/verification-report.md", "03_verification/link-suggestions.md", "03_verification/calculation-repair-packet.json", "04_export/general-export-refusal.md"):
+    for name in ("01_source-packet/source-packet.md", "01_source-packet/conflict-log.json", "02_artifact-spec/artifact-spec.md", "03_verification/trust-report.json", "03_verification/review-queue.md", "03_verification/verification-report.md", "03_verification/evidence-link-suggestions.md", "03_verification/calculation-repair-packet.json", "04_export/general-export-refusal.md"):
         assert os.path.getsize(os.path.join(at, name)), name
     claims = json.load(open(f"{at}/03_verification/claims.json"))
     assert {c["name"] for c in claims} == {"summary-draft.docx"}
-    links = json.load(open(f"{at}/03_verification/link-suggestions.json"))
+    links = json.load(open(f"{at}/03_verification/evidence-link-suggestions.json"))
     assert links and all(x["confidence"] > 0 and x["rank"] <= 3 for x in links)
     assert not os.path.exists(f"{at}/04_export/final-output.md")
 
@@ -69,7 +69,7 @@ def test_decisions_and_refresh(service, place, first):
     assert service.status(run_id)["state"] == "blocked" and "must_fix" in service.next_action(run_id)["next_action"]
     assert service.get_verification_report(run_id).startswith("# Verification report")
     claim = json.load(open(f"{first['path']}/03_verification/claims.json"))[0]
-    link = service.get_link_suggestions(run_id)[0]
+    link = service.get_evidence_link_suggestions(run_id)[0]
     out = service.attach_support(run_id, claim["claim_id"], link["evidence_id"], "audited ledger", "reviewer", "same subject")
     subject = [f for f in out["findings"] if f.get("subject") == claim["claim_id"] and f["rule_id"] == "no_attribution"]
     assert not subject and out["blocking"] == first["blocking"] - 1

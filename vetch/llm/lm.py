@@ -33,7 +33,7 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 class _Keys(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = k = xxhash.xxh64_intdigest(word)
         return k

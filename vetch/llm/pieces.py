@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ UNKNOWN_PENALTY = 10.0
 #: Chunks of up to so many bytes are segmented together, longer ones one at a time.
 WIDE = 64
 #: Chunks that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 80_000
 
 
 def read_model(path: str = MODEL) -> dict:
@@ -199,14 +200,19 @@ class Encoder:
         return out.removeprefix(b" ").decode("utf-8", "replace")
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def _shared(spark: SparkSession, path: str):
     model = spark.sparkContext.broadcast(read_model(path))
-    made: list[Encoder] = []
+    number = uuid.uuid4().hex
 
     def encoder() -> Encoder:
-        if not made:
-            made.append(Encoder(model.value))
-        return made[0]
+        """The worker's encoder; one is kept from task to task."""
+        if number not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[number] = Encoder(model.value)
+        return _ENCODERS[number]
 
     return encoder
 
@@ -224,7 +230,8 @@ def encode(spark: SparkSession, text: Column, model: str = MODEL) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoder()
         for texts in batches:
-            yield pd.Series([x for part in _parts(texts) for x in e.encode([t or "" for t in part])], dtype=object)
+            for part in _parts(texts):
+                yield pd.Series(e.encode([t or "" for t in part]), dtype=object)
 
     return ids(text)
 
@@ -251,11 +258,11 @@ def digest(spark: SparkSession, text: Column, model: str = MODEL) -> Column:
         e = encoder()
         in_bytes = np.isin(np.arange(len(e.surface)), list(e.byte_ids))
         for texts in batches:
-            rows = []
             for part in _parts(texts):
+                rows = []
                 for t, x in zip(part, e.encode([t or "" for t in part])):
                     rows.append((len(x), int(in_bytes[x].sum()), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), e.decode(x) == (t or "")))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_byte_tokens", "ids_sha256", "decoded"])
+                yield pd.DataFrame(rows, columns=["n_tokens", "n_byte_tokens", "ids_sha256", "decoded"])
 
     return of(text)
 

@@ -24,9 +24,11 @@ from .common import cut, table, text_of
 BITS = 18
 MASK = (1 << BITS) - 1
 #: At most so many labelled rows are used to fit; with more, those with the smallest hash of the id.
-MAX_TRAIN, SHARDS, EPOCHS = 48_000, 8, 3
+MAX_TRAIN, SHARDS, EPOCHS = 24_000, 8, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-5, 1e-4
 SCALE = 8.0
+#: Words that a worker remembers.
+REMEMBERED = 100_000
 _KINDS = bytes(ord("a") if 97 <= c < 123 or c >= 128 else ord("A") if 65 <= c < 91 else ord("0") if 48 <= c < 58 else c for c in range(256))
 
 
@@ -34,7 +36,7 @@ class _Words(dict):
     """For each word its number and that of its shape; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 400_000:
+        if len(self) > REMEMBERED:
             self.clear()
         kinds = word.translate(_KINDS)
         shape = bytes(c for k, c in enumerate(kinds) if not k or kinds[k - 1] != c)[:12]
@@ -87,7 +89,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
         for text, label in zip(group["text"].to_pylist(), group["label"].to_pylist()):
             f = features(text)
             i, c = np.unique(f, return_counts=True)
-            rows.append((i, SCALE * c / max(1, len(f)), label))
+            rows.append((i.astype(np.int32), (SCALE * c / max(1, len(f))).astype(np.float32), label))
         w, bias = ftrl(rows)
         at = np.flatnonzero(w)
         return pa.table({"place": pa.array([*at.tolist(), -1], pa.int64()), "weight": pa.array([*w[at].tolist(), bias], pa.float64()), "shard": pa.array([group["shard"][0].as_py()] * (len(at) + 1), pa.int64())})

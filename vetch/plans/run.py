@@ -137,6 +137,13 @@ class LegalReview(Review):
         return N.union(L.trust_findings(self.propositions, self.passages, self.sources), N.source_findings(self.sources.where("inspection like 'unreadable%' or inspection = 'no text'")))
 
 
+def _manifest(out: render.Artifacts, artifact: str, scope: str) -> dict:
+    """Says which artifact is ready and how far that goes: never to the input files."""
+    out.text("export", "ready-manifest.json", json.dumps({"artifact": artifact, "scope": scope}, indent=1))
+    out.text("export", "README.md", f"# Ready\n\nArtifact: {artifact}\n\nScope: {scope}, not the input files.")
+    return {"outcome": "ready", "artifact": artifact, "blockers": []}
+
+
 def _export_general(r: Review, out: render.Artifacts, name: str, generate: bool, state: dict) -> dict:
     blockers = out.rows("export", "blockers.json", r.blockers.orderBy("blocker", "subject")) if generate else []
     if generate and not blockers:
@@ -145,11 +152,9 @@ def _export_general(r: Review, out: render.Artifacts, name: str, generate: bool,
         body = render.receipt(name, lines)
         for file, text in (("final-output.md", body), ("formatted-output.md", render.formatted(body)), ("edited-output.md", render.edited(body))):
             out.text("export", file, text)
-        out.text("export", "README.md", "# Ready\n\nArtifact: final-output.md\n\nScope: the generated receipt and review packet, not the input files.")
-        return {"outcome": "ready", "artifact": "final-output.md", "blockers": []}
+        return _manifest(out, "final-output.md", "the generated receipt and review packet")
     if not generate and state["state"] == "ready":
-        out.text("export", "README.md", "# Ready\n\nArtifact: the review packet\n\nScope: the review packet, not the input files.")
-        return {"outcome": "ready", "artifact": "review packet", "blockers": []}
+        return _manifest(out, "review packet", "the review packet")
     said = [f"{b['blocker']}: {b['subject']}" for b in blockers] or [f"readiness is {state['state']}"]
     out.text("export", "general-export-refusal.md", "# Refused\n\n" + "\n".join(f"- {x}" for x in said))
     return {"outcome": "refused", "artifact": None, "blockers": said}
@@ -187,8 +192,8 @@ def write(r: Review, out: render.Artifacts, name: str, kind: str, profile: str,
     out.text("verify", "trust-report.json", json.dumps({**state, "findings": findings}, indent=1))
     out.text("verify", "verification-report.md", render.report(state, findings))
     out.text("verify", "review-queue.md", "# Review queue\n\n" + "\n".join(f"{n}. [{f['severity']}] {f['location']}: {f['issue']}" for n, f in enumerate(findings, 1)))
-    links = out.rows("verify", "link-suggestions.json", r.suggestions.orderBy("claim_id", "rank"))
-    out.text("verify", "link-suggestions.md", "# Link suggestions\n\nAdvice only: a reviewer's decision makes support.\n\n" + render.table(links, {"claim_id": "Claim", "evidence_id": "Evidence", "confidence": "Confidence", "basis": "Basis"}))
+    links = out.rows("verify", "evidence-link-suggestions.json", r.suggestions.orderBy("claim_id", "rank"))
+    out.text("verify", "evidence-link-suggestions.md", "# Link suggestions\n\nAdvice only: a reviewer's decision makes support.\n\n" + render.table(links, {"claim_id": "Claim", "evidence_id": "Evidence", "confidence": "Confidence", "basis": "Basis"}))
     repairs = out.rows("verify", "calculation-repair-packet.json", W.repair_packet(r.facts).orderBy("name", "sheet", "cell"))
     out.text("verify", "calculation-repair-packet.md", "# Calculation repairs\n\n" + "\n".join(f"- {x['name']} {x['sheet']}!{x['cell']} ({x['value']}): {' '.join(x['checklist'])} Suggested: {x.get('suggested_input')}" for x in repairs))
     out.rows("verify", "claims.json", r.claims.orderBy("claim_id"))

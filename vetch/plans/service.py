@@ -65,7 +65,7 @@ class Service:
         findings = [r.asDict() for r in G.review_queue(self._rows("findings", run_id)).collect()]
         return render.report(self.status(run_id), findings)
 
-    def get_link_suggestions(self, run_id: str) -> list[dict]:
+    def get_evidence_link_suggestions(self, run_id: str) -> list[dict]:
         return [json.loads(x) for x in self._rows("suggestions", run_id).orderBy("claim_id", "rank").toJSON().collect()]
 
     def decide(self, run_id: str, target_kind: str, target_id: str, action: str, actor: str, rationale: str, payload: dict | None = None, content_hash: str | None = None) -> dict:
