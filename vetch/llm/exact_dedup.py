@@ -32,7 +32,8 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
     levels = levels.withColumn("bucket", F.expr(f"shiftright(slot, {max_depth} - depth)"))
     held = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
-    fits = levels.join(held, ["depth", "bucket"]).where((F.col("held") <= capacity) | (F.col("depth") == max_depth))
+    # At most 2 ** (max_depth + 1) rows; sent to all tasks, as the buckets of few bits would each gather all their slots in one.
+    fits = levels.join(F.broadcast(held), ["depth", "bucket"]).where((F.col("held") <= capacity) | (F.col("depth") == max_depth))
     return fits.groupBy("slot").agg(F.min(F.struct("depth", "bucket")).alias("b")).select("slot", "b.depth", "b.bucket")
 
 
