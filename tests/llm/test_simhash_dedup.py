@@ -54,6 +54,25 @@ def test_links_are_complete(spark, block):
     assert groups(got) == {g for g in groups(want) if len(g) > 1}
 
 
+def test_isolated_pairs_that_differ_in_the_top_bit(spark):
+    rng = np.random.default_rng(3)
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    want, apart, points = set(), set(), set()
+    for k, x in enumerate(rng.integers(0, 1 << 64, 240, np.uint64).tolist()):
+        flips = [63, *rng.choice(63, k % 4, replace=False).tolist()]
+        y = x ^ sum(1 << int(b) for b in flips)
+        want.add(frozenset((signed(x), signed(y))))
+        points |= {signed(x), signed(y)}
+    for x in rng.integers(0, 1 << 60, 20, np.uint64).tolist():
+        # Their XOR, as a signed number, is -1 to -16: a small absolute value.
+        y = x ^ ((1 << 64) - 1 - int(rng.integers(0, 16)))
+        apart |= {signed(x), signed(y)}
+    df = spark.createDataFrame([(p,) for p in points | apart], "fp long")
+    assert {frozenset((r["a"], r["b"])) for r in S.links(df).collect()} == want
+    for x, y in ((0, -1), (0, -2), (5, ~5)):
+        assert S.forest(np.array([x, y], np.int64), 4) == []
+
+
 def test_anchors_cover(spark):
     rng = np.random.default_rng(2)
     pairs = []

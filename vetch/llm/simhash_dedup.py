@@ -82,9 +82,9 @@ def anchors(half: Column) -> Column:
 
 def forest(points: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links that connect what the pairs within the threshold connect: each point is compared with those not yet reached."""
-    if len(points) == 2:
-        return [(int(points[0]), int(points[1]))] if int(np.bitwise_count(points[0] ^ points[1])) <= threshold else []
-    links, left = [], points.view(np.uint64)
+    links, left = [], points.view(np.uint64)  # of a signed number, bitwise_count would take the absolute value
+    if len(left) == 2:
+        return [(int(points[0]), int(points[1]))] if int(np.bitwise_count(left[0] ^ left[1])) <= threshold else []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
