@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline as C
 from vetch.llm import quality, simhash_dedup
 from vetch.llm.pieces import Encoder, read_model
@@ -25,6 +27,32 @@ def test_stages_take_effect(spark, small):
     assert set(ids[3]) <= set(ids[2]) and max(ids[3].count(i) for i in set(ids[3])) <= 2
 
 
+def test_near_copies_by_five_words(spark, small):
+    rng = np.random.default_rng(5)
+    rows, similar = [], {0.8: [], 0.9: []}
+
+    def shingles(w):
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    for k in range(240):
+        w = [f"v{x}" for x in rng.integers(0, 20_000, rng.integers(200, 1000))]
+        v, share = list(w), (0.8, 0.9)[k % 2]
+        a = shingles(w)
+        for at in rng.permutation(len(w)):  # words are replaced as long as the similarity stays
+            old, v[at] = v[at], "new"
+            b = shingles(v)
+            if len(a & b) / len(a | b) < share:
+                v[at] = old
+                break
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        similar[share].append(2 * k + 1)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in C.near(spark, docs, small).collect()}
+    recall = {s: sum(i not in kept for i in ids) / len(ids) for s, ids in similar.items()}
+    print("recall", recall)
+    assert recall[0.8] >= 0.97 and recall[0.9] >= 0.97 and kept >= {2 * k for k in range(240)}
+
+
 def test_run(spark, small):
     rows = C.run(spark, small).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}

@@ -20,8 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, skew_left_join, table, text_of
+from .syncmers import _mixed
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
+#: Shingles for similar texts, and the band keys by which these meet: each of the DEPTH smallest hashes under as many mixings.
+SIMILAR_WORDS, BANDS, DEPTH = 5, 10, 3
 #: Fingerprints of one anchor that are compared in one group.
 BLOCK = 2048
 
@@ -117,16 +120,65 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) ->
     return found.select("l.a", "l.b")
 
 
-def near_groups(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def band_keys(h: np.ndarray) -> list[int]:
+    """BANDS keys of a set of shingle hashes: two sets with Jaccard similarity s have one in common with probability s^DEPTH each."""
+    if not len(h):
+        return []
+    keys = []
+    for b in range(BANDS):
+        least = [int(_mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * (b * DEPTH + d + 1) & 2**64 - 1)).min()) for d in range(DEPTH)]
+        keys.append(xxhash.xxh64_intdigest(np.array([b, *least], np.uint64).tobytes(), SEED) - 2**63)
+    return keys
+
+
+def jaccard(a: str, b: str, words: int) -> float:
+    """The share of their different shingles that two texts have in common."""
+    x, y = (np.unique(shingle_hashes(t, words)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def similar_links(docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links (a, b) among the fingerprints of docs (fp, text) whose texts are that similar by their shingles' Jaccard similarity.
+
+    Texts that share a band's key are held against the key's smallest text; every pair is verified on the texts. A key's
+    texts are never in one task together: the hubs come by skew_left_join.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(shingle_hashes(t, words)) for t in texts])
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, words) >= similarity for x, y in zip(a, b)], dtype=bool)
+
+    texts = docs.select("fp", F.xxhash64("text").alias("id"), "text")
+    sent = cut(texts.select("fp", "id", F.explode(keys("text")).alias("band")))
+    hubs = sent.groupBy("band").agg(F.min(F.struct("id", "fp")).alias("hub"), F.max("id").alias("last"), F.count("*").alias("copies")).where("hub.id < last").select("band", "hub", "copies")
+    met = skew_left_join(sent, cut(hubs), ["band"], "copies", "id").where("id <> hub.id and fp <> hub.fp")
+    pairs = cut(met.select("fp", "id", F.col("hub.fp").alias("hub_fp"), F.col("hub.id").alias("hub_id")).distinct())
+    known = texts.groupBy("id").agg(F.min("text").alias("text"))
+    often = pairs.groupBy("hub_id").agg(F.count("*").alias("copies"))
+    hub_texts = cut(often.join(known.select(F.col("id").alias("hub_id"), F.col("text").alias("hub_text")), "hub_id"))
+    both = skew_left_join(pairs.join(known, "id"), hub_texts, ["hub_id"], "copies", "id")
+    return both.where(alike("text", "hub_text")).select(F.col("fp").alias("a"), F.col("hub_fp").alias("b"))
+
+
+def near_groups(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs (doc_id, text): its fingerprint and the smallest doc_id that links reach.
 
     Null and empty texts and those without a word have fingerprint zero, which links like any other. Repeated rows appear
     as often as in docs. Rows without a doc_id join groups but name none: a group of such rows alone has a null component_id.
-    Of docs nothing but doc_id and text is used; an empty table gives no rows.
+    Of docs nothing but doc_id and text is used; an empty table gives no rows. With ``similarity``, texts whose SIMILAR_WORDS-word
+    shingles have that Jaccard similarity are linked too.
     """
     rows = cut(docs.select("doc_id", fingerprints(text_of(), words).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    comp = cut(components(links(prints, threshold, block))).select(F.col("id").alias("fp"), "component")
+    found = links(prints, threshold, block)
+    if similarity is not None:
+        found = found.unionByName(similar_links(docs.select(fingerprints(text_of(), words).alias("fp"), text_of().alias("text")), similarity, SIMILAR_WORDS))
+    comp = cut(components(found)).select(F.col("id").alias("fp"), "component")
     member = prints.join(comp, "fp")
     smallest = member.groupBy("component").agg(F.min("first").alias("smallest"))
     member = member.join(smallest, "component").select("fp", "smallest")
