@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from vetch.llm import exact_dedup as E
 
 
@@ -9,9 +11,20 @@ def test_collisions_chain_and_buckets_split(spark, small, duck, same_rows):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     few = E.exact_groups(docs, capacity=3, max_depth=5, hash_bits=4, columns=["doc_id"])
     assert same_rows(few, duck, E.ORACLE_OP3) == 200
-    index = E.build_index(docs, capacity=3, max_depth=5, hash_bits=4)
+    slots, index = E.build_index(docs, capacity=3, max_depth=5, hash_bits=4)
     assert index.agg({"chain": "max"}).first()[0] > 1
-    assert index.select("depth").distinct().count() >= 1
+    assert index.select("depth").distinct().count() >= 1 and slots.count() <= 16
+
+
+def test_documents_go_through_the_directory(spark, small, duck, same_rows):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    slots, index = E.build_index(docs, capacity=3, max_depth=8)
+    assert index.agg({"depth": "max"}).first()[0] >= 2 and slots.count() > 20
+    per = {(r["depth"], r["bucket"]): r["n"] for r in index.groupBy("depth", "bucket").agg(F.count("*").alias("n")).collect()}
+    assert len(per) > 20 and all(n <= 3 or d == 8 for (d, _), n in per.items())
+    rows = docs.select(E._hash(64, "text").alias("h"))
+    assert E.routed(rows, slots.where("depth < 0"), 8).count() == 0  # without the directory nothing is found
+    assert same_rows(E.exact_groups(docs, capacity=3, max_depth=8, columns=["doc_id"]), duck, E.ORACLE_OP3) == 200
 
 
 def test_directory_stops_where_a_bucket_fits(spark):
