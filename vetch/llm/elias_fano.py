@@ -1,11 +1,13 @@
-"""Elias-Fano sequences and a two-level n-gram trie built of them, in one buffer that can be memory-mapped."""
+"""Elias-Fano sequences and an n-gram trie built of them, whose levels are one buffer that is memory-mapped from a file."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Steps in which logarithms of counts are kept, per power of two.
-STEPS = 256
+#: Steps in which logarithms of probabilities are kept, per power of two; 16 bits reach down to 2 ** -64.
+STEPS = 1023
+#: Successors that are decoded at a time.
+DECODED = 1 << 20
 
 
 class EliasFano:
@@ -29,7 +31,7 @@ class EliasFano:
     def build(values: np.ndarray, universe: int) -> np.ndarray:
         n = len(values)
         v = values.astype(np.uint64)
-        bits = max(0, (universe // max(1, n)).bit_length() - 1)
+        bits = min(56, max(0, (universe // max(1, n)).bit_length() - 1))
         low = (v & np.uint64((1 << bits) - 1)).astype("<u8")
         if bits:
             flat = np.unpackbits(low.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :bits]
@@ -66,6 +68,16 @@ class EliasFano:
         high = (self._select(i, 1) - i).astype(np.uint64)
         return high << np.uint64(self.low_bits) | self._low(i)
 
+    def span(self, a: int, b: int) -> np.ndarray:
+        """The numbers from the a-th up to the b-th, decoded in one sweep."""
+        if a >= b:
+            return np.zeros(0, np.uint64)
+        first = int(np.searchsorted(self.ones, a, side="right")) - 1
+        last = int(np.searchsorted(self.ones, b - 1, side="right"))
+        ones = np.flatnonzero(np.unpackbits(self.high[8 * first : 8 * last], bitorder="little"))[a - int(self.ones[first]) :][: b - a] + 64 * first
+        i = np.arange(a, b)
+        return (ones - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)
@@ -99,65 +111,76 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts, pointers to their successors, successors and quantised log counts: four levels in one buffer."""
+    """A bigram model's part: the words, their exact counts and back-off weights, pointers to their successors, the successors, and the
+    successors' smoothed probabilities, quantised. Six levels in one buffer."""
 
     def __init__(self, buffer: np.ndarray):
-        sizes = buffer[:40].view("<u8").astype(np.int64)
-        self.word_bits, at, parts = int(sizes[4]), 40, []
-        for s in sizes[:4]:
+        sizes = buffer[:48].view("<u8").astype(np.int64)
+        at, parts = 48, []
+        for s in sizes:
             parts.append(buffer[at : at + s])
             at += s
-        self.contexts, self.pointers, self.successors = (EliasFano(p) for p in parts[:3])
-        self.quantised = parts[3].view("<u2")
+        self.words, self.pointers, self.successors = (EliasFano(parts[k]) for k in (0, 3, 4))
+        self.counts, self.back_off, self.probability = parts[1].view("<i8"), parts[2].view("<u2")[: self.words.n], parts[5].view("<u2")[: self.successors.n]
 
     @staticmethod
-    def build(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, context_bits: int, word_bits: int) -> np.ndarray:
-        """From different (context, word) in order, with counts. A successor is stored relative to its context: its word's
-        number is added to the context's rank, which makes all successors one rising sequence."""
-        if len(contexts):
-            new = np.concatenate([[True], contexts[1:] != contexts[:-1]])
-        else:
-            new = np.zeros(0, bool)
-        rank = np.cumsum(new) - 1
-        starts = np.concatenate([np.flatnonzero(new), [len(contexts)]])
-        n = int(new.sum())
+    def build(words: np.ndarray, universe: int, counts: np.ndarray, back_off: np.ndarray, contexts: np.ndarray, successors: np.ndarray, probability: np.ndarray) -> np.ndarray:
+        """From different words in order, below ``universe``, with counts and back-off weights; and from different pairs in order, of a context's rank among the
+        words and a successor of 32 bits, with probabilities. A successor is stored relative to its context, whose rank is put before
+        it, which makes all successors one rising sequence."""
+        starts = np.searchsorted(contexts, np.arange(len(words) + 1))
+        padded = lambda x: np.concatenate([x, np.zeros(-len(x) % 8, np.uint8)])
         levels = [
-            EliasFano.build(contexts[new], 1 << context_bits),
+            EliasFano.build(words, universe),
+            counts.astype("<i8").view(np.uint8),
+            padded(quantise(back_off).astype("<u2").view(np.uint8)),
             EliasFano.build(starts, len(contexts) + 1),
-            EliasFano.build((rank.astype(np.uint64) << np.uint64(word_bits)) | words.astype(np.uint64), max(1, n) << word_bits),
-            quantise(counts).astype("<u2").view(np.uint8),
+            EliasFano.build(contexts.astype(np.uint64) << np.uint64(32) | successors.astype(np.uint64), max(1, len(words)) << 32),
+            padded(quantise(probability).astype("<u2").view(np.uint8)),
         ]
-        levels[3] = np.concatenate([levels[3], np.zeros(-len(levels[3]) % 8, np.uint8)])
-        return np.concatenate([np.array([*map(len, levels), word_bits], "<u8").view(np.uint8), *levels])
+        return np.concatenate([np.array([*map(len, levels)], "<u8").view(np.uint8), *levels])
 
     @staticmethod
-    def open(path: str) -> Trie:
-        return Trie(np.memmap(path, np.uint8, "r"))
-
-    def successors_of(self, context: int) -> np.ndarray:
-        """The words that follow a context, read through its pointers."""
-        rank = self.contexts.find(np.array([context]))
-        if rank[0] < 0:
-            return np.zeros(0, np.uint64)
-        a, b = self.pointers.get(np.array([rank[0], rank[0] + 1])).astype(np.int64)
-        return self.successors.get(np.arange(a, b)) & np.uint64((1 << self.word_bits) - 1)
-
-    def lookup(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The quantised log counts of (context, word), 0 where there is none; equal contexts should stand together."""
-        out = np.zeros(len(contexts), np.uint16)
-        if not len(contexts):
+    def open(file) -> Trie:
+        """The trie in a file (a path or an open file), memory-mapped."""
+        return Trie(np.memmap(file, np.uint8, "r"))
+
+    def successors_of(self, rank: int) -> tuple[np.ndarray, np.ndarray]:
+        """The successors of a word by its rank, read through its pointers, and their probabilities."""
+        a, b = self.pointers.get(np.array([rank, rank + 1])).astype(np.int64).tolist()
+        return self.successors.span(a, b) & np.uint64(0xFFFFFFFF), dequantise(self.probability[a:b])
+
+    def lookup(self, ranks: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """The quantised probabilities of different pairs (context's rank, successor) in order, 0 where there is none.
+
+        The pointers of the contexts give the ranges of their successors; these are decoded some contexts at a time, and each
+        successor is searched among those of its context.
+        """
+        out = np.zeros(len(ranks), np.uint16)
+        if not len(ranks):
             return out
-        new = np.concatenate([[True], contexts[1:] != contexts[:-1]])
-        rank = self.contexts.find(contexts[new])[np.cumsum(new) - 1]
-        known = np.flatnonzero(rank >= 0)
-        place = self.successors.find((rank[known].astype(np.uint64) << np.uint64(self.word_bits)) | words[known].astype(np.uint64))
-        out[known[place >= 0]] = self.quantised[place[place >= 0]]
+        context, first = np.unique(ranks, return_index=True)
+        begin, end = (self.pointers.get(context + k).astype(np.int64) for k in (0, 1))
+        first = np.concatenate([first, [len(ranks)]])
+        sought = ranks.astype(np.uint64) << np.uint64(32) | successors.astype(np.uint64)
+        k = 0
+        while k < len(context):
+            stop = max(k + 1, int(np.searchsorted(end, begin[k] + DECODED, side="right")))
+            a, b = int(begin[k]), int(end[stop - 1])
+            known, asked = self.successors.span(a, b), sought[first[k] : first[stop]]
+            at = np.searchsorted(known, asked)
+            hit = np.flatnonzero(at < len(known))
+            hit = hit[known[at[hit]] == asked[hit]]
+            out[first[k] + hit] = self.probability[a + at[hit]]
+            k = stop
         return out
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    return np.where(counts > 0, np.rint(np.log2(np.maximum(counts, 1)) * STEPS) + 1, 0).astype(np.uint16)
+def quantise(p: np.ndarray) -> np.ndarray:
+    """Probabilities as 16-bit numbers; 0 stands for none."""
+    some = p > 0
+    return np.where(some, np.clip(np.rint(-np.log2(np.where(some, p, 1.0)) * STEPS), 0, 65534) + 1, 0).astype(np.uint16)
 
 
 def dequantise(q: np.ndarray) -> np.ndarray:
-    return np.where(q > 0, np.exp2((q.astype(np.float64) - 1) / STEPS), 0.0)
+    return np.where(q > 0, np.exp2(-(q.astype(np.float64) - 1) / STEPS), 0.0)

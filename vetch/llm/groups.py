@@ -1,9 +1,12 @@
 """Asking the whole corpus about keys, by groups of documents.
 
-Documents are dealt into groups of bounded size. A group asks once about each of its different keys, so what thousands of its documents
-share counts once, and the question about a key goes to the key's shard. A shard sees what all groups ask, and answers each in
+Documents are dealt into groups of about GROUP_BYTES of text. A group asks once about each of its different keys, so what thousands of its
+documents share counts once, and the question about a key goes to the key's shard. A shard sees what all groups ask, and answers each in
 the order in which it asked, so answers need no keys. A group works its question out again from its texts to read the answer;
 all stages read the texts from the same shuffle.
+
+A group sends nothing to a shard of which it has no key, so there are at most as many rows as different keys of groups, however many
+groups and shards there are; and there are half as many shards as groups, so that a shard's keys don't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -15,38 +18,32 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Documents in a group, on average.
-GROUP = 2500
-ASKED = "shard long, grp long, keys binary, extra binary"
+#: Bytes of text in a group, on average.
+GROUP_BYTES = 8_000_000
+MAX_SHARD_BITS = 24
 FIRST = -(2**63)
 
 
-def grouped(docs: DataFrame, rows: int, size: int = GROUP, *more: Column) -> tuple[DataFrame, int]:
-    """(grp, doc_id, text) for ``rows`` documents, null ids as FIRST and null texts as empty; and the number of bits of a shard."""
-    n = max(1, -(-rows // size))
+def grouped(docs: DataFrame, group: int | None = None, *more: Column) -> tuple[DataFrame, int]:
+    """(grp, doc_id, text) for docs, null ids as FIRST with no_id and null texts as empty; and the number of bits of a shard.
+
+    ``group`` deals out so many documents to a group, whatever their sizes, instead of GROUP_BYTES.
+    """
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()
+    n = max(1, -(-rows // group) if group else -(-size // GROUP_BYTES))
     out = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), text_of().alias("text"), *more)
-    return out.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), min(16, max(3, (n // 2).bit_length()))
-
-
-def ask(grp: int, shards: np.ndarray, bits: int, keys: np.ndarray, *extra: np.ndarray, width: int = 8) -> pa.Table:
-    """A row for each shard with the keys that are its own, in the order given, which must be by shard. Of a key, ``width`` bytes are sent."""
-    cuts = np.searchsorted(shards, np.arange((1 << bits) + 1))
-    raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-    return pa.table({
-        "shard": pa.array(range(1 << bits), pa.int64()),
-        "grp": pa.array([grp] * (1 << bits), pa.int64()),
-        "keys": pa.array([raw[a:b].tobytes() for a, b in spans], pa.binary()),
-        "extra": pa.array([b"".join(x[a:b].tobytes() for x in extra) for a, b in spans], pa.binary()),
-    })
-
-
-def keys_of(blob: bytes, width: int = 8) -> np.ndarray:
-    if width == 8:
-        return np.frombuffer(blob, "<u8")
-    out = np.zeros((len(blob) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+    return out.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), min(MAX_SHARD_BITS, max(3, (n // 2).bit_length()))
+
+
+def spans(shards: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different shards, in order, of keys that are in order of their shards; and where each one's keys begin, with the end."""
+    present, begin = np.unique(shards, return_index=True)
+    return present, np.concatenate([begin, [len(shards)]])
+
+
+def binary(raw: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes of raw, in one cell for each span."""
+    return pa.array([raw[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary())
 
 
 def answers(right: pa.Table, kind: int | None = None) -> list[dict]:

@@ -1,33 +1,39 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-The model is a bigram model with Dirichlet smoothing: p(w | u) = (c(u w) + STRENGTH p(w)) / (c(u) + STRENGTH), where p(w) = (c(w) + 1) /
-(N + V + 1) is the base. Counts are of all training documents. They are gathered and looked up by groups of documents and
-shards of keys: a group asks about each different word and word pair of its documents and tells how often its training
-documents have it; a shard adds these up, builds its part of the trie (contexts, pointers and context-relative successors as Elias-Fano
-sequences, quantised log counts), and answers by successor search. The counts of words are exact. Pairs are dealt out by
-both words, so a context as frequent as "the" is spread over at least 256 shards, where there are as many; a context's total, which completes the probability, comes with the answer
-about the word. No task or the driver ever holds the model as a whole.
-
-Words are compared by XXH64, pairs by 56 bits beside those of their shard.
+The model is an interpolated bigram model: p(w | u) = (max(c(u w) - D, 0) + (S + D t(u)) p(w)) / (c(u) + S), where t(u) is the number of
+different successors of u and p(w) = (c(w) + 1) / (N + V + 1) is the base. Counts are of all training documents. Groups of documents
+ask shards about their different words and each word's different successors, and tell how often their training documents have
+them. A shard is the home of its words with all of their successors. It adds up what the groups tell, works out the smoothed
+probabilities and the back-off weights, and writes them as its part of the trie: Elias-Fano words, monotone pointers, context-relative
+successors, and quantised probabilities. That table is the model: a row for each shard, never whole in one place. To score, a task
+maps its shard's levels from a file and finds each asked successor among those of its context; a group then puts its texts' scores together
+from probabilities, back-off weights and the exact counts of words.
+
+Words are compared by XXH64, successors of a word by 32 bits of it.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .elias_fano import Trie, dequantise
-from .groups import ASKED, GROUP, answers, ask, grouped, keys_of
+from .groups import answers, binary, grouped, spans
 
-STRENGTH = 100.0
-CONTEXT_BITS, WORD_BITS = 30, 26
+STRENGTH, DISCOUNT = 100.0, 0.0
+#: What the query takes: a discount tells what was seen once from what was seen twice.
+QUERY_STRENGTH, QUERY_DISCOUNT = 1.0, 0.75
 #: Keys of what is no word: the end of a text, and what stands before its first word.
 END, START = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" ", b"  "))
-ANSWERED = "grp long, shard long, counts binary, pairs binary, total long, different long"
+ASKED = "shard long, grp long, words binary, counts binary, fans binary, successors binary, times binary"
+MODEL = "shard long, trie binary"
+ANSWERED = "grp long, shard long, counts binary, back_off binary, probability binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -43,98 +49,129 @@ _KEYS = _Keys()
 
 
 class _Group:
-    """A group's tokens, different words and different pairs, these in order of their shards."""
+    """A group's tokens, its different words in order, and its different pairs of a word's place and a successor, in order."""
 
     def __init__(self, left: pa.Table, bits: int):
-        self.grp = left["grp"][0].as_py()
+        self.grp, self.bits = left["grp"][0].as_py(), bits
         self.ids, self.held_out, self.no_id = (left[c].to_pylist() for c in ("doc_id", "held_out", "no_id"))
-        keys, self.size = [], []
+        keys, self.size = [np.array([START])], []
         for text in left["text"].to_pylist():
             words = text.encode("utf-8", "surrogatepass").lower().split()
-            keys.append(np.array([_KEYS[w] for w in words], np.uint64))
-            keys.append(END)
+            keys += [np.array([_KEYS[w] for w in words], np.uint64), np.array([END])]
             self.size.append(len(words) + 1)
-        token = np.concatenate([np.atleast_1d(k) for k in keys])
-        self.train = np.repeat(~np.array(self.held_out, bool), self.size)
-        before = np.concatenate([[START], token[:-1]])
-        before[np.cumsum([0, *self.size[:-1]])] = START
-        self.words, self.word_of = np.unique(token, return_inverse=True)
-        self.before = np.where(before == START, -1, np.searchsorted(self.words, before))
-        self.word_shards = (self.words >> np.uint64(64 - bits)).astype(np.int64)
-        mixed = (before * np.uint64(0x9E3779B97F4A7C15) ^ token) * np.uint64(0xBF58476D1CE4E5B9)
-        pair = (before >> np.uint64(64 - CONTEXT_BITS) << np.uint64(WORD_BITS)) | (token >> np.uint64(64 - WORD_BITS))
-        self.pairs, self.pair_of = np.unique(pair | mixed >> np.uint64(56) << np.uint64(56), return_inverse=True)
-        self.pair_shards = (self.pairs >> np.uint64(64 - bits)).astype(np.int64)
-
-    def counts(self, of: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(of[self.train], minlength=n).astype("<u4")
-
-
-def _answer(asked: pa.Table) -> pa.Table:
-    """Adds up what the groups tell a shard about its words and pairs; answers with words' counts and pairs' quantised logs."""
-    rows = asked.to_pylist()
-    found: dict[bool, list[np.ndarray]] = {}
-    total = different = 0
-    for pairs in (False, True):
-        own = sorted((r for r in rows if (r["extra"][:1] == b"p") == pairs), key=lambda r: r["grp"])
-        width = 7 if pairs else 8
-        keys = [keys_of(r["keys"], width) for r in own]
-        every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        told = np.frombuffer(b"".join(r["extra"][1:] for r in own), "<u4")
-        k, inverse = np.unique(every, return_inverse=True)
-        count = np.bincount(inverse, told, len(k)).astype(np.int64)
-        if pairs:
-            on = count > 0
-            mask = np.uint64((1 << WORD_BITS) - 1)
-            trie = Trie(Trie.build(k[on] >> np.uint64(WORD_BITS), k[on] & mask, count[on], CONTEXT_BITS, WORD_BITS))
-            value = trie.lookup(k >> np.uint64(WORD_BITS), k & mask)[inverse].astype("<u2")
-        else:
-            total, different = int(count.sum()), int((count > 0).sum())
-            value = count[inverse].astype("<i8")
-        found[pairs] = [x.tobytes() for x in np.split(value, np.cumsum([len(x) for x in keys])[:-1])]
-        grps = [r["grp"] for r in own]
-    n = len(grps)
-    return pa.table({"grp": pa.array(grps, pa.int64()), "shard": pa.array([rows[0]["shard"]] * n, pa.int64()), "counts": pa.array(found[False], pa.binary()), "pairs": pa.array(found[True], pa.binary()), "total": pa.array([total] * n, pa.int64()), "different": pa.array([different] * n, pa.int64())})
-
-
-def score_texts(docs: DataFrame, held_out, strength: float = STRENGTH, group: int = GROUP) -> DataFrame:
+        token = np.concatenate(keys)
+        self.words, place = np.unique(token, return_inverse=True)
+        self.word_of, before = place[1:], place[:-1].copy()
+        before[np.cumsum([0, *self.size[:-1]])] = place[0]
+        self.before, self.train = before, np.repeat(~np.array(self.held_out, bool), self.size)
+        self.pairs, self.pair_of = np.unique(before.astype(np.uint64) << np.uint64(32) | token[1:] >> np.uint64(32), return_inverse=True)
+
+    def ask(self) -> pa.Table:
+        shard, begin = spans((self.words >> np.uint64(64 - self.bits)).astype(np.int64))
+        context = (self.pairs >> np.uint64(32)).astype(np.int64)
+        pair_begin = np.searchsorted(context, begin)
+        count = lambda of, n: np.bincount(of[self.train], minlength=n).astype("<u4")
+        return pa.table({
+            "shard": pa.array(shard, pa.int64()),
+            "grp": pa.array([self.grp] * len(shard), pa.int64()),
+            "words": binary(self.words.astype("<u8"), begin),
+            "counts": binary(count(self.word_of, len(self.words)), begin),
+            "fans": binary(np.bincount(context, minlength=len(self.words)).astype("<u4"), begin),
+            "successors": binary((self.pairs & np.uint64(0xFFFFFFFF)).astype("<u4"), pair_begin),
+            "times": binary(count(self.pair_of, len(self.pairs)), pair_begin),
+        })
+
+
+def _all(asked: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(asked[name].to_pylist()), kind)
+
+
+def _words(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's different words, each asked word's place among them, and their counts."""
+    words, place = np.unique(_all(asked, "words", "<u8"), return_inverse=True)
+    return words, place, np.bincount(place, _all(asked, "counts", "<u4"), len(words)).astype(np.int64)
+
+
+def _pairs(asked: pa.Table, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's different pairs of a word's place and a successor, and each asked pair's place among them."""
+    context = np.repeat(place, _all(asked, "fans", "<u4").astype(np.int64)).astype(np.uint64)
+    return np.unique(context << np.uint64(32) | _all(asked, "successors", "<u4").astype(np.uint64), return_inverse=True)
+
+
+def _totals(asked: pa.Table) -> pa.Table:
+    _, _, count = _words(asked)
+    return pa.table({"total": pa.array([int(count.sum())], pa.int64()), "different": pa.array([int((count > 0).sum())], pa.int64())})
+
+
+def _built(asked: pa.Table, bits: int, strength: float, discount: float) -> pa.Table:
+    """A shard's part of the trie, of what the training documents have."""
+    words, place, count = _words(asked)
+    pairs, pair_place = _pairs(asked, place)
+    times = np.bincount(pair_place, _all(asked, "times", "<u4"), len(pairs))
+    seen = times > 0
+    pairs, times = pairs[seen], times[seen]
+    context = (pairs >> np.uint64(32)).astype(np.int64)
+    total = np.bincount(context, times, len(words)) + strength
+    back_off = (strength + discount * np.bincount(context, minlength=len(words))) / np.maximum(total, 1e-300)
+    trie = Trie.build(words & np.uint64((1 << 64 - bits) - 1), 1 << 64 - bits, count, np.where(total > strength, back_off, 1.0), context, pairs & np.uint64(0xFFFFFFFF), (times - discount) / total[context])
+    return pa.table({"shard": asked["shard"][:1], "trie": pa.array([trie.tobytes()], pa.binary())})
+
+
+def _answered(asked: pa.Table, model: pa.Table, bits: int) -> pa.Table:
+    """Answers every group about its words and successors by the shard's levels, mapped from a scratch file without a name."""
+    words, place = np.unique(_all(asked, "words", "<u8"), return_inverse=True)
+    pairs, pair_place = _pairs(asked, place)
+    with tempfile.TemporaryFile() as file:
+        file.write(model["trie"][0].as_buffer())
+        file.flush()
+        trie = Trie.open(file)
+    rank = trie.words.find(words & np.uint64((1 << 64 - bits) - 1))
+    known = rank >= 0
+    count, back_off = np.where(known, trie.counts[rank], 0).astype("<i8"), np.where(known, trie.back_off[rank], 1).astype("<u2")
+    of = rank[(pairs >> np.uint64(32)).astype(np.int64)]
+    probability, met = np.zeros(len(pairs), "<u2"), np.flatnonzero(of >= 0)
+    probability[met] = trie.lookup(of[met], pairs[met] & np.uint64(0xFFFFFFFF))
+    begin = lambda name, width: np.cumsum([0, *(len(x) // width for x in asked[name].to_pylist())])
+    return pa.table({
+        "grp": asked["grp"],
+        "shard": asked["shard"],
+        "counts": binary(count[place], begin("words", 8)),
+        "back_off": binary(back_off[place], begin("words", 8)),
+        "probability": binary(probability[pair_place], begin("successors", 4)),
+    })
+
+
+def _scored(left: pa.Table, right: pa.Table, bits: int) -> pa.Table:
+    g, rows = _Group(left, bits), answers(right)
+    n, v = rows[0]["total"], rows[0]["different"]
+    read = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+    of_word = read("counts", "<i8").astype(np.float64)[g.word_of]
+    base = (of_word + 1) / (n + v + 1)
+    prob = dequantise(read("probability", "<u2"))[g.pair_of] + dequantise(read("back_off", "<u2"))[g.before] * base
+    cut = np.cumsum([0, *g.size[:-1]])
+    add = lambda x: np.add.reduceat(x, cut)
+    columns = {"n_tokens": np.array(g.size, np.int64), "n_known": add((of_word > 0).astype(np.int64)), "train_tokens": np.full(len(cut), n), "base_score": add(np.log10(base)), "score": add(np.log10(prob))}
+    ids = pa.array([None if no else i for i, no in zip(g.ids, g.no_id)], pa.int64())
+    return pa.table({"doc_id": ids, "held_out": pa.array(g.held_out, pa.bool_()), **{k: pa.array(x) for k, x in columns.items()}})
+
+
+def score_texts(docs: DataFrame, held_out: Column, strength: float = STRENGTH, discount: float = DISCOUNT, group: int | None = None) -> DataFrame:
     """Scores every row of docs (doc_id, text) with a model of the rows for which the column ``held_out`` is false (see RESULT).
 
-    A null text counts as empty and has one token, its end; repeated rows count as often as they appear, and rows without an id
-    are scored and, unless held out, learnt from. With nothing to learn from, N and V are 0 and every word has probability 1.
-    Other columns of docs are not used; an empty table gives no rows.
+    A null text counts as empty and has one token, its end; very long texts are scored whole; repeated rows count as often as they
+    appear, and rows without an id are scored and, unless held out, learnt from. With nothing to learn from, N and V are 0 and every
+    word has probability 1. Other columns of docs are not used; an empty table gives no rows. ``group`` is as in grouped().
     """
-    texts, bits = grouped(docs, docs.count(), group, held_out.alias("held_out"))
-
-    def ask_all(left: pa.Table) -> pa.Table:
-        g = _Group(left, bits)
-        words = ask(g.grp, g.word_shards, bits, g.words, g.counts(g.word_of, len(g.words)))
-        pairs = ask(g.grp, g.pair_shards, bits, g.pairs, g.counts(g.pair_of, len(g.pairs)), width=7)
-        mark = lambda t, b: t.set_column(3, "extra", pa.array([b + x for x in t["extra"].to_pylist()], pa.binary()))
-        return pa.concat_tables([mark(words, b"w"), mark(pairs, b"p")])
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        g = _Group(left, bits)
-        rows = answers(right)
-        count = np.frombuffer(b"".join(r["counts"] for r in rows), "<i8").astype(np.float64)
-        pair = dequantise(np.frombuffer(b"".join(r["pairs"] for r in rows), "<u2"))
-        n, v = sum(r["total"] for r in rows), sum(r["different"] for r in rows)
-        end = np.searchsorted(g.words, END)
-        of_word = count[g.word_of]
-        base = (of_word + 1) / (n + v + 1)
-        seen = np.where(g.before < 0, count[end], count[g.before])  # each training text has one start and one end
-        prob = (pair[g.pair_of] + strength * base) / (seen + strength)
-        cut = np.cumsum([0, *g.size[:-1]])
-        add = lambda x: np.add.reduceat(x, cut)
-        columns = {"n_tokens": np.array(g.size, np.int64), "n_known": add((of_word > 0).astype(np.int64)), "train_tokens": np.full(len(cut), n), "base_score": add(np.log10(base)), "score": add(np.log10(prob))}
-        ids = pa.array([None if no else i for i, no in zip(g.ids, g.no_id)], pa.int64())
-        return pa.table({"doc_id": ids, "held_out": pa.array(g.held_out, pa.bool_()), **{k: pa.array(x) for k, x in columns.items()}})
-
-    asked = texts.groupBy("grp").applyInArrow(ask_all, ASKED)
-    answered = asked.groupBy("shard").applyInArrow(_answer, ANSWERED)
-    return texts.groupBy("grp").cogroup(answered.groupBy("grp")).applyInArrow(score, RESULT)
+    texts, bits = grouped(docs, group, held_out.alias("held_out"))
+    asked = texts.groupBy("grp").applyInArrow(lambda t: _Group(t, bits).ask(), ASKED)
+    by_shard = asked.groupBy("shard")
+    model = by_shard.applyInArrow(lambda t: _built(t, bits, strength, discount), MODEL)
+    totals = by_shard.applyInArrow(_totals, "total long, different long").agg(F.sum("total").alias("total"), F.sum("different").alias("different"))
+    answered = by_shard.cogroup(model.groupBy("shard")).applyInArrow(lambda t, m: _answered(t, m, bits), ANSWERED).crossJoin(F.broadcast(totals))  # one row
+    return texts.groupBy("grp").cogroup(answered.groupBy("grp")).applyInArrow(lambda t, a: _scored(t, a, bits), RESULT)
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_texts over all documents, learning from those whose crc32 mod 7 is not 2; odd rows as stated there."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out, QUERY_STRENGTH, QUERY_DISCOUNT)

@@ -7,7 +7,8 @@ to 31 windows around it candidates; these are extended to their 50 words, and a
 words start in a document with a smaller id. So the cover decides which windows are looked at, a fifth of the work and
 traffic of hashing all of them, and whole windows decide what goes.
 
-Anchors and windows are compared by XXH64.
+Anchors are compared by XXH64, which can only add candidates; windows by the 128 bits of XXH3, so that even among 10^12 windows a chance
+match has odds of less than one in 10^14.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .groups import ASKED, GROUP, answers, ask, grouped, keys_of
+from .groups import answers, binary, grouped, spans
 
 WINDOW, PERIOD = 50, 31
 #: A perfect difference cover: each rest modulo 31 but 0 is the difference of exactly one pair.
 COVER = (0, 1, 3, 8, 12, 18)
 ANCHOR = WINDOW - PERIOD + 1
+ASKED = "shard long, grp long, keys binary, more binary, extra binary"
 ANSWERED = "kind int, grp long, shard long, flags binary"
 RESULT = "doc_id long, n_words long, removed array<struct<begin:long,end:long>>, kept string"
 
@@ -41,9 +43,9 @@ class _Doc:
             self.end = np.cumsum(size + 1) - 1
             self.begin = self.end - size
 
-    def hashes(self, at: np.ndarray, words: int) -> list[int]:
+    def runs(self, at: np.ndarray, words: int) -> list[bytes]:
         line = self.line
-        return [xxhash.xxh64_intdigest(line[a:b]) for a, b in zip(self.begin[at].tolist(), self.end[at + words - 1].tolist())]
+        return [line[a:b] for a, b in zip(self.begin[at].tolist(), self.end[at + words - 1].tolist())]
 
 
 def _anchors(doc: _Doc) -> np.ndarray:
@@ -51,14 +53,26 @@ def _anchors(doc: _Doc) -> np.ndarray:
     return np.sort(np.concatenate([np.arange(c, last + 1, PERIOD) for c in COVER]))
 
 
-def _distinct(keys: list[int], rows: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys in order, each key's place among them, and each one's first and last row (rows ascend)."""
-    k, inverse = np.unique(np.array(keys, np.uint64), return_inverse=True)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and each key's place among them. Keys have a column for each 64 bits, the first being the most significant."""
+    if keys.shape[1] == 1:
+        found, place = np.unique(keys[:, 0], return_inverse=True)
+        return found[:, None], place
+    order = np.lexsort(keys.T[::-1])
+    ranked = keys[order]
+    new = np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place
+
+
+def _ends(place: np.ndarray, rows: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's first and last row."""
     r = np.array(rows, np.int64)
-    first, last = np.full(len(k), np.iinfo(np.int64).max), np.full(len(k), -1)
-    np.minimum.at(first, inverse, r)
-    np.maximum.at(last, inverse, r)
-    return k, inverse, first, last
+    first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    np.minimum.at(first, place, r)
+    np.maximum.at(last, place, r)
+    return first, last
 
 
 class _Group:
@@ -77,9 +91,10 @@ class _Group:
         for k in self.long:
             at = _anchors(self.docs[k])
             self.at[k] = at
-            keys += self.docs[k].hashes(at, ANCHOR)
+            keys += map(xxhash.xxh64_intdigest, self.docs[k].runs(at, ANCHOR))
             rows += [k] * len(at)
-        self.anchors, self.anchor_of, first, last = _distinct(keys, rows)
+        self.anchors, self.anchor_of = _distinct(np.array(keys, np.uint64)[:, None])
+        first, last = _ends(self.anchor_of, rows, len(self.anchors))
         self.many = first != last
 
     def find_windows(self, shared: np.ndarray) -> None:
@@ -98,75 +113,89 @@ class _Group:
             starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
             if len(starts):
                 self.starts[k] = starts
-                keys += doc.hashes(starts, WINDOW)
+                keys += map(xxhash.xxh3_128_digest, doc.runs(starts, WINDOW))
                 rows += [k] * len(starts)
-        self.windows, self.window_of, first, _ = _distinct(keys, rows)
+        self.windows, self.window_of = _distinct(np.frombuffer(b"".join(keys), ">u8").astype(np.uint64).reshape(-1, 2))
+        first, _ = _ends(self.window_of, rows, len(self.windows))
         ids = np.array(self.ids, np.int64)
         self.owner = ids[first] if len(first) else np.zeros(0, np.int64)
 
 
-def _flags(rows: list[dict], size: int, counts: np.ndarray) -> np.ndarray:
-    parts = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=int(c)) for r, c in zip(rows, counts)]
-    return np.concatenate(parts).astype(bool) if parts else np.zeros(size, bool)
+def _spans(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return spans((keys[:, 0] >> np.uint64(64 - bits)).astype(np.int64))
+
+
+def _ask(grp: int, keys: np.ndarray, bits: int, extra: np.ndarray) -> pa.Table:
+    """A row for each shard of which the group has keys."""
+    shard, begin = _spans(keys, bits)
+    more = keys[:, 1] if keys.shape[1] > 1 else np.zeros(0, np.uint64)
+    return pa.table({
+        "shard": pa.array(shard, pa.int64()),
+        "grp": pa.array([grp] * len(shard), pa.int64()),
+        "keys": binary(keys[:, 0].astype("<u8"), begin),
+        "more": binary(more.astype("<u8"), begin if len(more) else 0 * begin),
+        "extra": binary(extra, begin),
+    })
 
 
-def _shards(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+def _flags(rows: list[dict], keys: np.ndarray, bits: int) -> np.ndarray:
+    counts = np.diff(_spans(keys, bits)[1])
+    parts = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=int(c)) for r, c in zip(rows, counts, strict=True)]
+    return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
 def _answer(kind: int, asked: pa.Table, flags_of) -> pa.Table:
-    """flags_of(keys of all groups, their extras) flags each key; the flags go back to the groups."""
-    keys = [keys_of(x) for x in asked["keys"].to_pylist()]
-    flags = flags_of(keys, asked["extra"].to_pylist())
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return pa.table({"kind": pa.array([kind] * len(keys), pa.int32()), "grp": asked["grp"], "shard": asked["shard"], "flags": pa.array([np.packbits(f).tobytes() for f in np.split(flags, cuts)], pa.binary())})
+    """flags_of(place of each asked key among the different ones, their number, the groups' extras) flags each asked key; the flags go back to the groups."""
+    size = [len(x) // 8 for x in asked["keys"].to_pylist()]
+    column = lambda name, kind: np.frombuffer(b"".join(asked[name].to_pylist()), kind)
+    keys = [column("keys", "<u8"), column("more", "<u8")]
+    found, place = _distinct(np.stack([k for k in keys if len(k)], axis=1) if size else np.zeros((0, 1), np.uint64))
+    flags = flags_of(place, len(found), asked["extra"].to_pylist())
+    cuts = np.cumsum(size)[:-1]
+    return pa.table({"kind": pa.array([kind] * len(size), pa.int32()), "grp": asked["grp"], "shard": asked["shard"], "flags": pa.array([np.packbits(f).tobytes() for f in np.split(flags, cuts)], pa.binary())})
 
 
-def _shared(keys: list[np.ndarray], extra: list[bytes]) -> np.ndarray:
+def _shared(place: np.ndarray, n: int, extra: list[bytes]) -> np.ndarray:
     """Whether a key is another group's too, or several documents' of one group."""
-    _, inverse, groups = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     many = np.frombuffer(b"".join(extra), np.uint8)
-    return ((groups > 1) | (np.bincount(inverse, many, len(groups)) > 0))[inverse]
+    return ((np.bincount(place, minlength=n) > 1) | (np.bincount(place, many, n) > 0))[place]
 
 
-def _older(keys: list[np.ndarray], extra: list[bytes]) -> np.ndarray:
+def _older(place: np.ndarray, n: int, extra: list[bytes]) -> np.ndarray:
     """Whether a key's smallest document is smaller than the group's smallest with that key."""
-    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     own = np.frombuffer(b"".join(extra), "<i8")
-    least = np.full(len(k), np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, own)
-    return least[inverse] < own
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, place, own)
+    return least[place] < own
 
 
-def dedup_substrings(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def dedup_substrings(docs: DataFrame, group: int | None = None) -> DataFrame:
     """For each row of docs (doc_id, text): its words, the ranges [begin, end) of removed words, and the kept words joined by a space.
 
     Windows are judged on the input. A null text has no words; texts under 50 words lose none. Rows without an id count as
     smaller than all others and not as each other's smaller; repeated rows don't make each other smaller, so they are treated
-    alike. Other columns of docs are not used; an empty table gives no rows.
+    alike. Other columns of docs are not used; an empty table gives no rows. ``group`` is as in grouped().
     """
-    texts, bits = grouped(docs, docs.count(), group)
+    texts, bits = grouped(docs, group)
 
     def ask_anchors(left: pa.Table) -> pa.Table:
         g = _Group(left)
         g.find_anchors()
-        return ask(g.grp, _shards(g.anchors, bits), bits, g.anchors, g.many.astype(np.uint8))
+        return _ask(g.grp, g.anchors, bits, g.many.astype(np.uint8))
 
     def windows_of(left: pa.Table, right: pa.Table, kind: int | None = None) -> _Group:
         g = _Group(left)
         g.find_anchors()
-        counts = np.diff(np.searchsorted(_shards(g.anchors, bits), np.arange((1 << bits) + 1)))
-        g.find_windows(_flags(answers(right, kind), len(g.anchors), counts))
+        g.find_windows(_flags(answers(right, kind), g.anchors, bits))
         return g
 
     def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         g = windows_of(left, right)
-        return ask(g.grp, _shards(g.windows, bits), bits, g.windows, g.owner.astype("<i8"))
+        return _ask(g.grp, g.windows, bits, g.owner.astype("<i8"))
 
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
         g = windows_of(left, right, 0)
-        counts = np.diff(np.searchsorted(_shards(g.windows, bits), np.arange((1 << bits) + 1)))
-        older, pos, out = _flags(answers(right, 1), len(g.windows), counts), 0, []
+        older, pos, out = _flags(answers(right, 1), g.windows, bits), 0, []
         for k, doc in enumerate(g.docs):
             removed, kept = [], doc.words
             if k in g.starts:
@@ -195,6 +224,7 @@ def dedup_substrings(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_substrings over all documents; odd rows as stated there."""
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["begin"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
