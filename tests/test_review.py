@@ -5,6 +5,7 @@ import os
 import pytest
 
 from vetch.__main__ import main
+from vetch.operators import decisions as D
 from vetch.operators import findings as N
 from vetch.plans import render, run, sample
 from vetch.plans.service import Service, answer, serve
@@ -91,7 +92,8 @@ def test_generation_when_clean(spark, service, tmp_path):
     }
     folder = put(tmp_path / "clean", files)
     out = service.run_workflow("Clean", folder, kind="report", drafts=["report-draft.md"], generate=True)
-    assert out["export"]["outcome"] == "refused" and out["export"]["blockers"] == ["no generated claim: receipt"]
+    assert out["export"]["outcome"] == "refused" and {"no generated claim: receipt", "readiness is blocked"} <= set(out["export"]["blockers"])
+    assert any(b.startswith("unsupported claim: ") for b in out["export"]["blockers"])
     claim = json.load(open(f"{out['path']}/03_verification/claims.json"))[0]
     evidence = json.load(open(f"{out['path']}/01_source-packet/source-evidence.json"))[0]
     done = service.attach_support(out["run_id"], claim["claim_id"], evidence["evidence_id"], "reached 120 million dollars", "reviewer", "the ledger says so")
@@ -104,6 +106,42 @@ def test_generation_when_clean(spark, service, tmp_path):
     assert deleted["export"]["outcome"] == "refused"
 
 
+def test_one_bare_claim_refuses(service, tmp_path):
+    files = {
+        "report-draft.md": b"Status: draft. Data as of 2025-05-01.\n\nNorthern branch revenue reached 120 million dollars during spring.\n\nSouthern branch revenue stayed level throughout summer.\n",
+        "2025-04-30-ledger-final.md": b"Status: final.\n\nAudited northern branch revenue reached 120 million dollars during spring.\n",
+    }
+    out = service.run_workflow("Bare", put(tmp_path / "bare", files), kind="report", drafts=["report-draft.md"], generate=True)
+    claims = {c["text"].split()[0]: c["claim_id"] for c in json.load(open(f"{out['path']}/03_verification/claims.json"))}
+    evidence = json.load(open(f"{out['path']}/01_source-packet/source-evidence.json"))[0]
+    done = service.attach_support(out["run_id"], claims["Northern"], evidence["evidence_id"], "reached 120 million dollars", "reviewer", "the ledger says so")
+    assert done["export"]["outcome"] == "refused" and f"unsupported claim: {claims['Southern']}" in done["export"]["blockers"]
+    assert not os.path.exists(f"{out['path']}/04_export/final-output.md")
+    with pytest.raises(ValueError, match="circle"):
+        service.merge_claims(out["run_id"], claims["Southern"], claims["Southern"], "reviewer", "same")
+    merged = service.merge_claims(out["run_id"], claims["Southern"], claims["Northern"], "reviewer", "one statement")
+    assert merged["export"]["outcome"] == "ready"
+    again = service.refresh_workflow(out["run_id"], "Bare again", str(tmp_path / "bare"))
+    assert {c["name"] for c in json.load(open(f"{again['path']}/03_verification/claims.json"))} == {"report-draft.md"}  # the draft is still declared
+
+
+def test_generation_obeys_readiness(spark, tmp_path):
+    class Stub:
+        blockers = spark.createDataFrame([], "blocker string, subject string")
+
+    out = run._export_general(Stub(), render.Artifacts(str(tmp_path), "r"), "n", True, {"state": "blocked"})
+    assert out["outcome"] == "refused" and out["blockers"] == ["readiness is blocked"] and not os.path.exists(tmp_path / "r/04_export/final-output.md")
+
+
+def test_merges_go_to_the_end(spark):
+    rows = [(f"d{k}", "claim", f"c{k}", "merge", "u", "r", None, {"into": f"c{k + 1}"}, None) for k in range(40)]
+    log = spark.createDataFrame(rows, D.SCHEMA)
+    assert {r["into"] for r in D.merges(log).collect()} == {"c40"}
+    circle = spark.createDataFrame([("x", "claim", "c40", "merge", "u", "r", None, {"into": "c0"}, None)], D.SCHEMA)
+    with pytest.raises(ValueError, match="circle"):
+        D.merges(log.unionByName(circle))
+
+
 def test_legal_profile(service, place):
     out = service.run_workflow("Found ring", place["legal"], profile="legal")
     assert [f["rule_id"] for f in out["findings"]] == ["draft_discipline"] and out["export"]["outcome"] == "refused"

@@ -42,7 +42,8 @@ def canonical_number(digits: Column, unit: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """Different canonical numbers of a text, dates and cites aside. Null has none."""
-    plain = without_dates(F.coalesce(text, F.lit("")))
+    some = F.coalesce(text, F.lit(""))
+    plain = F.when(some.rlike("[0-9]"), without_dates(some)).otherwise(F.lit(""))  # most texts have no digit, which is quickly seen
     digits, units = (F.regexp_extract_all(plain, F.lit(NUMBER), F.lit(k)) for k in (1, 2))
     return F.array_distinct(F.transform(F.arrays_zip(digits.alias("d"), units.alias("u")), lambda x: canonical_number(x["d"], x["u"])))
 

@@ -15,7 +15,6 @@ CHECKS = {
     "workbook": [("formulas", "Calculations are formulas."), ("hidden", "No sheet is hidden."), ("checks", "There is a checks sheet.")],
     "mixed": [("claims", "Every claim has source attribution."), ("formulas", "Calculations are formulas."), ("conflicts", "No source conflict is open.")],
 }
-NEXT = ("finding", "done")
 
 
 def counts(findings: DataFrame) -> DataFrame:

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import claims as C
 from ..operators import conflicts as K
+from ..operators import decisions as D
 from ..operators import findings as N
 from ..operators import gate as G
 from ..operators import legal as L
 from ..operators import matching as M
 from ..operators import workbook as W
 from ..sources import packet as P
+from . import packet_queries as PQ
 from . import sample
 from .run import source_diff
 
 MUST, SHOULD = N.MUST, N.SHOULD
+#: Passages of fewer than three terms that are looked for in every text.
+SHORT = 1000
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -84,34 +89,46 @@ def term_overlap(spark, sf):
 
 
 def suggestions_topk(spark, sf):
-    """The three best passages for each document, with the document's label as status."""
-    c, e = _claims(spark, sf), _evidence(spark, sf)
-    label = _t(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    s = term_overlap(spark, sf).join(c.select("doc_id", F.size("terms").alias("n_claim")), "doc_id").join(e.select("item_id", F.size("terms").alias("n_evidence")), "item_id").join(label, "doc_id", "left")
-    status = F.when(F.col("quality") == 1, "final").when(F.col("quality") == 0, "draft").otherwise("unclear")
-    s = s.withColumn("confidence", M.confidence(F.col("term_overlap"), F.col("n_claim"), F.col("n_evidence"), F.lit(0), F.lit(0), status, F.lit(True)))
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "item_id", "term_overlap"))), 1, M.TOP)  # as many as there are passages
-    top = s.groupBy("doc_id").agg(best.alias("best")).select("doc_id", F.posexplode("best").alias("rank", "b"))
-    return top.select("doc_id", _long(F.col("rank") + 1).alias("rank"), "b.item_id", "b.term_overlap", (-F.col("b.c")).alias("confidence"))
+    """The three best passages for each document, by shared terms and numbers; a passage's status goes by its number."""
+    anchor = F.struct(F.lit("paragraph").alias("kind"))
+    claims = _t(spark, sf, "documents").select(F.col("doc_id").alias("claim_id"), F.lit("draft").alias("source_id"), X.terms(F.col("text")).alias("terms"), X.numbers(F.col("text")).alias("numbers"))
+    status = F.expr("CASE item_id % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'draft' ELSE 'unclear' END")
+    evidence = _t(spark, sf, "benchmark").select(F.col("item_id").alias("evidence_id"), F.lit("benchmark").alias("source_id"), status.alias("status"), F.when(F.col("item_id") % 4 != 0, anchor).alias("anchor"), X.terms(F.col("text")).alias("terms"), X.numbers(F.col("text")).alias("numbers"))
+    s = M.suggest(claims, evidence)
+    return s.select(F.col("claim_id").alias("doc_id"), _long(F.col("rank")).alias("rank"), F.col("evidence_id").alias("item_id"), "term_overlap", "number_overlap", "confidence", "basis")
 
 
 def quoted_support(spark, sf):
-    """Passages (of three or more terms) that stand in a document word for word. Shared terms choose the pairs to look at: all of
-    the passage's, but for one at either end that may run into its neighbour."""
-    e = _evidence(spark, sf).where(F.size("terms") > 2)
-    near = M.overlap(_claims(spark, sf), e, "doc_id", "item_id", "terms", "n").join(e.select("item_id", F.size("terms").alias("all"), F.col("text").alias("quote")), "item_id")
-    near = near.where(F.col("n") >= F.col("all") - 2)
-    return near.join(_t(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id").where(F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", "lang")
+    """Passages that stand in a document word for word. Shared terms choose the pairs to look at: all of the passage's, but for one at either
+    end that may run into its neighbour. Passages of so few terms that none need be shared are looked for in every text: there are as
+    many as SHORT at most, or the query fails.
+    """
+    e = _evidence(spark, sf)
+    texts = _t(spark, sf, "documents").select("doc_id", "text", "lang")
+    near = M.overlap(_claims(spark, sf), e.where(F.size("terms") > 2), "doc_id", "item_id", "terms", "n").join(e.select("item_id", F.size("terms").alias("all"), F.col("text").alias("quote")), "item_id")
+    near = near.where(F.col("n") >= F.col("all") - 2).select("doc_id", "item_id", "quote")
+    found = near.join(texts, "doc_id").where(F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", "lang")
+    short = [(r["item_id"], r["text"]) for r in e.where((F.size("terms") <= 2) & F.col("text").isNotNull()).select("item_id", "text").limit(SHORT + 1).collect()]
+    if len(short) > SHORT:
+        raise ValueError(f"more than {SHORT} passages of fewer than three terms")
+    if not short:
+        return found
+    few = F.broadcast(spark.createDataFrame(short, "item_id long, quote string"))
+    return found.unionByName(texts.join(few, F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", "lang"))
+
+
+def _support(spark, sf):
+    return quoted_support(spark, sf).select(F.col("doc_id").alias("claim_id"), F.col("item_id").alias("source_id"), F.col("item_id").alias("evidence_id"), "lang")
 
 
 def unsupported_claims(spark, sf):
-    return _t(spark, sf, "documents").where("lang = 'en'").select("doc_id").join(quoted_support(spark, sf), "doc_id", "left_anti")
+    return C.unsupported(_t(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("claim_id")), _support(spark, sf)).select(F.col("claim_id").alias("doc_id"))
 
 
 def claim_map(spark, sf):
-    s = quoted_support(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_evidence"), F.array_join(F.array_sort(F.collect_set("item_id")).cast("array<string>"), ",").alias("evidence"))
-    d = _t(spark, sf, "documents").select("doc_id")
-    return d.join(s, "doc_id", "left").select("doc_id", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("evidence", F.lit("")).alias("evidence"))
+    m = C.claim_map(_t(spark, sf, "documents").select(F.col("doc_id").alias("claim_id"), "text"), _support(spark, sf).withColumn("source_id", F.col("source_id").cast("string")).withColumn("evidence_id", F.lpad(F.col("evidence_id").cast("string"), 12, "0")))
+    plain = F.transform("evidence", lambda x: x.cast("long").cast("string"))
+    return m.select(F.col("claim_id").alias("doc_id"), F.size("evidence").cast("long").alias("n_evidence"), F.array_join(plain, ",").alias("evidence"))
 
 
 def status_conflict(spark, sf):
@@ -145,7 +162,7 @@ def findings_union(spark, sf):
 
 
 def severity_counts(spark, sf):
-    return findings_union(spark, sf).groupBy("severity").agg(F.count("*").alias("n"))
+    return G.counts(findings_union(spark, sf))
 
 
 def readiness(spark, sf):
@@ -159,15 +176,20 @@ def review_queue(spark, sf):
 
 def decision_state(spark, sf):
     """The latest event of each user counts, as the latest decision on a target does."""
-    e = _t(spark, sf, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("l"), F.count("*").alias("decisions"))
-    return e.select("user_id", "l.event_id", F.col("l.event_type").alias("action"), "decisions")
+    e = _t(spark, sf, "events").select(F.lpad(F.col("event_id").cast("string"), 20, "0").alias("decision_id"), F.lit("claim").alias("target_kind"), F.col("user_id").alias("target_id"), F.col("event_type").alias("action"), F.col("ts").alias("at"))
+    return D.latest(e, "claim").select(F.col("target_id").alias("user_id"), F.col("decision_id").cast("long").alias("event_id"), "action")
 
 
 def generation_blockers(spark, sf):
-    conflict = status_conflict(spark, sf).select(F.lit("selected source conflict").alias("blocker"), F.col("source").alias("subject"))
-    bare = unsupported_claims(spark, sf).select(F.lit("unsupported claim").alias("blocker"), F.col("doc_id").cast("string").alias("subject"))
-    undated = number_bearing_undated(spark, sf).join(quoted_support(spark, sf), "doc_id", "left_semi").select(F.lit("undated numeric claim").alias("blocker"), F.col("doc_id").cast("string").alias("subject"))
-    return conflict.unionByName(bare).unionByName(undated)
+    """The gate over documents as claims: quoted passages support them, each is its own source, and the labels of a source conflict."""
+    d = _t(spark, sf, "documents").select("doc_id", "text", "lang")
+    undated = number_bearing_undated(spark, sf).withColumn("undated", F.lit(True))
+    cited = quoted_support(spark, sf).select("doc_id").distinct().join(d, "doc_id").join(undated, "doc_id", "left")
+    generated = cited.select(F.col("doc_id").cast("string").alias("generated_id"), F.array(F.lit("n")).alias("numbers"), F.when(F.col("undated").isNull(), F.lit("2025-01-01").cast("date")).alias("source_date"), F.lit(True).alias("selected"))
+    conflict = status_conflict(spark, sf).select(F.col("source").alias("conflict_id"), F.array("source").alias("sources"))
+    sources = _t(spark, sf, "documents").select(F.col("source").alias("name"), F.lit(True).alias("selected")).distinct()
+    bare = C.unsupported(d.where("lang = 'en'").select(F.col("doc_id").cast("string").alias("claim_id")), _support(spark, sf).select(F.col("claim_id").cast("string").alias("claim_id")))
+    return G.blockers(conflict, sources, generated, bare)
 
 
 def refresh_diff(spark, sf):
@@ -178,9 +200,10 @@ def refresh_diff(spark, sf):
 
 
 def reuse_by_boundary(spark, sf):
-    """Quoted passages of reviewed documents, each within its language."""
-    good = _t(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
-    return quoted_support(spark, sf).join(good, "doc_id", "left_semi").select(F.col("lang").alias("boundary_key"), "item_id").distinct()
+    """Quoted passages of reviewed documents within the run's boundary: the first language."""
+    good = _t(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("target_id")).distinct()
+    mapped = quoted_support(spark, sf).select(F.col("doc_id").alias("proposition_id"), F.col("item_id").alias("text"))
+    return L.reuse_library(mapped, good, _t(spark, sf, "documents").select(F.col("lang").alias("boundary_key"))).select("boundary_key", "proposition_id", F.col("text").alias("item_id"))
 
 
 def workbook_findings(spark, sf):
@@ -208,7 +231,7 @@ NAMES = (
 
 
 def queries():
-    return {f.__name__: f for f in NAMES}
+    return {**{f.__name__: f for f in NAMES}, **PQ.queries()}
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
@@ -237,11 +260,14 @@ _ALIAS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in K.ALIASES.items()) + "}
 
 def oracle_sql():
     return {
-        "suggestions_topk": f"""WITH {_OVERLAP}, x AS (
-            SELECT doc_id, item_id, term_overlap, CAST(floor(term_overlap * 6000 / (len(c.terms) + len(e.terms) - term_overlap)) AS BIGINT)
-              + CASE quality WHEN 1 THEN 100 WHEN 0 THEN 40 ELSE 50 END * 15 + 500 AS confidence
-            FROM o JOIN c USING (doc_id) JOIN e USING (item_id) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)
-          ) SELECT doc_id, row_number() OVER w AS rank, item_id, term_overlap, CAST(confidence AS BIGINT) AS confidence FROM x
+        **PQ.oracle_sql(),
+        "suggestions_topk": f"""WITH {_OVERLAP}, {_NUMBERS}, {_NUMBERS.replace("n0", "k0").replace("n1", "k1").replace("n AS", "k AS").replace("doc_id", "item_id").replace("documents", "benchmark")},
+          nc AS (SELECT doc_id, count(*) AS all_ FROM n GROUP BY doc_id), no_ AS (SELECT doc_id, item_id, count(*) AS number_overlap FROM n JOIN k USING (number) GROUP BY ALL), x AS (
+            SELECT doc_id, item_id, term_overlap, coalesce(number_overlap, 0) AS number_overlap, CASE item_id % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'draft' ELSE 'unclear' END AS status,
+              CAST(floor(term_overlap * 6000 / (len(c.terms) + len(e.terms) - term_overlap)) AS BIGINT) + CASE WHEN all_ > 0 THEN CAST(floor(coalesce(number_overlap, 0) * 2000 / all_) AS BIGINT) ELSE 0 END
+              + CASE item_id % 3 WHEN 0 THEN 100 WHEN 1 THEN 40 ELSE 50 END * 15 + CASE WHEN item_id % 4 <> 0 THEN 500 ELSE 0 END AS confidence
+            FROM o JOIN c USING (doc_id) JOIN e USING (item_id) LEFT JOIN nc USING (doc_id) LEFT JOIN no_ USING (doc_id, item_id)
+          ) SELECT doc_id, row_number() OVER w AS rank, item_id, term_overlap, number_overlap, CAST(confidence AS BIGINT) AS confidence, printf('%d terms, %d numbers, status %s', term_overlap, number_overlap, status) AS basis FROM x
             WINDOW w AS (PARTITION BY doc_id ORDER BY confidence DESC, item_id) QUALIFY row_number() OVER w <= 3""",
         "source_inventory": "SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS fingerprint, regexp_matches(text, '[0-9]') AS number_bearing FROM documents",
         "line_anchors": f"WITH {_LINES} SELECT doc_id, line_no, printf('passage_doc%d_p%04d', doc_id, line_no) AS passage_id, CAST(length(line) AS BIGINT) AS n_chars FROM l",
@@ -258,11 +284,11 @@ def oracle_sql():
         "metric_conflict": "WITH o AS (SELECT o_orderpriority AS metric, strftime(o_orderdate, '%Y-%m') AS as_of, count(*) AS value FROM orders GROUP BY ALL) SELECT * FROM o WHERE metric IN (SELECT metric FROM o GROUP BY metric HAVING count(DISTINCT as_of) > 1 AND count(DISTINCT value) > 1)",
         "metric_alias": rf"SELECT array_to_string(list_transform(string_split(regexp_replace(lower(event_type), '[^a-z0-9]+', '_', 'g'), '_'), lambda w: coalesce({_ALIAS}[w], {_ALIAS}[regexp_replace(w, 's$', '')], w)), '_') AS metric, count(*) AS n FROM events GROUP BY 1",
         "findings_union": f"WITH {_FINDINGS} SELECT * FROM f",
-        "severity_counts": f"WITH {_FINDINGS} SELECT severity, count(*) AS n FROM f GROUP BY severity",
+        "severity_counts": f"WITH {_FINDINGS} SELECT count(*) FILTER (severity = 'must_fix') AS blocking, count(*) FILTER (severity = 'should_fix') AS needs_review FROM f",
         "readiness": f"WITH {_FINDINGS}, k AS (SELECT count(*) FILTER (severity = 'must_fix') AS blocking, count(*) FILTER (severity = 'should_fix') AS needs_review FROM f) SELECT CASE WHEN blocking > 0 THEN 'blocked' WHEN needs_review > 0 THEN 'review-required' ELSE 'ready' END AS state, blocking, needs_review FROM k",
         "review_queue": f"WITH {_FINDINGS} SELECT md5(rule_id || '|' || location) AS finding_id, severity, location, issue FROM f ORDER BY severity, location, finding_id",
-        "decision_state": "SELECT user_id, arg_max(event_id, ROW(ts, event_id)) AS event_id, arg_max(event_type, ROW(ts, event_id)) AS action, count(*) AS decisions FROM events GROUP BY user_id",
-        "generation_blockers": f"WITH {_QUOTED}, {_STATES} SELECT 'selected source conflict' AS blocker, source AS subject FROM s UNION ALL SELECT 'unsupported claim', CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM q) UNION ALL SELECT 'undated numeric claim', CAST(doc_id AS VARCHAR) FROM documents WHERE {_UNDATED} AND doc_id IN (SELECT doc_id FROM q)",
+        "decision_state": "SELECT user_id, arg_max(event_id, ROW(ts, event_id)) AS event_id, arg_max(event_type, ROW(ts, event_id)) AS action FROM events GROUP BY user_id",
+        "generation_blockers": f"WITH {_QUOTED}, {_STATES} SELECT 'selected source conflict' AS blocker, source AS subject FROM s UNION ALL SELECT 'unsupported claim', CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM q) UNION ALL SELECT 'undated numeric claim', CAST(doc_id AS VARCHAR) FROM documents WHERE {_UNDATED} AND doc_id IN (SELECT doc_id FROM q) UNION ALL SELECT 'no generated claim', 'receipt' WHERE NOT EXISTS (SELECT 1 FROM q)",
         "refresh_diff": "WITH a AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 2 = 1) SELECT coalesce(a.h, b.h) AS fingerprint, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.h = b.h",
-        "reuse_by_boundary": f"WITH {_QUOTED} SELECT DISTINCT lang AS boundary_key, item_id FROM q WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "reuse_by_boundary": f"WITH {_QUOTED} SELECT DISTINCT (SELECT min(lang) FROM documents) AS boundary_key, doc_id AS proposition_id, item_id FROM q WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     }

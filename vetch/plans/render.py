@@ -12,7 +12,7 @@ FOLDERS = {"refresh": "00_refresh", "source": "01_source-packet", "spec": "02_ar
 
 
 class Artifacts:
-    """The folder of one run. Rows go to JSON files named like the artifact; a packet is as small as what a reviewer can read."""
+    """The folder of one run. Rows that a reviewer reads go to JSON files named like the artifact; the facts of all files, by Spark's writer."""
 
     def __init__(self, root: str, slug: str):
         self.root = os.path.join(root, slug)
@@ -28,6 +28,12 @@ class Artifacts:
             f.write(body if body.endswith("\n") else body + "\n")
         return at
 
+    def lines(self, folder: str, name: str, df: DataFrame) -> str:
+        """Has Spark write the rows as JSON lines into a folder of that name: for what grows with the files' contents."""
+        at = self.path(folder, name)
+        df.write.mode("overwrite").json(os.path.abspath(at))
+        return at
+
     def rows(self, folder: str, name: str, df: DataFrame) -> list[dict]:
         """Writes the rows in order as a JSON list and returns them."""
         rows = [json.loads(x) for x in df.toJSON().collect()]

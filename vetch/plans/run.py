@@ -67,6 +67,17 @@ class Review:
     def evidence(self) -> DataFrame:
         return I.evidence(self.facts, self.sources)
 
+    @cached_property
+    def pdf_candidates(self) -> DataFrame:
+        """What may be a section, a citation or a row of a table in a PDF's text: (name, page, ordinal, kind, text)."""
+        names = self.sources.select("source_id", "name")
+        parts = [
+            I.pdf_sections(self.facts).select("source_id", "page", "ordinal", F.lit("section").alias("kind"), "text"),
+            I.pdf_citations(self.facts).select("source_id", "page", "ordinal", F.lit("citation").alias("kind"), F.col("citation").alias("text")),
+            I.pdf_table_rows(self.facts).select("source_id", "page", "ordinal", F.lit("table row").alias("kind"), F.array_join("cells", " | ").alias("text")),
+        ]
+        return names.join(N.union(*parts), "source_id").select("name", "page", "ordinal", "kind", "text")
+
     @cached_property
     def seeded(self) -> DataFrame:
         return C.seed(self.facts, self.sources)
@@ -113,8 +124,7 @@ class Review:
 
     @cached_property
     def blockers(self) -> DataFrame:
-        cited = self.claims.join(self.support, "claim_id", "left_semi")
-        return G.blockers(self.open_conflicts, self.selection, self.generated, C.unsupported(cited, self.support))
+        return G.blockers(self.open_conflicts, self.selection, self.generated, C.unsupported(self.claims, self.support))
 
 
 class LegalReview(Review):
@@ -146,16 +156,17 @@ def _manifest(out: render.Artifacts, artifact: str, scope: str) -> dict:
 
 def _export_general(r: Review, out: render.Artifacts, name: str, generate: bool, state: dict) -> dict:
     blockers = out.rows("export", "blockers.json", r.blockers.orderBy("blocker", "subject")) if generate else []
-    if generate and not blockers:
+    ready = state["state"] == "ready"
+    if generate and ready and not blockers:
         out.rows("verify", "generated-claims.json", r.generated.orderBy("generated_id"))
         lines = out.rows("export", "receipt.json", G.receipt(r.generated).orderBy("claim_id"))
         body = render.receipt(name, lines)
         for file, text in (("final-output.md", body), ("formatted-output.md", render.formatted(body)), ("edited-output.md", render.edited(body))):
             out.text("export", file, text)
         return _manifest(out, "final-output.md", "the generated receipt and review packet")
-    if not generate and state["state"] == "ready":
+    if not generate and ready:
         return _manifest(out, "review packet", "the review packet")
-    said = [f"{b['blocker']}: {b['subject']}" for b in blockers] or [f"readiness is {state['state']}"]
+    said = [f"{b['blocker']}: {b['subject']}" for b in blockers] + ([] if ready else [f"readiness is {state['state']}"])
     out.text("export", "general-export-refusal.md", "# Refused\n\n" + "\n".join(f"- {x}" for x in said))
     return {"outcome": "refused", "artifact": None, "blockers": said}
 
@@ -180,7 +191,7 @@ def _export_legal(r: LegalReview, out: render.Artifacts, state: dict) -> dict:
 def write(r: Review, out: render.Artifacts, name: str, kind: str, profile: str, generate: bool) -> dict:
     """Writes the artifacts of a review and returns its state, findings and export."""
     sources = out.rows("source", "sources.json", r.selection.orderBy("name"))
-    out.rows("source", "file-inspections.json", r.facts.where("kind is not null").orderBy("name", "page", "sheet", "ordinal", "cell"))
+    out.lines("source", "file-inspections.json", r.facts.where("kind is not null").sortWithinPartitions("name", "page", "sheet", "ordinal", "cell"))
     conflicts = out.rows("source", "conflict-log.json", r.conflicts.orderBy("conflict_id"))
     evidence = out.rows("source", "source-evidence.json", r.evidence.orderBy("evidence_id"))
     shown = {"name": "File", "inspection": "Inspected", "role": "Role", "status": "Status", "source_date": "Date", "selected": "Selected", "excluded_reason": "Excluded because"}
@@ -196,6 +207,10 @@ def write(r: Review, out: render.Artifacts, name: str, kind: str, profile: str,
     out.text("verify", "evidence-link-suggestions.md", "# Link suggestions\n\nAdvice only: a reviewer's decision makes support.\n\n" + render.table(links, {"claim_id": "Claim", "evidence_id": "Evidence", "confidence": "Confidence", "basis": "Basis"}))
     repairs = out.rows("verify", "calculation-repair-packet.json", W.repair_packet(r.facts).orderBy("name", "sheet", "cell"))
     out.text("verify", "calculation-repair-packet.md", "# Calculation repairs\n\n" + "\n".join(f"- {x['name']} {x['sheet']}!{x['cell']} ({x['value']}): {' '.join(x['checklist'])} Suggested: {x.get('suggested_input')}" for x in repairs))
+    out.rows("source", "pdf-candidates.json", r.pdf_candidates.orderBy("name", "page", "ordinal", "kind", "text"))
+    out.rows("source", "workbook-headers.json", W.headers(r.facts).orderBy("source_id", "sheet", "cell"))
+    clean = out.rows("verify", "clean-sources.json", N.clean_sources(r.sources, r.findings).select("source_id", "name").orderBy("name"))
+    out.text("verify", "clean-sources.md", "# Sources without findings\n\n" + "\n".join(f"- {c['name']}" for c in clean))
     out.rows("verify", "claims.json", r.claims.orderBy("claim_id"))
     out.rows("verify", "claim-map.json", C.claim_map(r.claims, r.support).orderBy("claim_id"))
     export = _export_legal(r, out, state) if isinstance(r, LegalReview) else _export_general(r, out, name, generate, state)
@@ -230,12 +245,14 @@ def step(spark: SparkSession, store: Store, run_id: str, run: tuple, out: render
 
 
 def refresh(spark: SparkSession, store: Store, deliverables: str, from_run: str, name: str, input_dir: str, kind: str = "document", generate: bool = False) -> dict:
-    """A new run from a prior one. Approvals of the prior run aren't replayed: its trail is copied, with hashes, and what changed is listed."""
+    """A new run from a prior one, with those of its declared drafts that are still in the packet. Approvals of the prior run aren't
+    replayed: its trail is copied, with hashes, and what changed is listed."""
     runs = store.get("runs", from_run)
     prior = runs.first() if runs is not None else None
     if prior is None:
         raise ValueError(f"no run {from_run}")
-    result = start(spark, store, deliverables, name, input_dir, kind, prior["profile"], [], generate, from_run)
+    here = {r["name"] for r in P.scan(spark, input_dir).where(F.col("name").isin(list(prior["drafts"]))).select("name").collect()}  # as many as were declared
+    result = start(spark, store, deliverables, name, input_dir, kind, prior["profile"], [d for d in prior["drafts"] if d in here], generate, from_run)
     out = render.Artifacts(deliverables, os.path.basename(result["path"]))
     trail = os.path.join(deliverables, prior["slug"], render.FOLDERS["verify"])
     kept = []

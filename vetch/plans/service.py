@@ -97,6 +97,10 @@ class Service:
         return self.decide(run_id, "claim", claim_id, "delete", actor, rationale)
 
     def merge_claims(self, run_id: str, claim_id: str, into: str, actor: str, rationale: str) -> dict:
+        """Merges a claim into another one; a merge that would lead back to the claim is refused."""
+        ends = D.merges(self._log(run_id)).where(F.col("claim_id") == into).first()
+        if claim_id in (into, ends["into"] if ends else into):
+            raise ValueError("the merge would form a circle")
         return self.decide(run_id, "claim", claim_id, "merge", actor, rationale, {"into": into})
 
     def attach_support(self, run_id: str, claim_id: str, evidence_id: str, quote: str, actor: str, rationale: str, content_hash: str | None = None) -> dict:
