@@ -24,6 +24,17 @@ def test_anchors_don_t_depend_on_context():
     assert a == {k - 27: v for k, v in b.items() if k >= 27}
 
 
+def test_passages_are_placed_in_long_texts():
+    rng = S.np.random.default_rng(3)
+    for k in range(20):
+        a, b = (rng.integers(32, 127, 120_000, dtype=S.np.uint8).tobytes() for _ in "ab")
+        shared, at, to = rng.integers(32, 127, 600, dtype=S.np.uint8).tobytes(), int(rng.integers(119_000)), int(rng.integers(119_000))
+        x, y = (S.syncmers(t[:p] + shared + t[p:]) for t, p in ((a, at), (b, to)))
+        found = [m for m in S.matched(x, y) if m[2] > 2 * S.K]
+        assert found and all(p - q == at - to and at <= p and p + n <= at + 600 for p, q, n in found) and sum(n for *_, n in found) > 450
+    assert S.matched(S.syncmers(b""), S.syncmers(a)) == []
+
+
 def test_query_by_brute_force(spark, small, documents):
     rows = {r["doc_id"]: r for r in S.op4_syncmers(spark, small).collect()}
     assert len(rows) == len(documents)

@@ -107,6 +107,7 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix over all documents in training order; odd rows as stated there."""
     docs = table(spark, sf_dir, "documents")
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     mixed = mix(sized, size="size").withColumn("first_time", F.get("placements", F.lit(0))["time"])

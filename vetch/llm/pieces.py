@@ -274,5 +274,6 @@ def tokenize(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of all documents: null and empty texts have no piece, very long ones are encoded whole, repeated rows alike; an empty table gives no rows. A U+2581 of the text decodes to a space."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", digest(spark, text_of()).alias("d")).select("doc_id", "d.*")

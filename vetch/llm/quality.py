@@ -147,5 +147,6 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Data
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classify over all documents; odd rows as stated there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

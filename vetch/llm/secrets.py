@@ -85,6 +85,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan over all documents; odd rows as stated there."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     base = F.filter("secrets", lambda s: s["kind"] < 3)
     count = lambda test: F.size(F.filter("secrets", test)).cast("long")

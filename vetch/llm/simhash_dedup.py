@@ -25,6 +25,8 @@ from .syncmers import _mixed
 WORDS, SEED, THRESHOLD = 4, 42, 4
 #: Shingles for similar texts, and the band keys by which these meet: each of the DEPTH smallest hashes under as many mixings.
 SIMILAR_WORDS, BANDS, DEPTH = 5, 10, 3
+#: Ids of texts that are sent to every task (16 MB of them) rather than shuffled.
+SENT_IDS = 2_000_000
 #: Fingerprints of one anchor that are compared in one group.
 BLOCK = 2048
 
@@ -138,27 +140,36 @@ def jaccard(a: str, b: str, words: int) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def similar_links(docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Links (a, b) among the fingerprints of docs (fp, text) whose texts are that similar by their shingles' Jaccard similarity.
+def _marked(text: Column, words: int) -> Column:
+    """The fingerprint of a text and its band keys, struct<fp, bands>, in one pass over its words."""
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fp": [fingerprint(t, words) for t in texts], "bands": [band_keys(shingle_hashes(t, SIMILAR_WORDS)) for t in texts]})
+
+    return of(text)
+
+
+def similar_links(marked: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links (a, b) among the fingerprints of marked (text_id, fp, bands) whose texts in docs (text) are that similar by their shingles' Jaccard similarity.
 
     Texts that share a band's key are held against the key's smallest text; every pair is verified on the texts. A key's
-    texts are never in one task together: the hubs come by skew_left_join.
+    texts are never in one task together: the hubs come by skew_left_join. Texts that have no pair to verify go no further than
+    the scan while the ids of the others are few enough to be sent to every task, and are shuffled by id beyond that.
     """
 
-    @F.pandas_udf("array<bigint>")
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(shingle_hashes(t, words)) for t in texts])
-
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y, words) >= similarity for x, y in zip(a, b)], dtype=bool)
 
-    texts = docs.select("fp", F.xxhash64("text").alias("id"), "text")
-    sent = cut(texts.select("fp", "id", F.explode(keys("text")).alias("band")))
+    sent = marked.select("fp", F.col("text_id").alias("id"), F.explode("bands").alias("band"))
     hubs = sent.groupBy("band").agg(F.min(F.struct("id", "fp")).alias("hub"), F.max("id").alias("last"), F.count("*").alias("copies")).where("hub.id < last").select("band", "hub", "copies")
     met = skew_left_join(sent, cut(hubs), ["band"], "copies", "id").where("id <> hub.id and fp <> hub.fp")
     pairs = cut(met.select("fp", "id", F.col("hub.fp").alias("hub_fp"), F.col("hub.id").alias("hub_id")).distinct())
-    known = texts.groupBy("id").agg(F.min("text").alias("text"))
+    wanted = cut(pairs.select("id").union(pairs.select("hub_id")).distinct())
+    few = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
+    texts = docs.select(text_of().alias("text")).withColumn("id", F.xxhash64("text"))
+    known = cut(texts.join(few, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     often = pairs.groupBy("hub_id").agg(F.count("*").alias("copies"))
     hub_texts = cut(often.join(known.select(F.col("id").alias("hub_id"), F.col("text").alias("hub_text")), "hub_id"))
     both = skew_left_join(pairs.join(known, "id"), hub_texts, ["hub_id"], "copies", "id")
@@ -166,26 +177,33 @@ def similar_links(docs: DataFrame, similarity: float, words: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs (doc_id, text): its fingerprint and the smallest doc_id that links reach.
+    """(doc_id, text_id, fp, component_id, kept) for each row of docs (doc_id, text): its fingerprint and the smallest doc_id that links
+    reach; text_id is the XXH64 of its text.
 
     Null and empty texts and those without a word have fingerprint zero, which links like any other. Repeated rows appear
     as often as in docs. Rows without a doc_id join groups but name none: a group of such rows alone has a null component_id.
+    ``kept`` marks what stays of a group: the rows with its smallest doc_id and, of these, the smallest text_id; and every row without a doc_id.
     Of docs nothing but doc_id and text is used; an empty table gives no rows. With ``similarity``, texts whose SIMILAR_WORDS-word
     shingles have that Jaccard similarity are linked too.
     """
-    rows = cut(docs.select("doc_id", fingerprints(text_of(), words).alias("fp")))
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    found = links(prints, threshold, block)
+    each = docs.select("doc_id", F.xxhash64(text_of()).alias("text_id"), (fingerprints(text_of(), words).alias("fp") if similarity is None else _marked(text_of(), words).alias("m")))
+    marked = cut(each if similarity is None else each.select("doc_id", "text_id", "m.fp", "m.bands"))
+    rows = marked.select("doc_id", "text_id", "fp")
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_id"))).alias("stays"), F.count("*").alias("copies")))
+    found = links(prints.select("fp"), threshold, block)
     if similarity is not None:
-        found = found.unionByName(similar_links(docs.select(fingerprints(text_of(), words).alias("fp"), text_of().alias("text")), similarity, SIMILAR_WORDS))
+        found = found.unionByName(similar_links(marked, docs, similarity, SIMILAR_WORDS))
     comp = cut(components(found)).select(F.col("id").alias("fp"), "component")
     member = prints.join(comp, "fp")
-    smallest = member.groupBy("component").agg(F.min("first").alias("smallest"))
-    member = member.join(smallest, "component").select("fp", "smallest")
-    placed = cut(prints.join(member, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"), "copies"))
-    return skew_left_join(rows, placed, ["fp"], "copies", "doc_id").select("doc_id", "fp", "component_id")
+    smallest = member.groupBy("component").agg(F.min("first").alias("smallest"), F.min("stays").alias("stay"))
+    member = member.join(smallest, "component").select("fp", "smallest", "stay")
+    placed = cut(prints.join(member, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("stay", "stays").alias("_stays"), "copies"))
+    out = skew_left_join(rows, placed, ["fp"], "copies", "text_id")
+    kept = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("_stays.doc_id")) & (F.col("text_id") == F.col("_stays.text_id")))
+    return out.select("doc_id", "text_id", "fp", "component_id", F.coalesce(kept, F.lit(True)).alias("kept"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_groups over all documents; odd rows as stated there."""
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -3,7 +3,8 @@
 A k-mer of the text's bytes is a closed syncmer if the smallest of its s-mers (by a mixed hash) lies at its start or end. Whether one
 is chosen depends on its own bytes alone, so a passage gives the same anchors in whatever text it stands. A document's
 fingerprint is the sorted set of the SKETCH smallest hashes of its syncmers; two fingerprints' likeness estimates the
-share of syncmers that the documents have in common.
+share of syncmers that the documents have in common. Where a short passage in long texts counts, matched() places all anchors of
+one text against those of the other by their positions.
 
 To pair each document with the next one, ids are cut into ranges at quantiles, each range is sorted, and the first row of a range is
 also sent to the range before it. One shuffle moves the texts; the driver sees a few ids for each range.
@@ -59,6 +60,27 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((n == 2).sum()) / len(n)
 
 
+def matched(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """Passages that two texts share, by the positions of their syncmers: (begin in a, begin in b, bytes), in order of a.
+
+    An anchor that each text has once places the one text against the other. Anchors that follow each other in a at the same offset, no
+    further apart than they are long, are one passage. However long the texts are, no anchor is left out but those that repeat within a text.
+    """
+    (at_a, hash_a), (at_b, hash_b) = a, b
+    own = [np.unique(h, return_index=True, return_counts=True) for h in (hash_a, hash_b)]
+    once = [(h[n == 1], i[n == 1]) for h, i, n in own]
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    x, y = at_a[once[0][1][i]], at_b[once[1][1][j]]
+    order = np.lexsort((x, y - x))
+    x, y = x[order], y[order]
+    if not len(x):
+        return []
+    new = np.concatenate([[True], (np.diff(y - x) != 0) | (np.diff(x) > K)])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(x)]]) - 1
+    return sorted((int(p), int(q), int(e) - int(p) + K) for p, q, e in zip(x[first], y[first], x[last]))
+
+
 def _place(doc_id: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are at most doc_id, by bisection; a null id comes first."""
     bits = max(1, len(bounds).bit_length())
@@ -89,22 +111,24 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     import hashlib
 
     out: list[tuple] = []
-    held = None  # the row whose successor is to come: part, doc_id, text, bytes, sketch
+    held = None  # the row whose successor is to come: part, doc_id, text, anchors, sketch
 
-    def close(row, text: str, own: np.ndarray) -> None:
-        _, doc_id, mine, data, mine_sketch = row
+    def close(row, text: str, own: np.ndarray, anchors) -> None:
+        _, doc_id, mine, mine_anchors, mine_sketch = row
+        passages = matched(mine_anchors, anchors)
         half = len(mine) // 2
         edited = (mine[: len(mine) - half] + text[:half]).encode("utf-8", "surrogatepass")
         edited_sketch = sketch(edited)
-        out.append((doc_id, len(mine), hashlib.sha256(edited).hexdigest(), mine_sketch.astype(">u4").tobytes().hex(), edited_sketch.astype(">u4").tobytes().hex(), likeness(mine_sketch, edited_sketch), likeness(mine_sketch, own)))
+        out.append((doc_id, len(mine), hashlib.sha256(edited).hexdigest(), mine_sketch.astype(">u4").tobytes().hex(), edited_sketch.astype(">u4").tobytes().hex(), likeness(mine_sketch, edited_sketch), likeness(mine_sketch, own), len(passages), max((n for *_, n in passages), default=0)))
 
     for batch in batches:
         for part, ahead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "ahead", "doc_id", "text"))):
             data = text.encode("utf-8", "surrogatepass")
-            own = sketch(data)
+            anchors = syncmers(data)
+            own = np.unique(anchors[1])[:SKETCH]
             if held is not None and held[0] == part:
-                close(held, text, own)
-            held = None if ahead else (part, doc_id, text, data, own)
+                close(held, text, own, anchors)
+            held = None if ahead else (part, doc_id, text, anchors, own)
             if len(out) >= 500:
                 yield _rows(out)
                 out = []
@@ -112,7 +136,7 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _rows(out)
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, passages_next long, longest_next long"
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -122,7 +146,8 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): its fingerprint, that of its edited text, and their likenesses (see SCHEMA).
+    """For each row of docs (doc_id, text): its fingerprint, that of its edited text, their likenesses, and how many passages it shares with
+    the next row by position and the bytes of the longest (see SCHEMA).
 
     The edited text's last floor(n_chars / 2) code points are replaced by the first as many, or all, of the next row in order
     of doc_id (nulls first), then text; the last row's next is the first, a lone row's is itself. A null text counts as
@@ -135,4 +160,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprints of all documents; odd rows as stated there."""
     return fingerprints(table(spark, sf_dir, "documents"))
