@@ -86,3 +86,39 @@ def test_columns(spark, odd, none):
     d = odd.select("text", P.digest(spark, F.col("text")).alias("d")).collect()
     assert all(r["d"]["decoded"] for r in d) and len(d) == odd.count()
     assert np.all([r["d"]["n_tokens"] == 0 for r in d if not r["text"]])
+
+
+def test_long_chunks_are_cut_where_no_piece_crosses():
+    e = P.Encoder(P.read_model())
+    rng = np.random.default_rng(7)
+    cjk = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 3000, 4000))
+    mixed = "".join(rng.choice(list("abcXYZ019+/=é日本\U0001f600"), 3000))
+    for text in (cjk, mixed, "x" * 500, cjk[:50] + mixed[:100] + "\ud800" * 3):
+        chunk = P.MARK + text
+        parts = e._cut(chunk)
+        assert "".join(parts) == chunk
+        whole = e._one(chunk.encode("utf-8", "surrogatepass"))
+        assert e.encode([text])[0].tolist() == whole.tolist()
+    assert len(e._cut(P.MARK + cjk)) > 1000 and all(len(c.encode("utf-8", "surrogatepass")) <= P.WIDE for c in e.known)
+
+
+def test_a_large_text_without_spaces():
+    e = P.Encoder(P.read_model())
+    rng = np.random.default_rng(8)
+    text = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 20000, 350_000))  # 1 MB
+    ids = e.encode([text])[0]
+    assert len(ids) >= 350_000 and e.decode(ids) == text
+
+
+def test_digest_by_brute_force(spark, small, documents):
+    import hashlib
+
+    e = P.Encoder(P.read_model())
+    got = {r["doc_id"]: r for r in P.op8_sentencepiece(spark, small).collect()}
+    for i, text in documents:
+        chunk = P.MARK + text.replace(" ", P.MARK)
+        ids = np.concatenate([e._one(c.encode()) for c in e.CHUNK.findall(chunk)]) if text else np.zeros(0, np.int32)
+        r = got[i]
+        assert (r["n_tokens"], r["n_byte_tokens"]) == (len(ids), sum(x in e.byte_ids for x in ids.tolist()))
+        assert r["ids_sha256"] == hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+        assert r["decoded"] == (e.decode(ids) == text)

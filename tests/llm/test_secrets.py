@@ -40,6 +40,19 @@ def test_many_owners_make_an_example(spark):
     assert found[9] == [own] and not any(found[k] for k in range(5))
 
 
+def test_copies_within_one_owner_make_an_example(spark):
+    example, own = "Zx81copyof0123456789abc", "Qw77own0ne9876543210xyz"
+    docs = spark.createDataFrame([(k, f"see {example} here", "s0") for k in range(8)] + [(9, f"mine {own}", "s0")], "doc_id long, text string, source string")
+    found = {r["doc_id"]: [s["value"] for s in r["secrets"]] for r in S.scan(docs, max_repositories=5).collect()}
+    assert found[9] == [own] and not any(found[k] for k in range(8))
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"é token=abc{k:06d}" for k in range(3 * S.CHUNK + 7))
+    got = S.scan(spark.createDataFrame([(0, text, "s")], "doc_id long, text string, source string")).first()["secrets"]
+    assert [f"assign:{s['start']}:{s['end']}" for s in got] == brute(text)
+
+
 def test_odd_rows(odd, none):
     rows = S.scan(odd).collect()
     assert len(rows) == odd.count() and sum(len(r["secrets"]) for r in rows if r["doc_id"] == 7) == 1

@@ -28,7 +28,7 @@ from .common import table, text_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Chunks of up to so many bytes are segmented together, longer ones one at a time.
+#: Chunks of up to so many bytes are segmented together, and remembered; longer ones are first cut where no piece can cross.
 WIDE = 64
 #: Chunks that a worker remembers.
 REMEMBERED = 80_000
@@ -107,6 +107,9 @@ class Encoder:
         self.surface = model["surface"]
         self.byte_ids = frozenset(self.bytes.tolist())
         self.known: dict[str, np.ndarray] = {}
+        names = [self.surface[i].decode() for i in model["scores"]]
+        #: Neighbours within a piece: between two characters that are none, every segmentation has a boundary.
+        self.inside = frozenset(n[k : k + 2] for n in names for k in range(len(n) - 1))
 
     def _back(self, chunk: bytes, start: list[int], piece: list[int]) -> np.ndarray:
         at, out = len(chunk), []
@@ -178,6 +181,18 @@ class Encoder:
         starts, pieces = start.tolist(), piece.tolist()
         return [self._back(c, starts[k], pieces[k]) for k, c in enumerate(chunks)]
 
+    def _cut(self, chunk: str) -> list[str]:
+        """A long chunk in parts that are segmented one by one: cut between characters that no piece has next to each other."""
+        if len(chunk) <= WIDE // 4 or len(chunk.encode("utf-8", "surrogatepass")) <= WIDE:
+            return [chunk]
+        inside, at = self.inside, 0
+        cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in inside]
+        parts = []
+        for k in [*cuts, len(chunk)]:
+            parts.append(chunk[at:k])
+            at = k
+        return parts
+
     def _learn(self, chunks: list[str]) -> None:
         coded = sorted(((c.encode("utf-8", "surrogatepass"), c) for c in chunks), key=lambda x: len(x[0]))
         short = [x for x in coded if len(x[0]) <= WIDE]
@@ -187,12 +202,15 @@ class Encoder:
         self.known.update((c, self._one(b)) for b, c in coded[len(short) :])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.CHUNK.findall((MARK + t.replace(" ", MARK))) if t else [] for t in texts]
+        split = [[p for c in self.CHUNK.findall(MARK + t.replace(" ", MARK)) for p in self._cut(c)] if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self._learn([c for c in {c for s in split for c in s} if c not in self.known])
         known, none = self.known, np.zeros(0, np.int32)
-        return [np.concatenate([known[c] for c in s]) if s else none for s in split]
+        out = [np.concatenate([known[c] for c in s]) if s else none for s in split]
+        for c in [c for c in {c for s in split for c in s if len(c) > WIDE // 4} if len(c.encode("utf-8", "surrogatepass")) > WIDE]:
+            del known[c]  # what is remembered is short
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface

@@ -22,8 +22,10 @@ ASSIGN = rf"""({KEY})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX, MIXED = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "mixed")
 LEAST_VALUE = 6
-#: A string that more owners than this have is an example.
-MAX_OWNERS = 2
+#: A string that more owners, or more repositories, than this have is an example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 100
+#: Matches that are put together at a time.
+CHUNK = 256
 
 
 def _matches(text: Column, kind: int, pattern: str, group: int) -> Column:
@@ -39,7 +41,12 @@ def _matches(text: Column, kind: int, pattern: str, group: int) -> Column:
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
     rows = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("found"), values.alias("value"))
-    spans = F.aggregate(rows, empty, step, lambda s: s["spans"])
+    # A fold that adds to an array copies it each time, so matches are folded CHUNK at a time, each chunk from where it begins.
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda c: F.slice(rows, c * CHUNK + 1, CHUNK))
+    nothing = F.lit(0).cast("long")
+    lengths = F.transform(chunks, lambda c: F.aggregate(c, nothing, lambda n, m: n + F.length(m["piece"]) + F.length(m["found"])))
+    begins = F.aggregate(lengths, F.struct(nothing.alias("at"), F.array().cast("array<bigint>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+    spans = F.flatten(F.transform(F.arrays_zip(chunks.alias("rows"), begins.alias("at")), lambda c: F.aggregate(c["rows"], F.struct(c["at"].alias("at"), empty["spans"].alias("spans")), step, lambda s: s["spans"])))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{item}>"))
 
 
@@ -57,11 +64,11 @@ def ownership(found: DataFrame) -> DataFrame:
     return once.groupBy("key").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"), F.sum("n").alias("n_found"))
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(doc_id, secrets) for each row of docs: an array of (start, kind, end, value, live, n_repositories, n_owners).
 
-    Places count code points, the end is exclusive. live says that at most ``max_owners`` owners have the value and that it has both a
-    letter and a digit. Mixed runs are there only if live. Null texts count as empty, null owners and
+    Places count code points, the end is exclusive. live says that at most ``max_owners`` owners and ``max_repositories``
+    repositories have the value, which an example that one owner copies all over hasn't, and that it has both a letter and a digit. Mixed runs are there only if live. Null texts count as empty, null owners and
     repositories as one of their own each; repeated rows stay rows of their own; an empty table gives no rows. Other columns of
     docs are not used.
     """
@@ -71,7 +78,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
     found = rows.select("row", "repository", "owner", F.explode("spans").alias("s")).withColumn("key", F.sha2("s.value", 256))
     known = cut(ownership(found.select("key", "repository", "owner")))
     found = skew_left_join(found.select("row", "s", "key"), known, ["key"], "n_found", "row")
-    live = (F.col("n_owners") <= max_owners) & F.col("s.value").rlike("[0-9]") & F.col("s.value").rlike("[A-Za-z]")
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories) & F.col("s.value").rlike("[0-9]") & F.col("s.value").rlike("[A-Za-z]")
     found = found.withColumn("live", live).where((F.col("s.kind") < 3) | F.col("live"))
     secret = F.struct("s.start", "s.kind", "s.end", "s.value", "live", "n_repositories", "n_owners")
     secrets = found.groupBy("row").agg(F.sort_array(F.collect_list(secret)).alias("secrets"))
@@ -98,39 +105,40 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         _joined(F.col("secrets")).alias("spans"),
         count(lambda s: (s["kind"] < 3) & s["live"]).alias("n_live"),
         count(lambda s: (s["kind"] < 3) & ~s["live"]).alias("n_copied"),
+        F.coalesce(F.array_max(F.transform("secrets", lambda s: s["n_repositories"])), F.lit(0)).cast("long").alias("most_repositories"),
     )
 
 
 def _oracle() -> str:
     quoted = [p.replace("'", "''") for p in (ASSIGN, ACCESS, HEX, MIXED)]
     parts = " UNION ALL ".join(
-        f"""SELECT rid, owner, {k} AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(regexp_extract_all(text, '{p}', {2 if k == 0 else 0})) AS value,
+        f"""SELECT rid, owner, repository, {k} AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(regexp_extract_all(text, '{p}', {2 if k == 0 else 0})) AS value,
         unnest(regexp_split_to_array(text, '{p}')[1:len(regexp_extract_all(text, '{p}'))]) AS piece, unnest(range(len(regexp_extract_all(text, '{p}')))) AS i
         FROM d WHERE regexp_matches(text, '{p}')"""
         for k, p in enumerate(quoted)
     )
     return f"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS owner FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS owner, coalesce(CAST(doc_id AS VARCHAR), chr(0)) AS repository FROM documents
 ), m AS ({parts}
 ), placed AS (
   SELECT *, CAST(sum(length(piece) + length(m)) OVER w AS BIGINT) AS e FROM m WINDOW w AS (PARTITION BY rid, kind ORDER BY i)
 ), c AS (
-  SELECT rid, owner, kind, value, e - length(m) AS s, e FROM placed
+  SELECT rid, owner, repository, kind, value, e - length(m) AS s, e FROM placed
   WHERE CASE kind WHEN 0 THEN length(value) >= {LEAST_VALUE} WHEN 3 THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') ELSE true END
 ), a AS (
   SELECT * FROM c WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM c b WHERE b.rid = c.rid AND b.kind < 3 AND c.s < b.e AND c.e > b.s)
 ), f AS (
-  SELECT value, count(DISTINCT owner) AS owners FROM a GROUP BY value
+  SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM a GROUP BY value
 ), l AS (
-  SELECT a.*, owners <= {MAX_OWNERS} AND regexp_matches(a.value, '[0-9]') AND regexp_matches(a.value, '[A-Za-z]') AS live FROM a JOIN f USING (value)
+  SELECT a.*, repositories, owners <= {MAX_OWNERS} AND repositories <= {MAX_REPOSITORIES} AND regexp_matches(a.value, '[0-9]') AND regexp_matches(a.value, '[A-Za-z]') AS live FROM a JOIN f USING (value)
 ), t AS (
   SELECT *, ['assign', 'access', 'hex', 'mixed'][kind + 1] || ':' || s || ':' || e AS span FROM l WHERE kind < 3 OR live
 )
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
        sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
        coalesce(string_agg(span, ',' ORDER BY s, kind), '') AS spans,
-       count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_copied
+       count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_copied, coalesce(max(repositories), 0) AS most_repositories
 FROM d LEFT JOIN t USING (rid) GROUP BY d.rid, d.doc_id
 """
 
