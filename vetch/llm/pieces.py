@@ -183,7 +183,7 @@ class Encoder:
 
     def _cut(self, chunk: str) -> list[str]:
         """A long chunk in parts that are segmented one by one: cut between characters that no piece has next to each other."""
-        if len(chunk) <= WIDE // 4 or len(chunk.encode("utf-8", "surrogatepass")) <= WIDE:
+        if len(chunk.encode("utf-8", "surrogatepass")) <= WIDE:
             return [chunk]
         inside, at = self.inside, 0
         cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in inside]
@@ -202,14 +202,18 @@ class Encoder:
         self.known.update((c, self._one(b)) for b, c in coded[len(short) :])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [[p for c in self.CHUNK.findall(MARK + t.replace(" ", MARK)) for p in self._cut(c)] if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self._learn([c for c in {c for s in split for c in s} if c not in self.known])
+        split = [self.CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known, none = self.known, np.zeros(0, np.int32)
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [c for c in {c for s in split for c in s} if c not in known]
+        parts = {c: p for c in new if len(c) > WIDE // 4 and len(p := self._cut(c)) > 1}
+        self._learn([c for c in new if c not in parts] + [p for p in {p for x in parts.values() for p in x} if p not in known])
+        known.update((c, np.concatenate([known[p] for p in x])) for c, x in parts.items())
         out = [np.concatenate([known[c] for c in s]) if s else none for s in split]
-        for c in [c for c in {c for s in split for c in s if len(c) > WIDE // 4} if len(c.encode("utf-8", "surrogatepass")) > WIDE]:
-            del known[c]  # what is remembered is short
+        for c in [*parts, *new, *(p for x in parts.values() for p in x)]:
+            if len(c) > WIDE // 4 and len(c.encode("utf-8", "surrogatepass")) > WIDE:
+                known.pop(c, None)  # what is remembered is short
         return out
 
     def decode(self, ids: np.ndarray) -> str:
