@@ -20,7 +20,7 @@ from . import sample
 from .run import source_diff
 
 MUST, SHOULD = N.MUST, N.SHOULD
-#: Passages of fewer than three terms that are looked for in every text.
+#: Passages without a term inside that are looked for in every text.
 SHORT = 1000
 
 
@@ -56,7 +56,7 @@ def _numbers(spark, sf):
 
 
 def number_tokens(spark, sf):
-    return _numbers(spark, sf).select("doc_id", F.explode("numbers").alias("number"))
+    return M.exploded(_numbers(spark, sf).withColumnRenamed("numbers", "number"), "number")
 
 
 def number_overlap(spark, sf):
@@ -99,18 +99,19 @@ def suggestions_topk(spark, sf):
 
 
 def quoted_support(spark, sf):
-    """Passages that stand in a document word for word. Shared terms choose the pairs to look at: all of the passage's, but for one at either
-    end that may run into its neighbour. Passages of so few terms that none need be shared are looked for in every text: there are as
-    many as SHORT at most, or the query fails.
+    """Passages that stand in a document word for word. A passage's first and last term may run into their neighbours there; all others are
+    the document's terms too, so the longest of them, which few documents have, chooses the pairs to look at. Passages without such a
+    term are looked for in every text: there are as many as SHORT at most, or the query fails.
     """
-    e = _evidence(spark, sf)
+    ends = r"^[\p{L}\p{N}]+|[\p{L}\p{N}]+$"
+    inner = F.transform(X.terms(F.regexp_replace(F.lower("text"), ends, "")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
+    quotes = _t(spark, sf, "benchmark").where("text is not null").select("item_id", F.col("text").alias("quote"), F.array_max(inner)["t"].alias("term"))
     texts = _t(spark, sf, "documents").select("doc_id", "text", "lang")
-    near = M.overlap(_claims(spark, sf), e.where(F.size("terms") > 2), "doc_id", "item_id", "terms", "n").join(e.select("item_id", F.size("terms").alias("all"), F.col("text").alias("quote")), "item_id")
-    near = near.where(F.col("n") >= F.col("all") - 2).select("doc_id", "item_id", "quote")
+    near = M.exploded(_claims(spark, sf).withColumnRenamed("terms", "term"), "term").join(quotes.where("term is not null"), "term").select("doc_id", "item_id", "quote")
     found = near.join(texts, "doc_id").where(F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", "lang")
-    short = [(r["item_id"], r["text"]) for r in e.where((F.size("terms") <= 2) & F.col("text").isNotNull()).select("item_id", "text").limit(SHORT + 1).collect()]
+    short = [(r["item_id"], r["quote"]) for r in quotes.where("term is null").select("item_id", "quote").limit(SHORT + 1).collect()]
     if len(short) > SHORT:
-        raise ValueError(f"more than {SHORT} passages of fewer than three terms")
+        raise ValueError(f"more than {SHORT} passages without an inner term")
     if not short:
         return found
     few = F.broadcast(spark.createDataFrame(short, "item_id long, quote string"))
