@@ -1,3 +1,7 @@
+import io
+import zipfile
+import zlib
+
 import pytest
 
 from vetch.operators import inspection as I
@@ -40,6 +44,41 @@ def test_pdf_with_and_without_compression():
         assert [(f[1], f[5]) for f in found] == [(1, "First (1) block\nsecond line"), (1, "Other"), (2, "Page two")] and how == "inspected"
 
 
+def test_pdf_of_packed_objects_in_the_order_of_its_tree():
+    """Page 5 comes before page 4 in the tree; both are inside of an object stream, and their texts are hexadecimal and in arrays."""
+    inner = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [5 0 R 3 0 R] >>", 3: b"<< /Type /Pages /Kids [4 0 R 2 0 R] >>", 4: b"<< /Type /Page /Contents 8 0 R >>", 5: b"<< /Type /Page /Contents [7 0 R] >>"}
+    heads, body = [], b""
+    for number, b in inner.items():
+        heads.append(f"{number} {len(body)}")
+        body += b + b" "
+    head = " ".join(heads).encode() + b" "
+    packed = zlib.compress(head + body)
+    streams = {7: b"BT <48656C6C 6F> Tj T* [(a]b) -20 <63>] TJ ET", 8: b"BT (last\\) one) Tj <00480065> Tj ET"}
+    out = b"%%PDF-1.5\n6 0 obj\n<< /Type /ObjStm /N 5 /First %d /Filter /FlateDecode >>\nstream\n%b\nendstream\nendobj\n" % (len(head), packed)
+    out += b"".join(b"%d 0 obj\n<< >>\nstream\n%b\nendstream\nendobj\n" % x for x in streams.items())
+    assert [(f[1], f[5]) for f in facts("pdf", out)[1]] == [(1, "Hello\na]bc"), (2, "last) one")]
+
+
+def test_slides_in_the_order_shown_with_their_own_notes():
+    """The first slide shown is file 2, whose notes are file 1."""
+    p, a, r = (f"http://schemas.openxmlformats.org/{x}" for x in ("presentationml/2006/main", "drawingml/2006/main", "officeDocument/2006/relationships"))
+    said = lambda t: f'<p xmlns:a="{a}"><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p>'
+    rels = lambda *x: "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="{r}/{kind}" Target="{t}"/>' for i, kind, t in x) + "</Relationships>"
+    parts = {
+        "ppt/presentation.xml": f'<p:presentation xmlns:p="{p}" xmlns:r="{r}"><p:sldIdLst><p:sldId r:id="b"/><p:sldId r:id="a"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": rels(("a", "slide", "slides/slide1.xml"), ("b", "slide", "/ppt/slides/slide2.xml")),
+        "ppt/slides/slide1.xml": said("second"),
+        "ppt/slides/slide2.xml": said("first"),
+        "ppt/slides/_rels/slide2.xml.rels": rels(("n", "notesSlide", "../notesSlides/notesSlide1.xml"), ("c", "chart", "../charts/chart4.xml")),
+        "ppt/notesSlides/notesSlide1.xml": said("of the first"),
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+    assert [(f[0], f[1], f[5]) for f in facts("pptx", out.getvalue())[1]] == [("slide_text", 1, "first"), ("slide_note", 1, "of the first"), ("chart_reference", 1, "ppt/charts/chart4.xml"), ("slide_text", 2, "second")]
+
+
 def test_pdf_structure(inspected):
     assert [r["text"] for r in I.pdf_sections(inspected).collect()] == ["1. Scope of the Study"]
     assert [r["citation"] for r in I.pdf_citations(inspected).collect()] == ["[Ledger 12]"]

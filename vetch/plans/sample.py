@@ -59,10 +59,13 @@ def pptx(slides: list[tuple[list[str], list[str], bool]]) -> bytes:
     parts = {}
     for k, (texts, notes, chart) in enumerate(slides, 1):
         parts[f"ppt/slides/slide{k}.xml"] = page(texts)
+        kinds = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        related = [f'<Relationship Id="rId2" Type="{kinds}/notesSlide" Target="../notesSlides/notesSlide{k}.xml"/>'] if notes else []
         if notes:
             parts[f"ppt/notesSlides/notesSlide{k}.xml"] = page(notes)
         if chart:
-            parts[f"ppt/slides/_rels/slide{k}.xml.rels"] = f'<Relationships><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/chart" Target="../charts/chart{k}.xml"/></Relationships>'
+            related.append(f'<Relationship Id="rId1" Type="{kinds}/chart" Target="../charts/chart{k}.xml"/>')
+        parts[f"ppt/slides/_rels/slide{k}.xml.rels"] = f"<Relationships>{''.join(related)}</Relationships>"
     return _zip(parts)
 
 

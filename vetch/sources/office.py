@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import posixpath
 import re
 import zipfile
 import zlib
@@ -13,6 +14,7 @@ from xml.etree import ElementTree
 Fact = tuple[str, int | None, int, str | None, str | None, str | None, str | None]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -53,18 +55,38 @@ def docx(content: bytes) -> Iterator[Fact]:
                     yield "table_cell", None, n, f"table{tables}", cell_name(r, c), _joined(cell, f"{_W}t").strip(), None
 
 
+def _related(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """What a part refers to: by id, the last word of the relation's type and the part's path."""
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    nodes = ElementTree.fromstring(z.read(rels)) if rels in z.namelist() else ()
+    target = lambda t: t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"{folder}/{t}")
+    return {n.get("Id", ""): (n.get("Type", "").rpartition("/")[2], target(n.get("Target", ""))) for n in nodes}
+
+
+def _slide_parts(z: zipfile.ZipFile) -> list[str]:
+    """The slides as they are shown; without a list of them, by the numbers of their files."""
+    main = "ppt/presentation.xml"
+    if main in z.namelist():
+        related, ids = _related(z, main), [n.get(f"{_R}id") for n in ElementTree.fromstring(z.read(main)).iter(f"{_P}sldId")]
+        if shown := [related[i][1] for i in ids if i in related and related[i][1] in z.namelist()]:
+            return shown
+    found = [(int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))]
+    return [n for _, n in sorted(found)]
+
+
 def pptx(content: bytes) -> Iterator[Fact]:
+    """Texts, notes and charts of the slides, which count from 1 in the order shown; notes are those that the slide refers to."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for name in sorted(z.namelist()):
-            slide, note = re.fullmatch(r"ppt/slides/slide(\d+)\.xml", name), re.fullmatch(r"ppt/notesSlides/notesSlide(\d+)\.xml", name)
-            if slide or note:
-                for n, p in enumerate(ElementTree.fromstring(z.read(name)).iter(f"{_A}p"), 1):
+        for number, slide in enumerate(_slide_parts(z), 1):
+            related = list(_related(z, slide).values())
+            notes = [path for kind, path in related if kind == "notesSlide" and path in z.namelist()]
+            for kind, part in [("slide_text", slide), *[("slide_note", n) for n in notes]]:
+                for n, p in enumerate(ElementTree.fromstring(z.read(part)).iter(f"{_A}p"), 1):
                     if text := _joined(p, f"{_A}t").strip():
-                        yield "slide_text" if slide else "slide_note", int((slide or note)[1]), n, None, None, text, None
-            if rels := re.fullmatch(r"ppt/slides/_rels/slide(\d+)\.xml\.rels", name):
-                for n, r in enumerate(ElementTree.fromstring(z.read(name)), 1):
-                    if r.get("Type", "").endswith("/chart"):
-                        yield "chart_reference", int(rels[1]), n, None, None, r.get("Target"), None
+                        yield kind, number, n, None, None, text, None
+            for n, path in enumerate((path for kind, path in related if kind == "chart"), 1):
+                yield "chart_reference", number, n, None, None, path, None
 
 
 def xlsx(content: bytes) -> Iterator[Fact]:
@@ -86,38 +108,81 @@ def xlsx(content: bytes) -> Iterator[Fact]:
                     yield "number" if kind in (None, "n") and formula is None else "cell", None, row, title, cell.get("r"), text, formula.text or "" if formula is not None else None
 
 
-_SHOWN = re.compile(rb"\((?:[^()\\]|\\.)*\)\s*(?:Tj|')|\[(?:[^\]\\]|\\.)*\]\s*TJ|T\*|\bTd\b|\bTD\b|\bET\b")
-_STRING = re.compile(rb"\(((?:[^()\\]|\\.)*)\)")
+_LITERAL, _HEX = rb"\((?:[^()\\]|\\.)*\)", rb"<[0-9A-Fa-f\s]*>"
+_SHOWN = re.compile(rb"(?:%b|%b)\s*(?:Tj|')|\[(?:%b|%b|[^\]()<])*\]\s*TJ|T\*|\bTd\b|\bTD\b|\bET\b" % (_LITERAL, _HEX, _LITERAL, _HEX), re.S)
+_STRING = re.compile(rb"%b|%b" % (_LITERAL, _HEX), re.S)
 _ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t"}
 
 
+def _pdf_string(token: bytes) -> bytes:
+    """The bytes of a literal or hexadecimal string. Two-byte codes, which need a font's table, give nothing."""
+    if token.startswith(b"("):
+        return re.sub(rb"\\(.)", lambda e: _ESCAPED.get(e[1], e[1]), token[1:-1], flags=re.S)
+    digits = re.sub(rb"\s", b"", token[1:-1])
+    codes = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return b"" if b"\0" in codes else codes
+
+
 def _pdf_text(stream: bytes) -> str:
     out = []
     for m in _SHOWN.finditer(stream):
         strings = _STRING.findall(m[0])
-        out.append(b"".join(re.sub(rb"\\(.)", lambda e: _ESCAPED.get(e[1], e[1]), s) for s in strings) if strings else b"\n")
+        out.append(b"".join(map(_pdf_string, strings)) if strings else b"\n")
     return b"".join(out).decode("latin-1")
 
 
-def pdf(content: bytes) -> Iterator[Fact]:
-    """Blocks of simple text PDFs, by page: text operators of plain or Flate streams. What it can't read yields nothing."""
+def _pdf_stream(body: bytes) -> bytes:
+    m = re.search(rb"stream\r?\n(.*?)\r?\nendstream", body, re.S)
+    if not m:
+        return b""
+    if b"/FlateDecode" in body[: m.start()]:
+        try:
+            return zlib.decompress(m[1])
+        except zlib.error:
+            return b""
+    return m[1]
+
+
+def _pdf_objects(content: bytes) -> dict[int, bytes]:
+    """The objects by number, those inside of object streams too."""
     objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+) 0 obj(.*?)endobj", content, re.S)}
+    for body in list(objects.values()):
+        first = re.search(rb"/First\s+(\d+)", body)
+        if first and re.search(rb"/Type\s*/ObjStm\b", body):
+            packed, start = _pdf_stream(body), int(first[1])
+            heads = [int(x) for x in re.findall(rb"\d+", packed[:start])]
+            places = list(zip(heads[::2], heads[1::2], strict=False))
+            ends = [at for _, at in places[1:]] + [len(packed)]
+            for (number, at), end in zip(places, ends, strict=True):
+                objects.setdefault(number, packed[start + at : start + end if end < len(packed) else None])
+    return objects
+
+
+def _pdf_pages(objects: dict[int, bytes]) -> list[bytes]:
+    """The pages in the order of the page tree; those of a file without one by their numbers."""
+    is_page = lambda b: re.search(rb"/Type\s*/Page\b", b)
+    catalog = next((b for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", b)), b"")
+    root, pages, seen = re.search(rb"/Pages\s+(\d+) 0 R", catalog), [], set()
+    todo = [int(root[1])] if root else []
+    while todo:
+        number = todo.pop()
+        body = objects.get(number, b"")
+        if number in seen:
+            continue
+        seen.add(number)
+        if is_page(body):
+            pages.append(body)
+        elif kids := re.search(rb"/Kids\s*\[([^\]]*)\]", body):
+            todo += [int(k) for k in reversed(re.findall(rb"(\d+) 0 R", kids[1]))]
+    return pages or [b for _, b in sorted(objects.items()) if is_page(b)]
 
-    def stream(body: bytes) -> bytes:
-        m = re.search(rb"stream\r?\n(.*?)\r?\nendstream", body, re.S)
-        if not m:
-            return b""
-        if b"/FlateDecode" in body[: m.start()]:
-            try:
-                return zlib.decompress(m[1])
-            except zlib.error:
-                return b""
-        return m[1]
-
-    pages = [b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)]
-    for page, body in enumerate(pages, 1):
+
+def pdf(content: bytes) -> Iterator[Fact]:
+    """Blocks of simple text PDFs, by page: text operators of plain or Flate streams. What it can't read yields nothing."""
+    objects = _pdf_objects(content)
+    for page, body in enumerate(_pdf_pages(objects), 1):
         refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+ 0 R)", body)
-        parts = [stream(objects.get(int(r), b"")) for r in re.findall(rb"(\d+) 0 R", refs[1])] if refs else []
+        parts = [_pdf_stream(objects.get(int(r), b"")) for r in re.findall(rb"(\d+) 0 R", refs[1])] if refs else []
         blocks = [b.strip("\n") for b in re.split(r"\n\s*\n+", _pdf_text(b"\n".join(parts)))]
         for n, block in enumerate((b for b in blocks if b.strip()), 1):
             yield "page_paragraph", page, n, None, None, block, None
