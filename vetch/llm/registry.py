@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, line_dedup, lm, mixing, pieces, quality, secrets, simhash_dedup, substring_dedup, syncmers
+from . import exact_dedup, filter_audit, line_dedup, lm, mixing, pieces, quality, secrets, simhash_dedup, substring_dedup, syncmers
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_quality": quality.op9_quality,
         "op10_lm": lm.op10_lm,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql():
         "op1_mixing": mixing.ORACLE_OP1,
         "op2_secrets": secrets.ORACLE_OP2,
         "op3_exact_dedup": exact_dedup.ORACLE_OP3,
+        "op11_filter_audit": filter_audit.ORACLE_OP11,
     }
