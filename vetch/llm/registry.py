@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import centroids, exact_dedup, filter_audit, line_dedup, lm, mixing, pieces, quality, secrets, simhash_dedup, substring_dedup, syncmers
+from . import centroids, exact_dedup, filter_audit, jaccard_join, line_dedup, lm, mixing, pieces, quality, secrets, simhash_dedup, substring_dedup, syncmers
 
 
 def queries():
@@ -20,6 +20,7 @@ def queries():
         "op9_quality": quality.op9_quality,
         "op10_lm": lm.op10_lm,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_jaccard_join": jaccard_join.op12_jaccard_join,
         "op13_centroids": centroids.op13_centroids,
         "pipeline": corpus_pipeline.run,
     }
@@ -31,5 +32,6 @@ def oracle_sql():
         "op2_secrets": secrets.ORACLE_OP2,
         "op3_exact_dedup": exact_dedup.ORACLE_OP3,
         "op11_filter_audit": filter_audit.ORACLE_OP11,
+        "op12_jaccard_join": jaccard_join.ORACLE_OP12,
         "op13_centroids": centroids.ORACLE_OP13,
     }
