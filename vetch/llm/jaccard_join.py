@@ -11,7 +11,7 @@ shingles apart, and its size doesn't grow with the corpus. Documents with the sa
 bounds before it goes on: of sizes, and of parity bitmaps (every element flips one bit of 512; bits that differ bound the
 elements that differ). Shingles that more than BLOCK classes have in their prefixes are dealt into pairs of blocks.
 
-Groups of near copies are drawn together first, each class with the first of its group and with the nearest by bitmap; then
+Groups of near copies are drawn together first, each class with the nearest before it by bitmap; then
 only pairs across components are left, of which none is left out. Every link is verified on the texts.
 """
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ MOST_MATCHES, SEND, READ, VERIFY = 16, 8.0, 1.0, 64.0
 BLOCK, SMALL = 1024, 24
 #: Rounds in which groups are drawn together before the rest of the pairs is formed.
 ROUNDS = 2
+#: Pairs of texts that are unpacked and compared at a time.
+PAIRS = 64
 #: Ids of texts that are sent to every task (16 MB of them) rather than shuffled.
 SENT_IDS = 2_000_000
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
@@ -189,22 +192,21 @@ def _may_link(n, bits, x, y, percent: int):
     return (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((100 + percent) * ((total - differ) // 2) >= percent * total), differ
 
 
-def group_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, mine: np.ndarray, lone: bool, few: bool, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def group_pairs(hi: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, mine: np.ndarray, lone: bool, few: bool, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a large group's rows, of different components, that sizes and bitmaps leave open: all of one block (lone), or those across
-    two; or of these, for few, those with the group's first row and each row's nearest."""
+    two; of these, for few, each row with the nearest that precedes it."""
     order = np.argsort(n, kind="stable")
     sizes, xs, ys = n[order], [], []
     for k, x in enumerate(order):
-        stop = np.searchsorted(sizes, 100 * int(n[x]) // percent, "right")
-        y = order[k + 1 : stop]
-        y = y[comp[y] != comp[x]]
-        y = y if lone else y[mine[y] != mine[x]]
+        first = np.searchsorted(sizes, -(-percent * int(n[x]) // 100), "left") if few else k + 1
+        y = order[first : np.searchsorted(sizes, 100 * int(n[x]) // percent, "right")]
+        y = y[(comp[y] != comp[x]) & (lone | (mine[y] != mine[x])) & ((hi[y] < hi[x]) | (not few))]
         if not len(y):
             continue
         ok, differ = _may_link(n, bits, x, y, percent)
         y, differ = y[ok], differ[ok]
         if few and len(y):
-            y = np.unique(np.concatenate([y[[differ.argmin()]], y[y == order[0]] if x != order[0] else y]))
+            y = y[[differ.argmin()]]
         xs.append(np.full(len(y), x))
         ys.append(y)
     return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, np.int64),) * 2
@@ -236,29 +238,38 @@ def _candidates(few: bool, percent: int):
                 ys.append(y[ok])
             for g in np.flatnonzero(size > SMALL):
                 part = slice(at[g], at[g + 1])
-                x, y = group_pairs(n[part], bits[part], comp[part], mine[part], bool(lone[g]), few, percent)
+                x, y = group_pairs(hi[part], n[part], bits[part], comp[part], mine[part], bool(lone[g]), few, percent)
                 xs.append(x + at[g])
                 ys.append(y + at[g])
             x, y = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (xs, ys))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hi[x], hi[y])), pa.array(np.maximum(hi[x], hi[y])), pa.array(np.minimum(l_[x], l_[y]))], ["a", "b", "need"])
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=-1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(hi[x], hi[y]), np.maximum(hi[x], hi[y]), np.minimum(l_[x], l_[y]), differ)], ["a", "b", "need", "differ"])
 
     return run
 
 
-def candidates(shared: DataFrame, classes: DataFrame, comp: DataFrame | None, few: bool, percent: int, block: int) -> DataFrame:
-    """Pairs (a, b) of the first 64 bits of set ids, of different components, that may link."""
-    known = classes.select("hi", "bits", F.col("hi").alias("comp")) if comp is None else classes.join(comp.select("sid", F.xxhash64("component").alias("c")), "sid", "left").select("hi", "bits", F.coalesce("c", F.xxhash64("sid")).alias("comp"))
-    p = shared.join(known, "hi")
-    if comp is not None:
-        p = cut(p)
-        several = p.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-        p = p.join(several, "token", "left_semi")
+def candidates(shared: DataFrame, bits: DataFrame, few: bool, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b), a < b, of the first 64 bits of set ids, of different components, that may link: all, or few: for each b the nearest a.
+
+    ``shared`` has the postings (token, hi, n, l, c, comp), bits the bitmaps (hi, bits).
+    """
     blocks = F.ceil(F.col("c") / block)
-    p = p.withColumn("mine", F.pmod(F.xxhash64("hi"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    p = shared.join(bits, "hi").withColumn("mine", F.pmod(F.xxhash64("hi"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     groups = p.groupBy("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.collect_set(F.struct("hi", "n", "l", "comp", "mine", "bits")).alias("rows"))
-    pairs = groups.where(F.size("rows") > 1).select("i", "j", "rows").mapInArrow(_candidates(few, percent), "a long, b long, need long")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
-    return pairs.where("a <> b" if few else "a <> b and n >= need").select("a", "b")
+    pairs = groups.where(F.size("rows") > 1).select("i", "j", "rows").mapInArrow(_candidates(few, percent), "a long, b long, need long, differ long").where("a <> b")
+    if few:
+        return pairs.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("best")).select("best.a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+
+
+def across(shared: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """The postings (see candidates) of shingles that several components have, with the component of each."""
+    of = classes.join(comp, "sid", "left").select("hi", F.coalesce(F.xxhash64("component"), F.xxhash64("sid")).alias("comp"))
+    placed = kept_table(shared.drop("comp").join(of, "hi"))
+    several = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
+    out = kept_table(placed.join(several, "token", "left_semi"))
+    drop_table(placed)
+    return out
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -271,24 +282,28 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     few = F.broadcast(ids) if wanted.count() <= SENT_IDS else ids
     found = docs.select(text_of().alias("text")).withColumn("text_id", F.xxhash64("text")).join(few, "text_id", "left_semi").groupBy("text_id", "text").agg(F.count("*").alias("copies"))
 
-    def with_sid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor()
         for batch in batches:
             sids = [set_id(h) for sets in _sets(batch.column("text")) for h in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), batch.column("text")], ["sid", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array([press.compress(x.as_buffer()) for x in batch.column("text").cast(pa.binary())], pa.binary())], ["sid", "zip"])
 
-    known = found.select("text").mapInArrow(with_sid, "sid binary, text string").join(wanted.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("text").alias("text"))
+    known = found.select("text").mapInArrow(packed, "sid binary, zip binary").join(wanted.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("zip").alias("zip"))
     known = cut(known)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            xs, ys = ([h for sets in _sets(batch.column(c)) for h in sets] for c in ("text", "other"))
-            yield batch.select(["a", "b"]).filter(pa.array([alike(x, y, percent) for x, y in zip(xs, ys)], pa.bool_()))
+            for k in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(k, PAIRS)
+                xs, ys = ([h for sets in _sets(pa.array([unpress.decompress(x.as_buffer()) for x in part.column(c)], pa.large_string())) for h in sets] for c in ("zip", "other"))
+                yield part.select(["a", "b"]).filter(pa.array([alike(x, y, percent) for x, y in zip(xs, ys)], pa.bool_()))
 
     sides = both.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
     often = sides.groupBy("a").agg(F.count("*").alias("copies"))
-    hubs = cut(often.join(known.select(F.col("sid").alias("a"), F.col("text").alias("other")), "a"))
-    met = skew_left_join(sides.join(known.select(F.col("sid").alias("b"), "text"), "b"), hubs, ["a"], "copies", "b")
-    return met.where("other is not null").select("a", "b", "text", "other").mapInArrow(linked, "a binary, b binary")
+    hubs = cut(often.join(known.select(F.col("sid").alias("a"), F.col("zip").alias("other")), "a"))
+    met = skew_left_join(sides.join(known.select(F.col("sid").alias("b"), "zip"), "b"), hubs, ["a"], "copies", "b")
+    return met.where("other is not null").select("a", "b", "zip", "other").mapInArrow(linked, "a binary, b binary")
 
 
 def linked_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -307,17 +322,20 @@ def linked_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -
     classes = cut(described.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("text_id").alias("text_id"), F.count("*").alias("copies"), F.first("hi").alias("hi"), F.first("bits").alias("bits")))
     sent = kept_table(plain.select("text").mapInArrow(_posted(often, percent), "token long, hi long, n int, l int"))
     reach = sent.groupBy("token").agg(F.count("*").alias("c"), F.min("hi").alias("x"), F.max("hi").alias("y")).where("x < y").select("token", "c")
-    shared = kept_table(sent.join(reach, "token"))
+    shared = kept_table(sent.join(reach, "token").withColumn("comp", F.col("hi")))
     drop_table(sent)
-    links, comp = None, None
-    for k in range(ROUNDS + 1):
-        last = k == ROUNDS
-        found = cut(verified(candidates(shared, classes, comp, not last, percent, block), classes, plain, percent))
-        if not last and k and found.isEmpty():
-            continue
+    bits, links, tried, comp = classes.select("hi", "bits"), None, None, None
+    for few in [True] * ROUNDS + [False]:
+        pairs = candidates(shared, bits, few, percent, block)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = cut(verified(pairs, classes, plain, percent))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        if last or not found.isEmpty():
-            comp = cut(components(links).withColumnRenamed("id", "sid"))
+        comp = cut(components(links).withColumnRenamed("id", "sid"))
+        if few:
+            rest = across(shared, classes, comp)
+            drop_table(shared)
+            shared = rest
     drop_table(shared)
     member = classes.join(comp, "sid")
     smallest = member.groupBy("component").agg(F.min("first").alias("smallest"))
