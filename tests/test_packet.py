@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 import zlib
 
@@ -108,3 +109,25 @@ def test_inventory(inspected):
 def test_unknown_draft_fails(inspected):
     with pytest.raises(ValueError, match="nothing.md"):
         P.drafts(I.inventory(inspected), ["nothing.md"])
+
+
+@pytest.mark.parametrize("band", [1 << 16, 7])
+def test_nearest_formulas(spark, band):
+    rng = random.Random(band)
+    rows = [(f"s{k % 3}", "m", "ABC"[k % 2], rng.randrange(120), f"c{k}", rng.choice([None, "x", "y", "z"]) if k % 3 else None) for k in range(300)]
+    numbers, formulas = [r for r in rows if r[5] is None], [r for r in rows if r[5]]
+    want = {}
+    for s, t, c, r, cell, _ in numbers:
+        near = min(((abs(r - o), o, f) for a, b, d, o, _, f in formulas if (a, b, d) == (s, t, c)), default=None)
+        if near:
+            want[cell] = near[2]
+    make = lambda x: spark.createDataFrame(x, "source_id string, sheet string, column string, row int, cell string, formula string")
+    assert len(want) < len(numbers)
+    assert {r["cell"]: r["suggested_input"] for r in W.nearest_formulas(make(numbers), make(formulas), band).collect()} == want
+
+
+def test_a_column_of_a_million_cells(spark):
+    cells = spark.range(1_000_000).selectExpr("'s' as source_id", "'m' as sheet", "'A' as column", "cast(id as int) as row", "concat('A', id) as cell", "if(id % 10 = 0, concat('f', id), null) as formula")
+    near = W.nearest_formulas(cells.where("formula is null"), cells.where("formula is not null"))
+    wrong = near.where("suggested_input <> concat('f', cast(if(row % 10 <= 5, row - row % 10, least(row - row % 10 + 10, 999990)) as string))")
+    assert near.count() == 900_000 and wrong.count() == 0

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: In a column with this share of formulas among its numbers, numbers typed in are hardcodes.
 FORMULA_SHARE = 0.5
 REPEATED = 3
+#: Rows of a column that are looked through in one group.
+BAND = 1 << 16
 # What to do about each kind of calculation risk.
 REPAIRS = {"hardcode": ["Find the input the number stands for.", "Replace the number by a formula on that input.", "Recalculate and compare with the number."]}
 
@@ -56,8 +58,37 @@ def repeated_formulas(facts: DataFrame) -> DataFrame:
     return f.groupBy("source_id", "sheet", "formula").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("cell")).alias("cells")).where(F.col("n") >= REPEATED)
 
 
+def nearest_formulas(numbers: DataFrame, formulas: DataFrame, band: int = BAND) -> DataFrame:
+    """``numbers`` (source_id, sheet, column, row, ...) with ``suggested_input``: the formula of the nearest row of the column; of two rows
+    as near the upper one, of several formulas in a row the least. Numbers of columns without a formula are left out.
+
+    A column is cut into bands of rows. In a band, the formulas before and after a number are carried over it by windows; what
+    lies beyond the band's ends comes with the last formula before it and the first after it, one row a band. So no number meets more
+    than four formulas, and a long column is as many groups as it has bands.
+    """
+    key = ["source_id", "sheet", "column"]
+    at = lambda df: df.withColumn("band", F.floor(F.col("row") / band))
+    found = F.struct("row", "formula")
+    f = at(formulas.select(*key, "row", "formula"))
+    # Rows of both in one table; a formula's row is itself a candidate for numbers of its row.
+    rows = at(numbers.drop("formula")).withColumn("formula", F.lit(None).cast("string")).withColumn("f", F.lit(None).cast(f.select(found.alias("x")).schema["x"].dataType))
+    rows = rows.unionByName(f.withColumn("f", found), allowMissingColumns=True)
+    low = F.min(F.when(F.col("f").isNotNull(), F.struct((-F.col("row")).alias("up"), "formula")))
+    bands = rows.groupBy(*key, "band").agg(low.alias("low"), F.min("f").alias("first"))
+    along = Window.partitionBy(*key).orderBy("band")
+    last = F.when(F.col("low").isNotNull(), F.struct((-F.col("low.up")).alias("row"), F.col("low.formula").alias("formula")))
+    bands = bands.withColumn("last", last)
+    edges = bands.select(*key, "band", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("above"), F.first("first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("below"))
+    inside = Window.partitionBy(*key, "band")
+    before = F.last("f", True).over(inside.orderBy(F.col("row"), F.col("f").isNull(), F.desc("formula")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("f", True).over(inside.orderBy(F.col("row"), F.col("f").isNotNull(), "formula").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    met = rows.withColumn("before", before).withColumn("after", after).where("f is null").join(edges, [*key, "band"], "left")
+    near = F.filter(F.array("before", "after", "above", "below"), lambda x: x.isNotNull())
+    best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(F.col("row") - x["row"]).alias("d"), x["row"].alias("row"), x["formula"].alias("formula"))))
+    return met.withColumn("suggested_input", best["formula"]).where("suggested_input is not null").drop("band", "formula", "f", "before", "after", "above", "below")
+
+
 def repair_packet(facts: DataFrame) -> DataFrame:
     """For each hardcode a checklist and a suggested input: the formula of the nearest row in the same column."""
-    h, f = hardcodes(facts), formulas(facts).select("source_id", "sheet", "column", F.col("row").alias("other"), F.col("formula").alias("suggested_input"))
-    near = h.drop("formula").join(f, ["source_id", "sheet", "column"]).groupBy("source_id", "name", "sheet", "cell", "value").agg(F.min(F.struct(F.abs(F.col("row") - F.col("other")).alias("d"), "other", "suggested_input")).alias("n"))
-    return near.select("source_id", "name", "sheet", "cell", "value", F.array(*[F.lit(x) for x in REPAIRS["hardcode"]]).alias("checklist"), F.col("n.suggested_input").alias("suggested_input"))
+    near = nearest_formulas(hardcodes(facts), formulas(facts)).select("source_id", "name", "sheet", "cell", "value", "suggested_input").distinct()
+    return near.select("source_id", "name", "sheet", "cell", "value", F.array(*[F.lit(x) for x in REPAIRS["hardcode"]]).alias("checklist"), "suggested_input")
