@@ -33,6 +33,8 @@ from .scan import CLASS, LOWER, mixed, portions, spans, texts, word_hashes
 WORDS, PERCENT = 3, 90
 #: Counters of the sketch, and the pieces in which it travels.
 COUNTERS, SHARDS = 1 << 20, 64
+#: Tasks whose counters are added up in one group.
+ADDED = 1024
 #: Bits of a parity bitmap.
 BITS = 512
 #: Largest l, and what a posting to send, a posting to read and a candidate to verify cost.
@@ -118,25 +120,28 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [(k, p) for k, p in enumerate(counts.reshape(SHARDS, -1)) if p.any()]
     if parts:
         task = TaskContext.get().partitionId()
-        rows = [[k for k, _ in parts], [p.astype("<i8").tobytes() for _, p in parts], [task] * len(parts)]
+        press = zstandard.ZstdCompressor(level=1)
+        rows = [[k for k, _ in parts], [press.compress(p.astype("<i8").tobytes()) for _, p in parts], [task] * len(parts)]
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(parts), k) for k in kinds[:6]], *[pa.array(x, k) for x, k in zip(rows, kinds[6:])]], names)
 
 
 def _summed(rows: pa.Table) -> pa.Table:
     total = np.zeros(COUNTERS // SHARDS, np.int64)
     for blob in rows.column("counts"):
-        total += np.frombuffer(blob.as_buffer(), "<i8")
-    return pa.table({"shard": rows.column("shard").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary()), "task": rows.column("task").slice(0, 1)})
+        total += np.frombuffer(zstandard.decompress(blob.as_buffer()), "<i8")
+    return pa.table({"shard": rows.column("shard").slice(0, 1), "counts": pa.array([zstandard.compress(total.tobytes())], pa.binary()), "task": rows.column("task").slice(0, 1)})
 
 
 def occurrences(described: DataFrame) -> np.ndarray:
     """How often the shingles of each counter occur beyond what an average counter holds; 8 MB, whatever the corpus."""
-    parts = described.where("shard is not null").select("shard", "counts", (F.col("task") % 256).alias("task"))
-    for keys in (["shard", "task"], ["shard"]):
-        parts = parts.groupBy(*keys).applyInArrow(_summed, "shard int, counts binary, task int")
+    parts = described.where("shard is not null").select("shard", "counts", "task")
+    tasks = parts.agg(F.coalesce(F.max("task"), F.lit(0))).first()[0] + 1
+    while tasks > 1:  # no more than ADDED tasks' counters in a group
+        tasks = -(-tasks // ADDED)
+        parts = parts.withColumn("task", F.col("task") % tasks).groupBy("shard", "task").applyInArrow(_summed, "shard int, counts binary, task int")
     found = np.zeros((SHARDS, COUNTERS // SHARDS), np.int64)
     for r in parts.collect():  # SHARDS rows
-        found[r["shard"]] = np.frombuffer(r["counts"], "<i8")
+        found[r["shard"]] = np.frombuffer(zstandard.decompress(r["counts"]), "<i8")
     found = found.ravel().astype(np.float64)
     mean = found.mean()
     # What chance alone adds to an average counter isn't told apart from it.
