@@ -5,6 +5,7 @@ import os
 import pytest
 
 from vetch.__main__ import main
+from vetch.operators import conflicts as K
 from vetch.operators import decisions as D
 from vetch.operators import findings as N
 from vetch.plans import render, run, sample
@@ -134,12 +135,47 @@ def test_generation_obeys_readiness(spark, tmp_path):
 
 
 def test_merges_go_to_the_end(spark):
-    rows = [(f"d{k}", "claim", f"c{k}", "merge", "u", "r", None, {"into": f"c{k + 1}"}, None) for k in range(40)]
+    rows = [(f"d{k:05}", "claim", f"c{k}", "merge", "u", "r", None, {"into": f"c{k + 1}"}, None) for k in range(5000)]
     log = spark.createDataFrame(rows, D.SCHEMA)
-    assert {r["into"] for r in D.merges(log).collect()} == {"c40"}
-    circle = spark.createDataFrame([("x", "claim", "c40", "merge", "u", "r", None, {"into": "c0"}, None)], D.SCHEMA)
+    assert {r["into"] for r in D.merges(None, log).collect()} == {"c5000"}
+    circle = spark.createDataFrame([("x", "claim", "c5000", "merge", "u", "r", None, {"into": "c0"}, None)], D.SCHEMA)
     with pytest.raises(ValueError, match="circle"):
-        D.merges(log.unionByName(circle))
+        D.merges(None, log.unionByName(circle))
+
+
+def test_a_history_is_replayed_in_order(spark):
+    seeded = spark.createDataFrame([("s", "src", "n", None, "seed", "seeded", [], [])], "claim_id string, source_id string, name string, anchor struct<kind:string>, text string, origin string, terms array<string>, numbers array<string>")
+
+    def after(*steps):
+        log = [(f"d{k}", "claim", target, action, "u", "r", None, {x: payload for x in ("text", "into") if payload}, None) for k, (target, action, payload) in enumerate(steps)]
+        log = spark.createDataFrame(log, D.SCHEMA)
+        return {r["claim_id"]: (r["origin"], r["text"]) for r in D.apply_to_claims(seeded, log).collect()}, {r["claim_id"]: r["into"] for r in D.merges(seeded, log).collect()}
+
+    assert after(("n", "create", "one"), ("n", "edit", "two")) == ({"s": ("seeded", "seed"), "n": ("created", "two")}, {})
+    assert after(("s", "delete", None), ("s", "edit", "late")) == ({}, {})
+    assert after(("s", "edit", "x"), ("s", "merge", "n"), ("s", "delete", None)) == ({}, {})
+    assert after(("s", "merge", "n"), ("s", "merge", "m"), ("s", "edit", "x")) == ({}, {"s": "m"})
+    assert after(("s", "merge", "n"), ("s", "create", "again")) == ({"s": ("created", "again")}, {})
+    assert after(("n", "create", None), ("s", "create", "no"), ("s", "edit", None)) == ({"s": ("seeded", "seed")}, {})
+
+
+def test_exports(spark):
+    def found(*files):
+        """files: name, rows with their header."""
+        facts = [(n, "cell", "csv", r, f"{chr(65 + c)}{r}", v) for n, rows in files for r, row in enumerate(rows, 1) for c, v in enumerate(row)]
+        facts = spark.createDataFrame(facts, "source_id string, kind string, ext string, ordinal int, cell string, text string")
+        sources = spark.createDataFrame([(n, n, "notes" not in n and "data_export" or "narrative", None) for n, _ in files], "source_id string, name string, role string, source_date date")
+        return {r["metric"]: r["sources"] for r in K.metric_conflicts(K.metrics(facts, sources)).collect()}
+
+    series = [("Date", "Sales", "Costs"), ("2024-01-31", "1,200", "-5"), ("2024-02-29", "1300", "7")]
+    assert found(("a", series), ("b", series)) == {}
+    again = [("as_of", "revenue", "cost"), ("2024-01-31", "$1200.0", "(5)"), ("2024-02-29", "1.3 thousand", "7.00"), ("2024-03-31", "9", "9")]
+    assert found(("a", series), ("b", again)) == {}
+    assert found(("a", series), ("b", [*again[:2], ("2024-02-29", "1301", "7")])) == {"revenue": ["a", "b"]}
+    assert found(("a", series), ("c", [("metric", "value", "as_of"), ("Sales", "99", "2024-05-31"), ("Expense", "7.0", "2024-05-31")])) == {"revenue": ["a", "c"]}
+    assert found(("a", series), ("notes", [("as_of", "revenue"), ("2024-01-31", "5")])) == {}
+    answers = [("respondent_id", "score", "as_of"), ("1", "3", "2024-01-31"), ("2", "4", "2024-01-31")]
+    assert found(("a", answers), ("b", [("score", "as_of"), ("5", "2024-01-31")])) == {}
 
 
 def test_legal_profile(service, place):

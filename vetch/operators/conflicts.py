@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -24,22 +24,60 @@ def version_conflicts(sources: DataFrame) -> DataFrame:
     return g.select(X.content_id("conflict", F.lit("version"), F.col("stem")).alias("conflict_id"), F.lit("version").alias("kind"), "sources", F.lit(None).cast("string").alias("metric"))
 
 
+# Headers of a metric's name, of its value, of a date, and of what tells rows apart.
+NAME_COLUMN, VALUE_COLUMN, DATE_COLUMN, KEY_COLUMN = r"^(metric|measure|name)$", r"^(value|amount|count|total)$", r"date|as_of", r"(^|_)(id|year|month|quarter|row|no)$"
+_AMOUNT = r"^([-+(]?)\s*\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(%|percent|thousand|million|billion)?\)?$"
+
+
+def canonical_value(value: Column) -> Column:
+    """A number's one spelling, with its sign; a value that is no number stays, trimmed and in lower case."""
+    text = F.lower(F.trim(value))
+    sign = F.when(F.regexp_extract(text, _AMOUNT, 1).isin("-", "("), "-").otherwise("")
+    number = X.canonical_number(F.regexp_extract(text, _AMOUNT, 2), F.regexp_extract(text, _AMOUNT, 3))
+    return F.when(text.rlike(_AMOUNT), F.regexp_replace(F.concat(sign, number), r"^-0(%?)$", "0$1")).otherwise(text)
+
+
 def metrics(facts: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source_id, name, metric, value, as_of) from exports with a metric and a value column; the date is the row's, or the file's."""
+    """(source_id, name, metric, value, as_of) from exports, long or wide; the date is the row's, or the file's.
+
+    Long exports have a column of metrics and one of values. In all others each column of numbers is a metric by its header,
+    but dates and keys; and only if it has no more than one value for a date: rows of answers or customers are no series.
+    """
     cells = facts.where("kind = 'cell' and ext in ('csv', 'tsv')").select("source_id", F.col("ordinal").alias("row"), F.regexp_extract("cell", "^([A-Z]+)", 1).alias("column"), "text")
-    head = cells.where("row = 1").select("source_id", "column", F.lower("text").alias("header"))
+    s = sources.where("role = 'data_export'").select("source_id", "name", "source_date")  # narrative files raise no metric conflicts
+    head = cells.where("row = 1").select("source_id", "column", F.lower(F.trim("text")).alias("header"))
     named = cells.where("row > 1").join(head, ["source_id", "column"])
     pick = lambda pattern: F.max(F.when(F.col("header").rlike(pattern), F.col("text")))
-    rows = named.groupBy("source_id", "row").agg(pick("^(metric|measure|name)$").alias("metric"), pick("^(value|amount|count|total)$").alias("value"), pick("date|as_of").alias("as_of"))
-    s = sources.where("role = 'data_export'").select("source_id", "name", "source_date")  # narrative files raise no metric conflicts
-    out = rows.where("metric is not null and value is not null").join(s, "source_id")
-    return out.select("source_id", "name", canonical_metric(F.col("metric")).alias("metric"), "value", F.coalesce(F.try_to_timestamp("as_of", F.lit("yyyy-MM-dd")).cast("date"), "source_date").alias("as_of"))
+    free = ~F.col("header").rlike(f"{NAME_COLUMN}|{VALUE_COLUMN}|{DATE_COLUMN}|{KEY_COLUMN}") & F.trim("text").rlike(_AMOUNT)
+    wide = F.collect_list(F.when(free, F.struct(F.col("header").alias("metric"), F.col("text").alias("value"))))  # a row's cells
+    rows = named.groupBy("source_id", "row").agg(pick(NAME_COLUMN).alias("metric"), pick(VALUE_COLUMN).alias("value"), pick(DATE_COLUMN).alias("day"), wide.alias("wide"))
+    rows = rows.join(s, "source_id").withColumn("as_of", F.coalesce(F.try_to_timestamp("day", F.lit("yyyy-MM-dd")).cast("date"), "source_date"))
+    is_long = F.col("metric").isNotNull() & F.col("value").isNotNull()
+    long = rows.where(is_long).select("source_id", "name", canonical_metric(F.col("metric")).alias("metric"), "value", "as_of")
+    across = rows.where(~is_long).select("source_id", "name", "as_of", F.explode("wide").alias("w")).select("source_id", "name", canonical_metric(F.col("w.metric")).alias("metric"), "w.value", "as_of")
+    once = across.groupBy("source_id", "metric", "as_of").agg(F.count("*").alias("n")).groupBy("source_id", "metric").agg(F.max("n").alias("n")).where("n = 1").select("source_id", "metric")
+    return long.unionByName(across.join(once, ["source_id", "metric"], "left_semi").select(*long.columns))
 
 
 def metric_conflicts(metrics: DataFrame) -> DataFrame:
-    """Metrics with different values at different dates in different exports."""
-    g = metrics.where("as_of is not null").groupBy("metric").agg(F.count_distinct("as_of").alias("dates"), F.count_distinct("value").alias("values"), F.count_distinct("source_id").alias("files"), F.array_sort(F.collect_set("name")).alias("sources"))
-    g = g.where("dates > 1 and values > 1 and files > 1")
+    """Metrics on which exports disagree, with the exports that do.
+
+    Exports disagree if they give a metric different numbers for one date; or different numbers for two dates that follow each other among all exports
+    while no export has both: where one has, the change is the metric's own. Exports of equal numbers, however spelt, and
+    one that carries another on to later dates therefore agree. Dates meet by windows over each metric's dates; no two exports are joined.
+    """
+    points = metrics.where("as_of is not null").select("metric", "as_of", "name", canonical_value(F.col("value")).alias("value")).distinct()
+    dates = points.groupBy("metric", "as_of").agg(F.count_distinct("value").alias("values"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_distinct("name").alias("files"))
+    same_day = points.join(dates.where("values > 1 and files > 1"), ["metric", "as_of"], "left_semi").select("metric", "name")
+    along = Window.partitionBy("metric").orderBy("as_of")
+    before = lambda c: F.lag(c).over(along)
+    steps = dates.select("metric", "as_of", before("as_of").alias("since"), ((F.col("least") != before("least")) | (F.col("most") != before("most"))).alias("differs")).where("differs")
+    own = Window.partitionBy("metric", "name").orderBy("as_of")
+    attested = points.select("metric", "name", "as_of").distinct().withColumn("since", F.lag("as_of").over(own)).where("since is not null").select("metric", "as_of", "since").distinct()
+    bare = steps.join(attested, ["metric", "as_of", "since"], "left_anti")
+    ends = bare.select("metric", F.explode(F.array("as_of", "since")).alias("as_of")).distinct()
+    apart = points.join(ends, ["metric", "as_of"], "left_semi").select("metric", "name")
+    g = same_day.unionByName(apart).groupBy("metric").agg(F.array_sort(F.collect_set("name")).alias("sources")).where(F.size("sources") > 1)
     return g.select(X.content_id("conflict", F.lit("metric"), F.col("metric")).alias("conflict_id"), F.lit("metric").alias("kind"), "sources", "metric")
 
 

@@ -140,6 +140,26 @@ def packet_metric_conflicts(spark, sf):
     return K.metric_conflicts(_metrics(spark, sf)).select("conflict_id", "metric", F.array_join("sources", ",").alias("sources"))
 
 
+def packet_wide_conflicts(spark, sf):
+    """Counts by order priority in three exports: a long one of the first years, a wide one from the second year on that spells numbers otherwise and
+    has some with another sign, and a wide one of the last year alone."""
+    o = _t(spark, sf, "orders")
+    n = o.groupBy(F.date_format("o_orderdate", "yyyy").cast("int").alias("y"), F.col("o_orderpriority").alias("p")).agg(F.count("*").alias("n"))
+    k = F.substring("p", 1, 1).cast("int")
+    cell = lambda name, row, column, text: F.struct(F.lit(name).alias("source_id"), row.cast("int").alias("ordinal"), F.concat(column, row.cast("string")).alias("cell"), text.alias("text"))
+    day = F.concat("y", F.lit("-12-31"))
+    one, a = F.lit(1), F.lit("A")
+    long = F.array(*[cell("all", (F.col("y") - 1990) * 10 + k, F.lit(c), t) for c, t in zip("ABC", (F.col("p"), F.format_number("n", 0), day))], *[cell("all", one, F.lit(c), F.lit(t)) for c, t in zip("ABC", ("Metric", "Value", "As_of"))])
+    letter = F.chr(F.lit(65) + k)
+    signed = F.when((F.col("y") % 4 == 1) & (k == 2), F.concat(F.lit("($"), F.col("n").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit(" "), F.col("n").cast("string"), F.lit(".0")))
+    wide = lambda name, value: F.array(cell(name, F.col("y") - 1980, letter, value), cell(name, F.col("y") - 1980, a, day), cell(name, one, a, F.lit("report date")), cell(name, one, letter, F.col("p")))
+    last = n.join(F.broadcast(n.agg(F.max("y").alias("y"))), "y").where(F.col("p").startswith("1"))
+    cells = n.where("y <= 1995").select(F.explode(long).alias("c")).unionByName(n.where("y >= 1993").select(F.explode(wide("wide", signed)).alias("c"))).unionByName(last.select(F.explode(wide("last", F.col("n").cast("string"))).alias("c")))
+    f = cells.select("c.*").distinct().select("*", F.lit("cell").alias("kind"), F.lit("csv").alias("ext"))
+    s = f.select("source_id", F.concat("source_id", F.lit(".csv")).alias("name"), F.lit("data_export").alias("role"), F.lit(None).cast("date").alias("source_date")).distinct()
+    return K.metric_conflicts(K.metrics(f, s)).select("conflict_id", "metric", F.array_join("sources", ",").alias("sources"))
+
+
 def _cells(spark, sf):
     """Return flags as workbooks, line statuses as sheets, orders as rows, line numbers as columns; higher discounts are formulas."""
     i = _t(spark, sf, "lineitem")
@@ -220,6 +240,15 @@ def reviewed_claims(spark, sf):
     return D.apply_to_claims(_claims(spark, sf), _log(spark, sf)).select("claim_id", "origin", F.sha2("text", 256).alias("text_sha256"), F.size("terms").cast("long").alias("n_terms"))
 
 
+def replayed_claims(spark, sf):
+    """Every event as a decision on one of few claims, half of which documents seed: created, edited, deleted, merged, in any order."""
+    e = _t(spark, sf, "events").where("user_id is not null")
+    action = F.expr("CASE event_type WHEN 'click' THEN 'create' WHEN 'signup' THEN 'edit' WHEN 'purchase' THEN 'delete' WHEN 'view' THEN 'merge' ELSE 'edit' END")
+    payload = F.create_map(F.lit("text"), F.when(F.col("event_type") != "error", F.concat(F.lit("t"), F.col("event_id").cast("string"))), F.lit("into"), F.concat(F.lit("c"), (F.col("user_id") + 1).cast("string")))
+    log = e.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("decision_id"), F.lit("claim").alias("target_kind"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("target_id"), action.alias("action"), F.col("ts").cast("timestamp").alias("at"), payload.alias("payload"))
+    return D.replayed(_claims(spark, sf).where("cast(substr(claim_id, 2) as bigint) % 2 = 0"), log).select("claim_id", "live", "origin", F.sha2("text", 256).alias("text_sha256"), "into")
+
+
 def attached_support(spark, sf):
     return D.support(_log(spark, sf), _evidence(spark, sf)).select("claim_id", "evidence_id", "source_id", "decision_id")
 
@@ -359,8 +388,8 @@ def packet_refresh(spark, sf):
 
 NAMES = (
     packet_inventory, packet_headings, packet_pdf_sections, packet_slides, packet_tables, packet_evidence, packet_claims, packet_empty_drafts, packet_source_findings, packet_selection,
-    packet_clean_sources, packet_version_conflicts, packet_conflict_findings, packet_metrics, packet_metric_conflicts, book_sheets, book_hidden_sheets, book_headers, book_formulas,
-    book_hardcodes, book_without_checks, book_repeated_formulas, book_repairs, decision_latest, reviewed_claims, attached_support, merged_support, reviewed_conflicts, reviewed_findings,
+    packet_clean_sources, packet_version_conflicts, packet_conflict_findings, packet_metrics, packet_metric_conflicts, packet_wide_conflicts, book_sheets, book_hidden_sheets, book_headers, book_formulas,
+    book_hardcodes, book_without_checks, book_repeated_formulas, book_repairs, decision_latest, reviewed_claims, replayed_claims, attached_support, merged_support, reviewed_conflicts, reviewed_findings,
     packet_claim_findings, generated_claims, claim_receipt, gate_blockers, legal_passages, legal_propositions, legal_support, legal_unresolved, legal_unmapped, legal_trust, legal_classes,
     legal_boundaries, legal_output, legal_reuse, source_history, packet_refresh,
 )
@@ -422,6 +451,17 @@ _ALIAS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in K.ALIASES.items()) + "}
 _MET = rf"""m AS (SELECT concat('x', strftime(o_orderdate, '%Y')) AS source_id, array_to_string(list_transform(string_split(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g'), '_'),
   lambda w: coalesce({_ALIAS}[w], {_ALIAS}[regexp_replace(w, 's$', '')], w)), '_') AS metric, CAST(count(*) AS VARCHAR) AS value, concat(strftime(o_orderdate, '%Y'), '-12-31') AS as_of
   FROM orders GROUP BY strftime(o_orderdate, '%Y'), o_orderpriority)"""
+#: Exports that disagree, by pairs of points p (metric, as_of, value, name): of one date, or of two dates with none between that no export has both of.
+_APART = f"""y AS (SELECT a.metric, a.name AS one, b.name AS other FROM p a JOIN p b ON a.metric = b.metric AND a.value <> b.value AND a.name <> b.name AND a.as_of = b.as_of UNION
+  SELECT a.metric, a.name, b.name FROM p a JOIN p b ON a.metric = b.metric AND a.as_of < b.as_of
+  WHERE (SELECT list_sort(list(DISTINCT value)) FROM p c WHERE c.metric = a.metric AND c.as_of = a.as_of) <> (SELECT list_sort(list(DISTINCT value)) FROM p c WHERE c.metric = b.metric AND c.as_of = b.as_of)
+    AND NOT EXISTS (SELECT 1 FROM p c WHERE c.metric = a.metric AND c.as_of > a.as_of AND c.as_of < b.as_of)
+    AND NOT EXISTS (SELECT 1 FROM p c JOIN p d ON c.metric = d.metric AND c.name = d.name WHERE c.metric = a.metric AND c.as_of = a.as_of AND d.as_of = b.as_of)),
+n AS (SELECT metric, one AS name FROM y UNION SELECT metric, other FROM y)
+SELECT {_id('conflict', chr(39) + 'metric' + chr(39), 'metric')} AS conflict_id, metric, string_agg(name, ',' ORDER BY name) AS sources FROM n GROUP BY metric"""
+_WIDE = r"""q AS (SELECT CAST(strftime(o_orderdate, '%Y') AS INT) AS y, regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g') AS metric, count(*) AS n FROM orders GROUP BY ALL),
+p AS (SELECT metric, concat(y, '-12-31') AS as_of, CAST(n AS VARCHAR) AS value, 'all.csv' AS name FROM q WHERE y <= 1995 UNION ALL SELECT metric, concat(y, '-12-31'), CAST(CASE WHEN y % 4 = 1 AND metric LIKE '2%' THEN -n ELSE n END AS VARCHAR), 'wide.csv' FROM q WHERE y >= 1993
+  UNION ALL SELECT metric, concat(y, '-12-31'), CAST(n AS VARCHAR), 'last.csv' FROM q WHERE metric LIKE '1%' AND y = (SELECT max(y) FROM q))"""
 _BOOK = """x AS (SELECT concat('w', l_returnflag) AS source_id, concat('book', l_returnflag, '.xlsx') AS name, concat(l_linestatus, '-sheet') AS sheet, CAST(l_orderkey AS INT) AS "row", chr(64 + CAST(l_linenumber AS INT)) AS col,
   concat(chr(64 + CAST(l_linenumber AS INT)), l_orderkey) AS cell, l_orderkey % 7 = 0 AND l_linenumber < 3 AS word, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value,
   CASE WHEN l_discount >= 0.05 THEN concat('SUM(A1:A', CAST(l_quantity AS BIGINT), ')') END AS formula FROM lineitem),
@@ -465,7 +505,8 @@ def oracle_sql():
         "packet_version_conflicts": f"WITH {_VC} SELECT conflict_id, kind, array_to_string(names, ',') AS sources FROM v",
         "packet_conflict_findings": f"WITH {_VC} " + _found("conflict", N.MUST, "'source-conflict'", "concat('Potential version/status conflict across: ', array_to_string(names, ', '))", "NULL", "conflict_id", "FROM v"),
         "packet_metrics": f"WITH {_MET} SELECT source_id, metric, value, as_of FROM m",
-        "packet_metric_conflicts": f"WITH {_MET} SELECT {_id('conflict', chr(39) + 'metric' + chr(39), 'metric')} AS conflict_id, metric, string_agg(DISTINCT concat(source_id, '.csv'), ',' ORDER BY concat(source_id, '.csv')) AS sources FROM m GROUP BY metric HAVING count(DISTINCT as_of) > 1 AND count(DISTINCT value) > 1",
+        "packet_metric_conflicts": f"WITH {_MET}, p AS (SELECT metric, as_of, value, concat(source_id, '.csv') AS name FROM m), {_APART}",
+        "packet_wide_conflicts": f"WITH {_WIDE}, {_APART}",
         "book_sheets": f"WITH {_BOOK} SELECT source_id, sheet, state FROM s",
         "book_hidden_sheets": f"WITH {_BOOK} SELECT source_id, sheet FROM s WHERE state = 'hidden'",
         "book_headers": f'WITH {_BOOK}, r AS (SELECT source_id, sheet, "row" FROM x GROUP BY source_id, sheet, "row" HAVING bool_and(word AND formula IS NULL) QUALIFY row_number() OVER (PARTITION BY source_id, sheet ORDER BY "row") = 1) SELECT source_id, sheet, "row", cell, value AS header FROM x JOIN r USING (source_id, sheet, "row")',
@@ -475,10 +516,21 @@ def oracle_sql():
         "book_repeated_formulas": f"WITH {_BOOK} SELECT source_id, sheet, formula, count(*) AS n FROM x WHERE formula IS NOT NULL GROUP BY ALL HAVING count(*) >= {W.REPEATED}",
         "book_repairs": f'WITH {_BOOK} SELECT h.source_id, h.sheet, h.cell, h.value, arg_min(o.formula, ROW(abs(h."row" - o."row"), o."row", o.formula)) AS suggested_input, CAST({len(W.REPAIRS["hardcode"])} AS BIGINT) AS steps FROM h JOIN x o ON o.formula IS NOT NULL AND h.source_id = o.source_id AND h.sheet = o.sheet AND h.col = o.col GROUP BY h.source_id, h.sheet, h.cell, h.value',
         "decision_latest": f"WITH {_LOGS} SELECT target_id, decision_id, action FROM lc",
-        "reviewed_claims": f"""WITH {_LOGS}, a AS (SELECT concat('c', doc_id) AS claim_id, text FROM documents),
-            r AS (SELECT claim_id, CASE WHEN action = 'edit' THEN 'edited' ELSE 'seeded' END AS origin, CASE WHEN action = 'edit' THEN said ELSE text END AS text FROM a LEFT JOIN lc ON claim_id = target_id WHERE action IS NULL OR action <> 'delete'
-              UNION ALL SELECT target_id, 'created', said FROM lc WHERE action = 'create')
+        "reviewed_claims": f"""WITH {_LOGS}, a AS (SELECT concat('c', doc_id) AS claim_id, text FROM documents), u AS (SELECT claim, event_type, concat('Edited statement number ', event_id) AS said, ROW(ts, decision_id) AS place FROM g),
+            r AS (SELECT claim_id, CASE WHEN e.said IS NULL THEN 'seeded' ELSE 'edited' END AS origin, coalesce(e.said, text) AS text FROM a LEFT JOIN (SELECT claim, arg_max(said, place) AS said FROM u WHERE event_type = 'signup' GROUP BY claim) e ON claim = claim_id
+                WHERE claim_id NOT IN (SELECT claim FROM u WHERE event_type = 'purchase')
+              UNION ALL SELECT claim, 'created', arg_min(said, place) FROM u WHERE event_type = 'click' GROUP BY claim)
             SELECT claim_id, origin, sha256(text) AS text_sha256, CAST(len({_terms("text")}) AS BIGINT) AS n_terms FROM r""",
+        "replayed_claims": """WITH RECURSIVE e AS (SELECT concat('c', user_id) AS claim_id, CASE event_type WHEN 'click' THEN 'create' WHEN 'signup' THEN 'edit' WHEN 'purchase' THEN 'delete' WHEN 'view' THEN 'merge' ELSE 'edit' END AS action, CASE WHEN event_type <> 'error' THEN concat('t', event_id) END AS said,
+              concat('c', user_id + 1) AS goal, row_number() OVER (PARTITION BY user_id ORDER BY ts, lpad(CAST(event_id AS VARCHAR), 12, '0')) AS n FROM events WHERE user_id IS NOT NULL),
+            s AS (SELECT concat('c', doc_id) AS claim_id, text FROM documents WHERE doc_id % 2 = 0),
+            r AS (SELECT claim_id, 0 AS n, s.claim_id IS NOT NULL AS live, CASE WHEN s.claim_id IS NOT NULL THEN 'seeded' END AS origin, text, CAST(NULL AS VARCHAR) AS "into" FROM (SELECT DISTINCT claim_id FROM e) FULL JOIN s USING (claim_id)
+              UNION ALL SELECT claim_id, r.n + 1, CASE action WHEN 'create' THEN live OR said IS NOT NULL WHEN 'edit' THEN live WHEN 'merge' THEN false ELSE false END,
+                CASE WHEN action = 'create' AND NOT live AND said IS NOT NULL THEN 'created' WHEN action = 'edit' AND live AND said IS NOT NULL AND origin <> 'created' THEN 'edited' ELSE origin END,
+                CASE WHEN said IS NOT NULL AND ((action = 'create' AND NOT live) OR (action = 'edit' AND live)) THEN said ELSE text END,
+                CASE WHEN action = 'delete' OR (action = 'create' AND NOT live AND said IS NOT NULL) THEN NULL WHEN action = 'merge' AND (live OR "into" IS NOT NULL) THEN goal ELSE "into" END
+                FROM r JOIN e USING (claim_id) WHERE e.n = r.n + 1)
+            SELECT claim_id, arg_max(live, n) AS live, arg_max(ROW(origin), n)[1] AS origin, sha256(arg_max(ROW(text), n)[1]) AS text_sha256, arg_max(ROW("into"), n)[1] AS "into" FROM r GROUP BY claim_id""",
         "attached_support": f"WITH {_LOGS} SELECT claim_id, evidence_id, source_id, decision_id FROM su",
         "merged_support": f"""WITH RECURSIVE {_LOGS}, mg AS (SELECT doc_id, doc_id AS pos FROM documents WHERE doc_id % 3 = 0 AND doc_id % 30 <> 0 UNION ALL SELECT doc_id, pos - 3 FROM mg WHERE pos % 30 <> 0),
             en AS (SELECT concat('c', doc_id) AS claim_id, concat('c', min(pos)) AS ending FROM mg GROUP BY doc_id) SELECT coalesce(ending, claim_id) AS claim_id, evidence_id, decision_id FROM su LEFT JOIN en USING (claim_id)""",

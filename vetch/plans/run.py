@@ -88,7 +88,7 @@ class Review:
 
     @cached_property
     def support(self) -> DataFrame:
-        return D.support(self.decisions, self.evidence)
+        return D.support(self.decisions, self.evidence, self.seeded)
 
     @cached_property
     def suggestions(self) -> DataFrame:
