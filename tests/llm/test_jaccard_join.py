@@ -47,7 +47,7 @@ def family(rng, base, copies, changes):
     return out
 
 
-@pytest.mark.parametrize("block,rounds", [(1024, 2), (8, 1), (8, 0)])
+@pytest.mark.parametrize("block,rounds", [(1024, 1), (8, 2), (8, 0)])
 def test_by_brute_force(spark, monkeypatch, block, rounds):
     """Families whose members link all, in part and not at all, with one common passage in many texts of others."""
     monkeypatch.setattr(J, "ROUNDS", rounds)

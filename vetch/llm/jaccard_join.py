@@ -42,7 +42,7 @@ MOST_MATCHES, SEND, READ, VERIFY = 16, 8.0, 1.0, 64.0
 #: Classes of one shingle that meet in one group, and groups whose pairs are all formed at once.
 BLOCK, SMALL = 1024, 24
 #: Rounds in which groups are drawn together before the rest of the pairs is formed.
-ROUNDS = 2
+ROUNDS = 1
 #: Pairs of texts that are unpacked and compared at a time.
 PAIRS = 64
 #: Ids of texts that are sent to every task (16 MB of them) rather than shuffled.
