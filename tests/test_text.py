@@ -29,7 +29,7 @@ def test_dates_and_states(spark):
     assert one(spark, d, n="a.md", t="Status: draft. Data as of 2006-03-31.") == datetime.date(2006, 3, 31)
     assert one(spark, d, n="a.csv", t="metric,value,as_of_date\nx,1,2026-03-02") == datetime.date(2026, 3, 2)
     assert one(spark, d, n="a.md", t="on 2026-99-99") is None
-    s = X.source_status(F.col("n"), F.col("t"))
+    s = F.coalesce(X.status_line(F.col("t")), X.name_state(F.col("n")), F.lit("unclear"))
     assert [one(spark, s, n=n, t=t) for n, t in (("a-old.csv", ""), ("a-old.md", "x\nStatus: final. y"), ("a.md", "x"), ("b-raw-export.csv", ""))] == ["old", "final", "unclear", "raw"]
     assert one(spark, X.stem(F.col("n")), n="2026-01-02-Figures-final.csv") == "figures"
 

@@ -52,12 +52,35 @@ def number_bearing(text: Column) -> Column:
     return F.coalesce(text.rlike("[0-9]"), F.lit(False))
 
 
+def _some(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
+
+
+def name_date(name: Column) -> Column:
+    return _some(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1))
+
+
+def date_phrase(text: Column) -> Column:
+    """The first date after a phrase that dates a source, or null."""
+    return _some(F.regexp_extract(text, r"(?i)(?:data as of|filed|compiled|source date:?|as of) (\d{4}-\d{2}-\d{2})", 1))
+
+
+def any_date(text: Column) -> Column:
+    return _some(F.regexp_extract(text, ISO_DATE, 1))
+
+
+def heads_dates(text: Column) -> Column:
+    """Whether a text's first line names a column of dates."""
+    return text.rlike(r"\A[^\n]*(?:as_of|date)")
+
+
+def first_date(*found: Column) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).cast("date") for c in found])
+
+
 def source_date(name: Column, text: Column) -> Column:
     """The date of a source: in its name, then after a date phrase in its body, then in a column of dates."""
-    phrase = F.regexp_extract(text, r"(?i)(?:data as of|filed|compiled|source date:?|as of) (\d{4}-\d{2}-\d{2})", 1)
-    column = F.when(text.rlike(r"(?m)\A[^\n]*(?:as_of|date)"), F.regexp_extract(text, ISO_DATE, 1))
-    tried = [F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1), phrase, column]
-    return F.coalesce(*[F.try_to_timestamp(F.nullif(c, F.lit("")), F.lit("yyyy-MM-dd")).cast("date") for c in tried])
+    return first_date(name_date(name), date_phrase(text), F.when(heads_dates(text), any_date(text)))
 
 
 #: States that a file name or a status line can give.
@@ -75,10 +98,9 @@ def name_state(name: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(name), rf"[-_ ]({'|'.join(STATES)})(?:[-_ ][a-z]+)?\.[a-z0-9]+$", 1), F.lit(""))
 
 
-def source_status(name: Column, text: Column) -> Column:
-    """The state by a status line, else by the name, else unclear."""
-    line = F.nullif(F.lower(F.regexp_extract(text, rf"(?im)^Status: *({'|'.join(STATES)})\b", 1)), F.lit(""))
-    return F.coalesce(line, name_state(name), F.lit("unclear"))
+def status_line(text: Column) -> Column:
+    """The state that the first status line gives, or null."""
+    return _some(F.lower(F.regexp_extract(text, rf"(?im)^Status: *({'|'.join(STATES)})\b", 1)))
 
 
 def paragraphs(text: Column) -> Column:

@@ -27,21 +27,24 @@ def rows_of(facts: DataFrame) -> DataFrame:
 def inventory(facts: DataFrame) -> DataFrame:
     """A row for each source: how it was inspected, its date, status, role, whether it has numbers and rows of one length.
 
-    The text of one file, which inspection had whole already, is put together for its date and status.
+    What counts of a source is what its blocks say first, in the order of page, sheet and place. Each block is looked through where it is, and
+    the least place decides, which partial aggregation finds: no file's text is put together.
     """
-    line = F.struct(F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("sheet", F.lit("")).alias("sheet"), "ordinal", "text")
-    bodies = rows_of(facts).groupBy("source_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), "\n").alias("body"),
-        F.max(X.number_bearing(F.col("text"))).alias("number_bearing"),
-        F.count_distinct(F.when(F.col("kind") == "row", F.col("n_cells"))).alias("widths"),
-    )
+    text = F.col("text")
+    place = F.struct(F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("sheet", F.lit("")).alias("sheet"), "ordinal", "text")
+    first = lambda said: F.min(F.when(said.isNotNull(), F.struct(place.alias("at"), said.alias("said"))))["said"]
+    width = F.when(F.col("kind") == "row", F.col("n_cells"))
+    said = rows_of(facts).groupBy("source_id").agg(
+        first(X.status_line(text)).alias("line"), first(X.date_phrase(text)).alias("phrase"), first(X.any_date(text)).alias("day"), first(X.heads_dates(text)).alias("dated"),
+        F.max(X.number_bearing(text)).alias("number_bearing"), F.min(width).alias("least"), F.max(width).alias("most"),
+    )
     files = facts.select("source_id", "name", "ext", "bytes", "sha256", "inspection").distinct()
-    s = files.join(bodies, "source_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
+    s = files.join(said, "source_id", "left")
     role = F.coalesce(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[F.col("ext")], F.lit("unknown"))
     return s.select(
         "source_id", "name", "ext", "bytes", "sha256", "inspection", X.stem(F.col("name")).alias("stem"), X.name_state(F.col("name")).alias("name_state"),
-        X.source_status(F.col("name"), F.col("body")).alias("status"), X.source_date(F.col("name"), F.col("body")).alias("source_date"), role.alias("role"),
-        F.coalesce("number_bearing", F.lit(False)).alias("number_bearing"), (F.coalesce("widths", F.lit(0)) <= 1).alias("consistent"),
+        F.coalesce("line", X.name_state(F.col("name")), F.lit("unclear")).alias("status"), X.first_date(X.name_date(F.col("name")), F.col("phrase"), F.when(F.col("dated"), F.col("day"))).alias("source_date"), role.alias("role"),
+        F.coalesce("number_bearing", F.lit(False)).alias("number_bearing"), F.coalesce(F.col("least") == F.col("most"), F.lit(True)).alias("consistent"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
+
 # What a source's status is worth, in hundredths.
 STATUS_WEIGHT = {"final": 100, "raw": 80, "unclear": 50, "draft": 40, "archive": 30, "old": 20}
 #: Parts of a confidence, in hundredths.
@@ -34,11 +36,20 @@ def status_weight(status: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in STATUS_WEIGHT.items() for x in kv])[status], F.lit(STATUS_WEIGHT["unclear"]))
 
 
-def confidence(shared: Column, n_claim: Column, n_evidence: Column, shared_numbers: Column, n_numbers: Column, status: Column, anchored: Column) -> Column:
+def standing(status: Column, anchored: Column) -> Column:
+    """What a piece of evidence is worth by itself."""
+    return (status_weight(status) * STATUS_PART + F.when(anchored, F.lit(ANCHOR_PART * 100)).otherwise(F.lit(0))).cast("long")
+
+
+def confidence(shared: Column, n_claim: Column, n_evidence: Column, shared_numbers: Column, n_numbers: Column, standing: Column) -> Column:
     """In ten-thousandths, in whole numbers: shares of terms in common and of the claim's numbers found, status, and an anchor."""
     terms = F.floor(shared * TERM_PART * 100 / (n_claim + n_evidence - shared))
     numbers = F.when(n_numbers > 0, F.floor(shared_numbers * NUMBER_PART * 100 / n_numbers)).otherwise(F.lit(0))
-    return (terms + numbers + status_weight(status) * STATUS_PART + F.when(anchored, F.lit(ANCHOR_PART * 100)).otherwise(F.lit(0))).cast("long")
+    return (terms + numbers + standing).cast("long")
+
+
+#: Postings of evidence that a claim reads before its bound is known; numbers that more evidence has are only counted, never joined.
+REACH, HOT = 32, 1000
 
 
 def _elements() -> Column:
@@ -51,19 +62,63 @@ def _elements() -> Column:
     return F.concat(marked("terms", True), marked("numbers", False))
 
 
-def suggest(claims: DataFrame, evidence: DataFrame, k: int = TOP) -> DataFrame:
+def by_rarity(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Each claim (claim_id, claim_source, n_claim, n_numbers) with those of its terms and numbers that some evidence has, as arrays of (df, e), the
+    rare ones first; df is in how much evidence."""
+    frequency = exploded(evidence.select(_elements().alias("_e")), "_e").groupBy("_e").agg(F.count("*").alias("df"))
+    a = claims.select("claim_id", F.col("source_id").alias("claim_source"), F.size("terms").alias("n_claim"), F.size("numbers").alias("n_numbers"), _elements().alias("_e"))
+    met = exploded(a, "_e").join(frequency, "_e")
+    of = lambda term: F.sort_array(F.collect_list(F.when(F.col("_e.term") == term, F.struct("df", F.col("_e.e").alias("e")))))
+    return met.groupBy("claim_id", "claim_source", "n_claim", "n_numbers").agg(of(True).alias("terms"), of(False).alias("numbers"))
+
+
+def _met(wanted: DataFrame, evidence: DataFrame, on: list[str]) -> DataFrame:
+    """(claim_id, evidence_id, ..., met, met_numbers): evidence that shares one of a claim's ``first`` rarest terms or a number that isn't hot; how many.
+
+    ``on`` has standing where a claim wants different numbers of terms for evidence of different standing.
+    """
+    marked = lambda c, term: F.transform(c, lambda x: F.struct(F.lit(term).alias("term"), x["e"].alias("e")))
+    cold = F.filter("numbers", lambda x: x["df"] <= HOT)
+    wanted = wanted.select("claim_id", "claim_source", *on, F.explode(F.concat(marked(F.slice("terms", 1, F.col("first")), True), marked(cold, False))).alias("_e"))
+    held = exploded(evidence.select("evidence_id", "source_id", *on, _elements().alias("_e")), "_e")
+    pairs = wanted.join(held, ["_e", *on]).where("claim_source <> source_id")
+    return pairs.groupBy("claim_id", "evidence_id", *on).agg(F.count_if(F.col("_e.term")).alias("met"), F.count_if(~F.col("_e.term")).alias("met_numbers"))
+
+
+def suggest(claims: DataFrame, evidence: DataFrame, k: int = TOP, reach: int = REACH) -> DataFrame:
     """The k best suggestions for each claim. They are advice: nothing but an audited decision makes support of them.
 
-    Terms and numbers meet in one join, so that claims are read once and pairs are grouped once.
+    A threshold algorithm. A claim first meets the evidence that shares its rarest terms, about ``reach`` of it. The k-th best confidence that
+    this proves is a bound: evidence that shares none but r of the claim's most frequent terms can reach no more than r / n_claim of the
+    part of terms, all of the claim's hot numbers, and its own standing (status and anchor, 12 values at most). So many frequent terms as
+    can't lift evidence of a standing to the bound are in no join with it; it is met by the others. Of what a claim has met, only what could still
+    reach the bound is held against it in full. Nothing is left out: a claim with a low bound joins more of its terms.
     """
-    a = claims.select("claim_id", F.col("source_id").alias("claim_source"), F.size("terms").alias("n_claim"), F.size("numbers").alias("n_numbers"), _elements().alias("_e"))
-    b = evidence.select("evidence_id", "source_id", _elements().alias("_e"))
-    met = exploded(a, "_e").select("claim_id", "claim_source", "n_claim", "n_numbers", "_e.*").join(exploded(b, "_e").select("evidence_id", "source_id", "_e.*"), ["term", "e"]).where("claim_source <> source_id")
-    counts = [F.count_if(F.col("term")).alias("term_overlap"), F.count_if(~F.col("term")).alias("number_overlap"), F.max("n_claim").alias("n_claim"), F.max("n_numbers").alias("n_numbers")]
-    e = evidence.select("evidence_id", "source_id", F.size("terms").alias("n_evidence"), "status", "anchor")
-    s = met.groupBy("claim_id", "evidence_id").agg(*counts).where("term_overlap > 0").join(e, "evidence_id")
-    s = s.withColumn("confidence", confidence(F.col("term_overlap"), F.col("n_claim"), F.col("n_evidence"), F.col("number_overlap"), F.col("n_numbers"), F.col("status"), F.col("anchor").isNotNull()))
-    best = Window.partitionBy("claim_id").orderBy(F.desc("confidence"), "evidence_id")
-    s = s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    evidence = evidence.withColumn("standing", standing(F.col("status"), F.col("anchor").isNotNull()))
+    sizes = evidence.select("evidence_id", "source_id", F.size("terms").alias("n_evidence"), "status", F.col("anchor").isNotNull().alias("anchored"), F.col("standing").alias("_standing"))
+    scored = lambda pairs, terms, numbers: pairs.join(sizes, "evidence_id").withColumn("confidence", confidence(terms, F.col("n_claim"), F.col("n_evidence"), numbers, F.col("n_numbers"), F.col("_standing")))
+    best = lambda *order: Window.partitionBy("claim_id").orderBy(*order)
+    ordered = cut(by_rarity(claims, evidence))
+    reading = F.aggregate("terms", F.struct(F.lit(0).cast("long").alias("df"), F.lit(0).alias("n")), lambda s, x: F.struct((s["df"] + x["df"]).alias("df"), F.when((s["df"] + x["df"] <= reach) | (s["df"] == 0), s["n"] + 1).otherwise(s["n"]).alias("n")))["n"]
+    least = _met(ordered.withColumn("first", reading), evidence, []).where("met > 0").join(ordered.select("claim_id", "n_claim", "n_numbers"), "claim_id")
+    least = scored(least, F.col("met"), F.col("met_numbers"))
+    bound = least.withColumn("rank", F.row_number().over(best(F.desc("confidence")))).where(F.col("rank") == k).select("claim_id", F.col("confidence").alias("bound"))
+    hot = F.size(F.filter("numbers", lambda x: x["df"] > HOT))
+    bounded = ordered.join(bound, "claim_id", "left").withColumn("hot", hot).join(F.broadcast(evidence.select("standing").distinct()))  # 12 rows at most
+    spare = F.col("bound") - F.col("standing") - F.when(F.col("hot") > 0, F.floor(F.col("hot") * NUMBER_PART * 100 / F.col("n_numbers"))).otherwise(0)
+    # r terms give floor(r * 6000 / n_claim) at most, which is less than spare if r is less than spare * n_claim / 6000.
+    idle = F.greatest(F.lit(0), F.ceil(F.coalesce(spare, F.lit(0)) * F.col("n_claim") / (TERM_PART * 100)) - 1)
+    bounded = bounded.withColumn("idle", F.least(F.size("terms").cast("long"), idle)).withColumn("first", (F.size("terms") - F.col("idle")).cast("int"))
+    lists = bounded.select("claim_id", "standing", "n_claim", "n_numbers", "bound", "idle", "hot")
+    most = scored(_met(bounded, evidence, ["standing"]).join(lists, ["claim_id", "standing"]), F.least(F.col("met") + F.col("idle"), F.col("n_claim"), F.col("n_evidence")), F.least(F.col("met_numbers") + F.col("hot"), F.col("n_numbers")))
+    kept = cut(most.where("bound is null or confidence >= bound").select("claim_id", "evidence_id", "n_claim", "n_numbers", "met", "met_numbers", (F.col("idle") + F.col("hot") == 0).alias("full")))
+    plain = lambda c: F.transform(c, lambda x: x["e"])
+    part = kept.where("not full").drop("met", "met_numbers").join(ordered.select("claim_id", plain("terms").alias("a"), plain("numbers").alias("an")), "claim_id")
+    part = part.join(evidence.select("evidence_id", F.col("terms").alias("b"), F.col("numbers").alias("bn")), "evidence_id")
+    both = lambda x, y: F.coalesce(F.size(F.array_intersect(x, y)), F.lit(0)).cast("long")
+    counted = part.select("claim_id", "evidence_id", "n_claim", "n_numbers", both("a", "b").alias("met"), both("an", "bn").alias("met_numbers"))
+    counted = counted.unionByName(kept.where("full").drop("full")).where("met > 0").withColumnsRenamed({"met": "term_overlap", "met_numbers": "number_overlap"})
+    s = scored(counted, F.col("term_overlap"), F.col("number_overlap"))
+    s = s.withColumn("rank", F.row_number().over(best(F.desc("confidence"), "evidence_id"))).where(F.col("rank") <= k)
     basis = F.format_string("%d terms, %d numbers, status %s", "term_overlap", "number_overlap", "status")
-    return s.select("claim_id", "evidence_id", "source_id", "term_overlap", "number_overlap", status_weight(F.col("status")).alias("status_factor"), F.col("anchor").isNotNull().alias("anchored"), "confidence", "rank", basis.alias("basis"))
+    return s.select("claim_id", "evidence_id", "source_id", "term_overlap", "number_overlap", status_weight(F.col("status")).alias("status_factor"), "anchored", "confidence", "rank", basis.alias("basis"))

@@ -75,13 +75,14 @@ def nearest_formulas(numbers: DataFrame, formulas: DataFrame, band: int = BAND)
     rows = rows.unionByName(f.withColumn("f", found), allowMissingColumns=True)
     low = F.min(F.when(F.col("f").isNotNull(), F.struct((-F.col("row")).alias("up"), "formula")))
     bands = rows.groupBy(*key, "band").agg(low.alias("low"), F.min("f").alias("first"))
-    along = Window.partitionBy(*key).orderBy("band")
+    along = lambda order: Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.col("low").isNotNull(), F.struct((-F.col("low.up")).alias("row"), F.col("low.formula").alias("formula")))
     bands = bands.withColumn("last", last)
-    edges = bands.select(*key, "band", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("above"), F.first("first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("below"))
-    inside = Window.partitionBy(*key, "band")
-    before = F.last("f", True).over(inside.orderBy(F.col("row"), F.col("f").isNull(), F.desc("formula")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("f", True).over(inside.orderBy(F.col("row"), F.col("f").isNotNull(), "formula").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    edges = bands.select(*key, "band", F.last("last", True).over(along("band")).alias("above"), F.last("first", True).over(along(F.desc("band"))).alias("below"))
+    # Both windows run from their beginning to the row, which Spark does in one pass; the second one runs upwards.
+    inside = lambda *order: Window.partitionBy(*key, "band").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.last("f", True).over(inside("row", F.col("f").isNull(), F.desc("formula")))
+    after = F.last("f", True).over(inside(F.desc("row"), F.col("f").isNull(), F.desc("formula")))
     met = rows.withColumn("before", before).withColumn("after", after).where("f is null").join(edges, [*key, "band"], "left")
     near = F.filter(F.array("before", "after", "above", "below"), lambda x: x.isNotNull())
     best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(F.col("row") - x["row"]).alias("d"), x["row"].alias("row"), x["formula"].alias("formula"))))

@@ -13,15 +13,11 @@ from ..operators import findings as N
 from ..operators import gate as G
 from ..operators import legal as L
 from ..operators import matching as M
-from ..operators import workbook as W
-from ..sources import packet as P
+from ..operators import quotes as Q
 from . import packet_queries as PQ
-from . import sample
 from .run import source_diff
 
 MUST, SHOULD = N.MUST, N.SHOULD
-#: Passages without a term inside that are looked for in every text.
-SHORT = 1000
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -99,23 +95,9 @@ def suggestions_topk(spark, sf):
 
 
 def quoted_support(spark, sf):
-    """Passages that stand in a document word for word. A passage's first and last term may run into their neighbours there; all others are
-    the document's terms too, so the longest of them, which few documents have, chooses the pairs to look at. Passages without such a
-    term are looked for in every text: there are as many as SHORT at most, or the query fails.
-    """
-    ends = r"^[\p{L}\p{N}]+|[\p{L}\p{N}]+$"
-    inner = F.transform(X.terms(F.regexp_replace(F.lower("text"), ends, "")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
-    quotes = _t(spark, sf, "benchmark").where("text is not null").select("item_id", F.col("text").alias("quote"), F.array_max(inner)["t"].alias("term"))
-    texts = _t(spark, sf, "documents").select("doc_id", "text", "lang")
-    near = M.exploded(_claims(spark, sf).withColumnRenamed("terms", "term"), "term").join(quotes.where("term is not null"), "term").select("doc_id", "item_id", "quote")
-    found = near.join(texts, "doc_id").where(F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", "lang")
-    short = [(r["item_id"], r["quote"]) for r in quotes.where("term is null").select("item_id", "quote").limit(SHORT + 1).collect()]
-    if len(short) > SHORT:
-        raise ValueError(f"more than {SHORT} passages without an inner term")
-    if not short:
-        return found
-    few = F.broadcast(spark.createDataFrame(short, "item_id long, quote string"))
-    return found.unionByName(texts.join(few, F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", "lang"))
+    """Passages that stand in a document word for word, and where they first do."""
+    texts, passages = _t(spark, sf, "documents").select("doc_id", "lang", "text"), _t(spark, sf, "benchmark").select(F.col("item_id").alias("passage_id"), "text")
+    return Q.quoted(texts, passages).select("doc_id", F.col("passage_id").alias("item_id"), "lang", "begin", "end")
 
 
 def _support(spark, sf):
@@ -207,27 +189,10 @@ def reuse_by_boundary(spark, sf):
     return L.reuse_library(mapped, good, _t(spark, sf, "documents").select(F.col("lang").alias("boundary_key"))).select("boundary_key", "proposition_id", F.col("text").alias("item_id"))
 
 
-def workbook_findings(spark, sf):
-    return N.workbook_findings(P.inspect(sample.files(spark, sample.packet())))
-
-
-def calculation_repairs(spark, sf):
-    return W.repair_packet(P.inspect(sample.files(spark, sample.packet())))
-
-
-def legal_map(spark, sf):
-    facts = P.inspect(sample.files(spark, sample.legal_packet()))
-    return L.legal_map(L.propositions(facts), L.passages(facts))
-
-
-def draft_discipline(spark, sf):
-    return L.unmapped(L.propositions(P.inspect(sample.files(spark, sample.legal_packet()))))
-
-
 NAMES = (
     suggestions_topk, source_inventory, line_anchors, quote_hash, number_tokens, number_overlap, number_bearing_undated, duplicate_versions, term_overlap, quoted_support,
     unsupported_claims, claim_map, status_conflict, metric_conflict, metric_alias, findings_union, severity_counts, readiness, review_queue, decision_state,
-    generation_blockers, refresh_diff, reuse_by_boundary, workbook_findings, calculation_repairs, legal_map, draft_discipline,
+    generation_blockers, refresh_diff, reuse_by_boundary,
 )
 
 
@@ -250,7 +215,7 @@ n AS (SELECT DISTINCT doc_id, coalesce(CASE WHEN contains(regexp_replace(CAST(v
   || CASE WHEN u IN ('%', 'percent') THEN '%' ELSE '' END AS number FROM n1)"""
 _OVERLAP = f"""c AS (SELECT doc_id, {_TERMS} AS terms FROM documents), e AS (SELECT item_id, {_TERMS} AS terms FROM benchmark),
 o AS (SELECT doc_id, item_id, count(*) AS term_overlap FROM (SELECT doc_id, unnest(terms) AS t FROM c) JOIN (SELECT item_id, unnest(terms) AS t FROM e) USING (t) GROUP BY ALL)"""
-_QUOTED = "q AS (SELECT d.doc_id, b.item_id, d.lang FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+_QUOTED = "q AS (SELECT d.doc_id, b.item_id, d.lang, instr(d.text, b.text) - 1 AS \"begin\", instr(d.text, b.text) - 1 + length(b.text) AS \"end\" FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 _STATES = "s AS (SELECT source, count(DISTINCT quality) AS states, count(*) AS labelled FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING count(DISTINCT quality) > 1)"
 _FINDINGS = f"""f AS (
   SELECT 'undated_numbers' AS rule_id, 'must_fix' AS severity, 'source:' || doc_id AS location, 'Number-bearing source has no source date.' AS issue FROM documents WHERE {_UNDATED}

@@ -236,7 +236,7 @@ def step(spark: SparkSession, store: Store, run_id: str, run: tuple, out: render
     r = (LegalReview if profile == "legal" else Review)(spark, input_dir, list(drafts), decisions)
     try:
         result = write(r, out, name, kind, profile, generate)
-        for t, rows in (("sources", r.selection), ("claims", r.claims), ("support", r.support), ("findings", r.findings), ("conflicts", r.conflicts), ("suggestions", r.suggestions), ("readiness", r.readiness)):
+        for t, rows in (("sources", r.selection), ("evidence", r.evidence.select("evidence_id", "source_id", "name")), ("claims", r.claims), ("support", r.support), ("findings", r.findings), ("conflicts", r.conflicts), ("suggestions", r.suggestions), ("readiness", r.readiness)):
             store.put(t, run_id, rows)
     finally:
         r.facts.unpersist()

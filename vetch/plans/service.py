@@ -87,23 +87,35 @@ class Service:
         result = run.step(self.spark, self.store, run_id, values, render.Artifacts(self.deliverables, r["slug"]), self._log(run_id))
         return {"run_id": run_id, **result}
 
+    def _known(self, run_id: str, table: str, column: str, value: str) -> None:
+        """Refuses to decide on what the run doesn't have. A claim that a decision has taken away is still known by the log."""
+        logged = self._log(run_id).where((F.col("target_kind") == "claim") & (F.col("target_id") == value)) if table == "claims" else None
+        if self._rows(table, run_id).where(F.col(column) == value).isEmpty() and (logged is None or logged.isEmpty()):
+            raise ValueError(f"no {column} {value} in run {run_id}")
+
     def create_claim(self, run_id: str, text: str, actor: str, rationale: str) -> dict:
         return self.decide(run_id, "claim", f"claim_{uuid.uuid4().hex[:16]}", "create", actor, rationale, {"text": text})
 
     def edit_claim(self, run_id: str, claim_id: str, text: str, actor: str, rationale: str) -> dict:
+        self._known(run_id, "claims", "claim_id", claim_id)
         return self.decide(run_id, "claim", claim_id, "edit", actor, rationale, {"text": text})
 
     def delete_claim(self, run_id: str, claim_id: str, actor: str, rationale: str) -> dict:
+        self._known(run_id, "claims", "claim_id", claim_id)
         return self.decide(run_id, "claim", claim_id, "delete", actor, rationale)
 
     def merge_claims(self, run_id: str, claim_id: str, into: str, actor: str, rationale: str) -> dict:
         """Merges a claim into another one; a merge that would lead back to the claim is refused."""
-        ends = D.merges(self._log(run_id)).where(F.col("claim_id") == into).first()
+        for claim in (claim_id, into):
+            self._known(run_id, "claims", "claim_id", claim)
+        ends = D.merges(None, self._log(run_id)).where(F.col("claim_id") == into).first()
         if claim_id in (into, ends["into"] if ends else into):
             raise ValueError("the merge would form a circle")
         return self.decide(run_id, "claim", claim_id, "merge", actor, rationale, {"into": into})
 
     def attach_support(self, run_id: str, claim_id: str, evidence_id: str, quote: str, actor: str, rationale: str, content_hash: str | None = None) -> dict:
+        self._known(run_id, "claims", "claim_id", claim_id)
+        self._known(run_id, "evidence", "evidence_id", evidence_id)
         return self.decide(run_id, "support", f"{claim_id}/{evidence_id}", "attach", actor, rationale, {"claim_id": claim_id, "evidence_id": evidence_id, "quote": quote}, content_hash)
 
     def resolve_calculation(self, run_id: str, finding_id: str, actor: str, rationale: str) -> dict:
