@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from vetch.operators import amounts as A
+from vetch.operators import findings as N
 from vetch.operators import matching as M
 from vetch.operators import quotes as Q
 
@@ -63,3 +65,13 @@ def test_quotes(spark, shard):
     want = {(i, g, p, t.find(q), t.find(q) + len(q)) for i, g, t in texts for p, q in passages if t is not None and q is not None and q in t}
     rows = [tuple(r) for r in got.select("doc_id", "lang", "passage_id", "begin", "end").collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_contradicted_amounts(spark):
+    claims = [("c1", "As of March 31, 2006 the firm had $36.1 billion in assets under management."), ("c2", "Fees were 2 percent."), ("c3", "It holds 12 funds worth $1,200."), ("c4", None)]
+    evidence = [("e1", "On November 30, 2006 assets under management of the firm were $40.9 billion."), ("e2", "Fees came to 2% then."), ("e3", "Worth $1200.00 or $1,300; 13 funds."), ("e4", "On 2005-12-31 assets under management of the firm were $30 billion."), ("e5", "The firm manages $1 billion in assets.")]
+    pairs = [("c1", e, 5) for e in ("e1", "e4", "e5")] + [("c2", "e2", 3), ("c3", "e3", 3), ("c4", "e1", 9), ("c2", "e1", 9)]
+    make = lambda rows, s: spark.createDataFrame(rows, s)
+    got = A.contradicted(make(claims, "claim_id string, text string"), make(evidence, "evidence_id string, text string"), make(pairs, "claim_id string, evidence_id string, term_overlap long"))
+    assert [tuple(r) for r in got.collect()] == [("c1", "e1", "$36100000000", "$40900000000", "outdated")]
+    assert "later says $40900000000" in N.number_findings(got).first()["issue"]

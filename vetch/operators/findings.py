@@ -61,6 +61,12 @@ def claim_findings(claims: DataFrame, support: DataFrame, empty_drafts: DataFram
     )
 
 
+def number_findings(contradicted: DataFrame) -> DataFrame:
+    """A finding for each amount of a claim that evidence gives otherwise."""
+    issue = F.concat(F.lit("Claim says "), F.col("amount"), F.lit(", evidence "), F.col("evidence_id"), F.when(F.col("relation") == "outdated", " later says ").otherwise(" says "), F.col("other"), F.lit("."))
+    return _found(contradicted, "risky_number", SHOULD, F.lit("section-map"), issue, subject=F.col("claim_id"))
+
+
 def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

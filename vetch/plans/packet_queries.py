@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import amounts as A
 from ..operators import claims as C
 from ..operators import conflicts as K
 from ..operators import decisions as D
@@ -18,6 +19,7 @@ from ..operators import findings as N
 from ..operators import gate as G
 from ..operators import inspection as I
 from ..operators import legal as L
+from ..operators import matching as M
 from ..operators import workbook as W
 from .run import source_diff
 
@@ -140,7 +142,7 @@ def packet_metric_conflicts(spark, sf):
     return K.metric_conflicts(_metrics(spark, sf)).select("conflict_id", "metric", F.array_join("sources", ",").alias("sources"))
 
 
-def packet_wide_conflicts(spark, sf):
+def packet_wide_conflicts(spark, sf, narrative=""):
     """Counts by order priority in three exports: a long one of the first years, a wide one from the second year on that spells numbers otherwise and
     has some with another sign, and a wide one of the last year alone."""
     o = _t(spark, sf, "orders")
@@ -156,10 +158,15 @@ def packet_wide_conflicts(spark, sf):
     last = n.join(F.broadcast(n.agg(F.max("y").alias("y"))), "y").where(F.col("p").startswith("1"))
     cells = n.where("y <= 1995").select(F.explode(long).alias("c")).unionByName(n.where("y >= 1993").select(F.explode(wide("wide", signed)).alias("c"))).unionByName(last.select(F.explode(wide("last", F.col("n").cast("string"))).alias("c")))
     f = cells.select("c.*").distinct().select("*", F.lit("cell").alias("kind"), F.lit("csv").alias("ext"))
-    s = f.select("source_id", F.concat("source_id", F.lit(".csv")).alias("name"), F.lit("data_export").alias("role"), F.lit(None).cast("date").alias("source_date")).distinct()
+    s = f.select("source_id", F.concat("source_id", F.lit(".csv")).alias("name"), F.when(F.col("source_id") == narrative, "narrative").otherwise("data_export").alias("role"), F.lit(None).cast("date").alias("source_date")).distinct()
     return K.metric_conflicts(K.metrics(f, s)).select("conflict_id", "metric", F.array_join("sources", ",").alias("sources"))
 
 
+def packet_guarded_conflicts(spark, sf):
+    """The same, with the wide export of several years as part of a narrative."""
+    return packet_wide_conflicts(spark, sf, "wide")
+
+
 def _cells(spark, sf):
     """Return flags as workbooks, line statuses as sheets, orders as rows, line numbers as columns; higher discounts are formulas."""
     i = _t(spark, sf, "lineitem")
@@ -275,7 +282,57 @@ def reviewed_findings(spark, sf):
 
 def packet_claim_findings(spark, sf):
     c = _claims(spark, sf)
-    return _plain_findings(N.claim_findings(c, D.support(_log(spark, sf), _evidence(spark, sf)), _sources(spark, sf).where("1 = 0")).where("rule_id <> 'unsourced_number'"))
+    return _plain_findings(N.claim_findings(c, D.support(_log(spark, sf), _evidence(spark, sf)), _sources(spark, sf).where("1 = 0")))
+
+
+def contradicted_numbers(spark, sf):
+    """Prices of parts as claims, and as evidence the same, a higher one or half of one, of an earlier or a later date."""
+    p = _t(spark, sf, "part").where("p_retailprice > 0")
+    price, id_ = F.col("p_retailprice").cast("decimal(12,2)"), F.col("p_partkey").cast("string")
+    other = F.when(F.col("p_partkey") % 3 == 0, price).when(F.col("p_partkey") % 3 == 1, price * 3).otherwise((price + 1).cast("decimal(12,2)"))
+    day = F.when(F.col("p_partkey") % 4 == 0, "2019-12-31").when(F.col("p_partkey") % 4 == 1, "2020-01-01").otherwise("2021-06-30")
+    claims = p.select(F.concat(F.lit("c"), id_).alias("claim_id"), F.concat(F.lit("On January 1, 2020 part "), id_, F.lit(" retailed at $"), price.cast("string"), F.lit(", 5% off.")).alias("text"))
+    evidence = p.select(F.concat(F.lit("e"), id_).alias("evidence_id"), F.concat(F.lit("Part "), id_, F.lit(" retails at $"), other.cast("decimal(14,2)").cast("string"), F.lit(" on "), day, F.lit(", of 12 left 7 percent off.")).alias("text"))
+    pairs = p.select(F.concat(F.lit("c"), id_).alias("claim_id"), F.concat(F.lit("e"), id_).alias("evidence_id"), F.lit(3).alias("term_overlap"))
+    return A.contradicted(claims, evidence, pairs)
+
+
+def balance_overlap(spark, sf):
+    """Customers and suppliers whose balances in whole dollars meet, in whatever spelling."""
+    dollars = lambda c: F.abs(F.col(c).cast("long"))
+    a = _t(spark, sf, "customer").select("c_custkey", X.numbers(F.concat(F.lit("A balance of $"), F.format_number(dollars("c_acctbal"), 0), F.lit(" on 2020-01-01"))).alias("numbers"))
+    b = _t(spark, sf, "supplier").select("s_suppkey", X.numbers(F.concat(F.lit("It came to "), dollars("s_acctbal").cast("string"), F.lit(".00 dollars [note 7]"))).alias("numbers"))
+    return M.overlap(a, b, "c_custkey", "s_suppkey", "numbers", "number_overlap")
+
+
+def _part_pages(spark, sf):
+    p, id_ = _t(spark, sf, "part"), F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("See [Part "), id_, F.lit("] and https://parts.example/"), id_, F.lit(" too\n"), id_, F.lit("   "), "p_brand", F.lit("     "), F.col("p_size").cast("string"), F.lit("\nno  table"))
+    return p.select(F.concat(F.lit("p"), id_).alias("source_id"), F.lit("page_paragraph").alias("kind"), F.lit(1).alias("page"), F.col("p_size").alias("ordinal"), text.alias("text"))
+
+
+def packet_pdf_citations(spark, sf):
+    return I.pdf_citations(_part_pages(spark, sf))
+
+
+def packet_pdf_table_rows(spark, sf):
+    return I.pdf_table_rows(_part_pages(spark, sf)).select("source_id", "page", "ordinal", F.col("line").cast("long").alias("line"), F.array_join("cells", "|").alias("cells"))
+
+
+def packet_undeclared_claims(spark, sf):
+    """Without a declared draft every source seeds claims."""
+    return C.seed(_facts(spark, sf), _sources(spark, sf).withColumn("is_draft", F.lit(False))).select("claim_id", "source_id", F.col("anchor.ordinal").alias("ordinal"))
+
+
+def book_findings(spark, sf):
+    return _plain_findings(N.workbook_findings(_cells(spark, sf)))
+
+
+def reviewed_calculations(spark, sf):
+    """Findings of workbooks; the hardcodes of all but one are resolved."""
+    f = N.workbook_findings(_cells(spark, sf))
+    log = f.where("rule_id = 'hardcodes' and source_id <> 'wN'").select(F.col("finding_id").alias("decision_id"), F.lit("calculation").alias("target_kind"), F.col("finding_id").alias("target_id"), F.lit("resolve").alias("action"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    return _plain_findings(D.open_findings(f, log))
 
 
 def _generated(spark, sf):
@@ -388,7 +445,7 @@ def packet_refresh(spark, sf):
 
 NAMES = (
     packet_inventory, packet_headings, packet_pdf_sections, packet_slides, packet_tables, packet_evidence, packet_claims, packet_empty_drafts, packet_source_findings, packet_selection,
-    packet_clean_sources, packet_version_conflicts, packet_conflict_findings, packet_metrics, packet_metric_conflicts, packet_wide_conflicts, book_sheets, book_hidden_sheets, book_headers, book_formulas,
+    packet_clean_sources, packet_version_conflicts, packet_conflict_findings, packet_metrics, packet_metric_conflicts, packet_wide_conflicts, packet_guarded_conflicts, contradicted_numbers, balance_overlap, packet_pdf_citations, packet_pdf_table_rows, packet_undeclared_claims, book_findings, reviewed_calculations, book_sheets, book_hidden_sheets, book_headers, book_formulas,
     book_hardcodes, book_without_checks, book_repeated_formulas, book_repairs, decision_latest, reviewed_claims, replayed_claims, attached_support, merged_support, reviewed_conflicts, reviewed_findings,
     packet_claim_findings, generated_claims, claim_receipt, gate_blockers, legal_passages, legal_propositions, legal_support, legal_unresolved, legal_unmapped, legal_trust, legal_classes,
     legal_boundaries, legal_output, legal_reuse, source_history, packet_refresh,
@@ -404,6 +461,13 @@ def _id(kind: str, *parts: str) -> str:
     return f"concat('{kind}_', substr(sha256(concat_ws(chr(31), {said})), 1, 16))"
 
 
+def _plain_text() -> str:
+    plain = "coalesce(text, '')"
+    for pattern in (X.CITE, X.ISO_DATE, X.LONG_DATE, X.MONTH_YEAR):
+        plain = f"regexp_replace({plain}, '{pattern}', ' ', 'g')"
+    return plain
+
+
 _STATES = "|".join(X.STATES)
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 
@@ -477,6 +541,14 @@ _GEN = f"""{_LOGS}, ge AS (SELECT {_id("generated", "claim_id", "evidence_id")}
 _CLAIM_RULES = " UNION ALL ".join([
     _found("no_attribution", N.MUST, "'section-map'", "'Claim has no source attribution.'", "NULL", "concat('c', doc_id)", "FROM documents WHERE concat('c', doc_id) NOT IN (SELECT claim_id FROM su)"),
     _found("risky_claim", N.SHOULD, "'section-map'", "'Claim states an absolute.'", "NULL", "concat('c', doc_id)", f"FROM documents WHERE regexp_matches(text, '{N.RISKY}')"),
+    _found("unsourced_number", N.SHOULD, "'section-map'", "'Claim has a number without a source.'", "NULL", "concat('c', doc_id)", f"FROM documents WHERE concat('c', doc_id) NOT IN (SELECT claim_id FROM su) AND regexp_matches({_plain_text()}, '[0-9]')"),
+])
+_BOOK_AT = "concat('workbook:', name)"
+_BOOK_RULES = " UNION ALL ".join([
+    _found("hardcodes", N.MUST, _BOOK_AT, "'Hardcoded numbers appear in calculation-like zones.'", "source_id", "NULL", "FROM h"),
+    _found("hidden_sheet", N.SHOULD, "concat('workbook:', name, ':', sheet)", "'Workbook contains a hidden sheet.'", "source_id", "NULL", "FROM s WHERE state = 'hidden'"),
+    _found("no_checks", N.SHOULD, _BOOK_AT, "'No checks sheet detected.'", "source_id", "NULL", "FROM s WHERE source_id NOT IN (SELECT source_id FROM s WHERE contains(lower(sheet), 'check'))"),
+    _found("repeated_formula", N.SHOULD, "concat('workbook:', name, ':', sheet)", "'A static formula is repeated.'", "source_id", "NULL", f"FROM (SELECT source_id, name, sheet, formula FROM x WHERE formula IS NOT NULL GROUP BY ALL HAVING count(*) >= {W.REPEATED})"),
 ])
 _LAW = r"""b0 AS (SELECT item_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS ls FROM benchmark),
 pa AS (SELECT concat('a', item_id) AS source_id, item_id, unnest(range(1, len(ls) + 1)) AS paragraph, unnest(ls) AS line FROM b0),
@@ -507,6 +579,16 @@ def oracle_sql():
         "packet_metrics": f"WITH {_MET} SELECT source_id, metric, value, as_of FROM m",
         "packet_metric_conflicts": f"WITH {_MET}, p AS (SELECT metric, as_of, value, concat(source_id, '.csv') AS name FROM m), {_APART}",
         "packet_wide_conflicts": f"WITH {_WIDE}, {_APART}",
+        "packet_guarded_conflicts": f"WITH {_WIDE.replace('p AS (', 'p0 AS (')}, p AS (SELECT * FROM p0 WHERE name <> 'wide.csv'), {_APART}",
+        "contradicted_numbers": """WITH p AS (SELECT p_partkey AS id, CAST(p_retailprice AS DECIMAL(12,2)) AS price FROM part WHERE p_retailprice > 0), s AS (SELECT *, price + 1 AS other, regexp_replace(regexp_replace(CAST(price AS VARCHAR), '0+$', ''), '[.]$', '') AS a, regexp_replace(regexp_replace(CAST(price + 1 AS VARCHAR), '0+$', ''), '[.]$', '') AS b FROM p WHERE id % 3 = 2 AND id % 4 <> 0)
+            SELECT DISTINCT concat('c', id) AS claim_id, concat('e', id) AS evidence_id, concat('$', a) AS amount, concat('$', b) AS other, CASE id % 4 WHEN 1 THEN 'contradicted' ELSE 'outdated' END AS relation FROM s
+            UNION SELECT concat('c', p_partkey), concat('e', p_partkey), '5%', '7%', CASE p_partkey % 4 WHEN 1 THEN 'contradicted' ELSE 'outdated' END FROM part WHERE p_retailprice > 0 AND p_partkey % 4 <> 0""",
+        "balance_overlap": "SELECT c_custkey, s_suppkey, CAST(1 AS BIGINT) AS number_overlap FROM customer JOIN supplier ON abs(trunc(c_acctbal)) = abs(trunc(s_acctbal))",
+        "packet_pdf_citations": "SELECT concat('p', p_partkey) AS source_id, 1 AS page, p_size AS ordinal, unnest([concat('[Part ', p_partkey, ']'), concat('https://parts.example/', p_partkey)]) AS citation FROM part",
+        "packet_pdf_table_rows": "SELECT concat('p', p_partkey) AS source_id, 1 AS page, p_size AS ordinal, CAST(1 AS BIGINT) AS line, concat_ws('|', p_partkey, p_brand, p_size) AS cells FROM part",
+        "packet_undeclared_claims": rf"""WITH {_INV} SELECT {_id("claim", "source_id", "kind", "page", "ordinal", "NULL", "text")} AS claim_id, source_id, ordinal FROM f WHERE kind IN ('paragraph', 'page_paragraph') AND NOT regexp_matches(text, '{_STATUS_LINE}') AND len({_terms("text")}) >= {C.LEAST_TERMS}""",
+        "book_findings": f"WITH {_BOOK} {_FINDING} FROM ({_BOOK_RULES})",
+        "reviewed_calculations": f"WITH {_BOOK} {_FINDING} FROM ({_BOOK_RULES}) WHERE rule_id <> 'hardcodes' OR source_id = 'wN'",
         "book_sheets": f"WITH {_BOOK} SELECT source_id, sheet, state FROM s",
         "book_hidden_sheets": f"WITH {_BOOK} SELECT source_id, sheet FROM s WHERE state = 'hidden'",
         "book_headers": f'WITH {_BOOK}, r AS (SELECT source_id, sheet, "row" FROM x GROUP BY source_id, sheet, "row" HAVING bool_and(word AND formula IS NULL) QUALIFY row_number() OVER (PARTITION BY source_id, sheet ORDER BY "row") = 1) SELECT source_id, sheet, "row", cell, value AS header FROM x JOIN r USING (source_id, sheet, "row")',
@@ -560,10 +642,3 @@ def oracle_sql():
         "source_history": f"SELECT concat('s', doc_id) AS source_id, {_NAME} AS name, sha256(text) AS fingerprint FROM documents",
         "packet_refresh": f"""WITH d AS (SELECT doc_id, {_NAME} AS name FROM documents) SELECT name, CASE WHEN doc_id % 13 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM d WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0)""",
     }
-
-
-def _plain_text() -> str:
-    plain = "coalesce(text, '')"
-    for pattern in (X.CITE, X.ISO_DATE, X.LONG_DATE, X.MONTH_YEAR):
-        plain = f"regexp_replace({plain}, '{pattern}', ' ', 'g')"
-    return plain

@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import amounts as A
 from ..operators import claims as C
 from ..operators import conflicts as K
 from ..operators import decisions as D
@@ -104,7 +105,7 @@ class Review:
 
     @cached_property
     def all_findings(self) -> DataFrame:
-        return N.union(N.source_findings(self.sources), N.workbook_findings(self.facts), N.conflict_findings(self.open_conflicts), N.claim_findings(self.claims, self.support, C.empty_drafts(self.sources, self.seeded)))
+        return N.union(N.source_findings(self.sources), N.workbook_findings(self.facts), N.conflict_findings(self.open_conflicts), N.claim_findings(self.claims, self.support, C.empty_drafts(self.sources, self.seeded)), N.number_findings(A.contradicted(self.claims, self.evidence, self.suggestions)))
 
     @cached_property
     def findings(self) -> DataFrame:
