@@ -55,18 +55,29 @@ class Review:
     def __post_init__(self) -> None:
         if self.decisions is None:
             self.decisions = self.spark.createDataFrame([], D.SCHEMA)
+        self.held: list[DataFrame] = []
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Keeps what several artifacts read, until release()."""
+        self.held.append(df.persist())
+        return self.held[-1]
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
 
     @cached_property
     def facts(self) -> DataFrame:
-        return P.inspect(P.scan(self.spark, self.input_dir)).persist()
+        return self.hold(P.inspect(P.scan(self.spark, self.input_dir)))
 
     @cached_property
     def sources(self) -> DataFrame:
-        return P.drafts(I.inventory(self.facts), self.drafts)
+        return self.hold(P.drafts(I.inventory(self.facts), self.drafts))
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return I.evidence(self.facts, self.sources)
+        return self.hold(I.evidence(self.facts, self.sources))
 
     @cached_property
     def pdf_candidates(self) -> DataFrame:
@@ -81,23 +92,23 @@ class Review:
 
     @cached_property
     def seeded(self) -> DataFrame:
-        return C.seed(self.facts, self.sources)
+        return self.hold(C.seed(self.facts, self.sources))
 
     @cached_property
     def claims(self) -> DataFrame:
-        return D.apply_to_claims(self.seeded, self.decisions)
+        return self.hold(D.apply_to_claims(self.seeded, self.decisions))
 
     @cached_property
     def support(self) -> DataFrame:
-        return D.support(self.decisions, self.evidence, self.seeded)
+        return self.hold(D.support(self.decisions, self.evidence, self.seeded))
 
     @cached_property
     def suggestions(self) -> DataFrame:
-        return M.suggest(self.claims, self.evidence)
+        return self.hold(M.suggest(self.claims, self.evidence))
 
     @cached_property
     def conflicts(self) -> DataFrame:
-        return K.conflicts(self.facts, self.sources)
+        return self.hold(K.conflicts(self.facts, self.sources))
 
     @cached_property
     def open_conflicts(self) -> DataFrame:
@@ -109,7 +120,7 @@ class Review:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return D.open_findings(self.all_findings, self.decisions).persist()
+        return self.hold(D.open_findings(self.all_findings, self.decisions))
 
     @cached_property
     def readiness(self) -> DataFrame:
@@ -117,11 +128,11 @@ class Review:
 
     @cached_property
     def selection(self) -> DataFrame:
-        return I.selection(self.sources, self.findings)
+        return self.hold(I.selection(self.sources, self.findings))
 
     @cached_property
     def generated(self) -> DataFrame:
-        return C.generated(self.claims, self.support, self.evidence, self.selection)
+        return self.hold(C.generated(self.claims, self.support, self.evidence, self.selection))
 
     @cached_property
     def blockers(self) -> DataFrame:
@@ -240,8 +251,7 @@ def step(spark: SparkSession, store: Store, run_id: str, run: tuple, out: render
         for t, rows in (("sources", r.selection), ("evidence", r.evidence.select("evidence_id", "source_id", "name")), ("claims", r.claims), ("support", r.support), ("findings", r.findings), ("conflicts", r.conflicts), ("suggestions", r.suggestions), ("readiness", r.readiness)):
             store.put(t, run_id, rows)
     finally:
-        r.facts.unpersist()
-        r.findings.unpersist()
+        r.release()
     return result
 
 
