@@ -28,11 +28,16 @@ MAX_OWNERS, MAX_REPOSITORIES = 2, 100
 CHUNK = 256
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value worked out once: an expression that stands inside a lambda is worked out again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _matches(text: Column, kind: int, pattern: str, group: int) -> Column:
     """Leftmost non-overlapping matches: their places, from the pieces between them, and values."""
     pieces, found, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     item = "struct<start:bigint,kind:int,end:bigint,value:string>"
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{item}>").alias("spans"))
+    nothing, empty = F.lit(0).cast("long"), F.array().cast(f"array<{item}>")
 
     def step(state: Column, m: Column) -> Column:
         start = state["at"] + F.length(m["piece"])
@@ -40,22 +45,38 @@ def _matches(text: Column, kind: int, pattern: str, group: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    rows = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("found"), values.alias("value"))
     # A fold that adds to an array copies it each time, so matches are folded CHUNK at a time, each chunk from where it begins.
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda c: F.slice(rows, c * CHUNK + 1, CHUNK))
-    nothing = F.lit(0).cast("long")
-    lengths = F.transform(chunks, lambda c: F.aggregate(c, nothing, lambda n, m: n + F.length(m["piece"]) + F.length(m["found"])))
-    begins = F.aggregate(lengths, F.struct(nothing.alias("at"), F.array().cast("array<bigint>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
-    spans = F.flatten(F.transform(F.arrays_zip(chunks.alias("rows"), begins.alias("at")), lambda c: F.aggregate(c["rows"], F.struct(c["at"].alias("at"), empty["spans"].alias("spans")), step, lambda s: s["spans"])))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{item}>"))
+    def chunked(rows: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda c: F.slice(rows, c * CHUNK + 1, CHUNK))
+
+    def folded(chunks: Column) -> Column:
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, nothing, lambda n, m: n + F.length(m["piece"]) + F.length(m["found"])))
+        begins = F.aggregate(lengths, F.struct(nothing.alias("at"), F.array().cast("array<bigint>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        return F.flatten(F.transform(F.arrays_zip(chunks.alias("rows"), begins.alias("at")), lambda c: F.aggregate(c["rows"], F.struct(c["at"].alias("at"), empty.alias("spans")), step, lambda s: s["spans"])))
+
+    rows = _bound(found, lambda f: F.arrays_zip(F.slice(pieces, 1, F.size(f)).alias("piece"), f.alias("found"), values.alias("value")))
+    return F.when(text.rlike(pattern), _bound(_bound(rows, chunked), folded)).otherwise(empty)
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that meet none of others, which are in order and don't meet each other: the first of them that ends behind a span's start
+    is found by bisection and must not start before the span's end."""
+
+    def kept(o: Column) -> Column:
+        n = F.size(o["ends"])
+        first = lambda s: F.aggregate(o["steps"], F.lit(0), lambda p, k: F.when((p + k <= n) & (o["ends"][p + k - 1] <= s["start"]), p + k).otherwise(p))
+        return F.filter(spans, lambda s: F.coalesce(F.get(o["starts"], first(s)) >= s["end"], F.lit(True)))
+
+    parts = lambda b: F.struct(b["start"].alias("starts"), b["end"].alias("ends"), F.lit([1 << k for k in reversed(range(26))]).alias("steps"))
+    return _bound(_bound(others, parts), kept)
 
 
 def candidates(text: Column) -> Column:
     """All candidate spans of a text, array<struct<start, kind, end, value>>; kind counts through KINDS."""
     assign = F.filter(_matches(text, 0, ASSIGN, 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
-    base = F.concat(assign, _matches(text, 1, ACCESS, 0), _matches(text, 2, HEX, 0))
     mixed = F.filter(_matches(text, 3, MIXED, 0), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    return F.concat(base, F.filter(mixed, lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (s["end"] > b["start"]))))
+    found = F.struct(assign.alias("assign"), _matches(text, 1, ACCESS, 0).alias("access"), _matches(text, 2, HEX, 0).alias("hex"), mixed.alias("mixed"))
+    return _bound(found, lambda f: F.concat(f["assign"], f["access"], f["hex"], _apart(_apart(_apart(f["mixed"], f["assign"]), f["access"]), f["hex"])))
 
 
 def ownership(found: DataFrame) -> DataFrame:
