@@ -7,7 +7,7 @@ call the operators; the SQL starts from the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -20,6 +20,7 @@ from ..operators import gate as G
 from ..operators import inspection as I
 from ..operators import legal as L
 from ..operators import matching as M
+from ..operators import versions as V
 from ..operators import workbook as W
 from .run import source_diff
 
@@ -443,12 +444,42 @@ def packet_refresh(spark, sf):
     return source_diff(d.where("doc_id % 13 <> 0"), new).select("name", "change")
 
 
+def _two_versions(spark, sf):
+    """Each document as a file of lines, and a later version of it: lines dropped, edited, put in and moved to the end; a quarter of the files renamed."""
+    d = _t(spark, sf, "documents")
+    old = d.select(F.expr("concat('doc', doc_id, '.md')").alias("name"), F.expr("CASE WHEN doc_id % 4 = 1 THEN concat('renamed', doc_id, '.md') ELSE concat('doc', doc_id, '.md') END").alias("later"), "doc_id", F.posexplode(X.lines(F.col("text"))).alias("pos", "line"))
+    old = old.select("name", "later", (F.col("pos") + 1).cast("long").alias("place"), "line", F.expr("CASE WHEN doc_id % 8 = 5 THEN 0 ELSE (pos + 1 + doc_id) % 143 END").alias("m"))
+    same = old.where("m % 7 <> 3").select("later", F.expr("2 * place + IF(m % 13 = 6, 1000000, 0)").alias("at"), F.expr("IF(m % 11 = 5, concat('Changed: ', line), line)").alias("line"))
+    more = old.where("m % 9 = 4").select("later", F.expr("2 * place + 1").alias("at"), F.expr("concat('Added after line ', place)").alias("line"))
+    new = same.unionByName(more).withColumn("place", F.row_number().over(Window.partitionBy("later").orderBy("at")).cast("long"))
+    files = lambda p: p.groupBy("name").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"]), ""), 256).alias("sha256"))
+    sides = [x.withColumn("hash", F.sha2("line", 256)).withColumn("evidence_id", F.concat_ws("_", "name", "place")).select("name", "place", "hash", "evidence_id") for x in (old, new.withColumnRenamed("later", "name"))]
+    return (*(files(x) for x in sides), *sides)
+
+
+def paired_files(spark, sf):
+    return V.paired(*_two_versions(spark, sf))
+
+
+def passage_changes(spark, sf):
+    """Kept, moved, changed, removed and new lines of all files between the two versions."""
+    sides = _two_versions(spark, sf)
+    return V.aligned(V.paired(*sides), *sides[2:]).na.fill("", ["old_name", "new_name"]).na.fill(0, ["old_place", "new_place"])
+
+
+def voided_approvals(spark, sf):
+    """Every third line was approved: what became of it, and whether the approval is void."""
+    sides = _two_versions(spark, sf)
+    approved = sides[2].where("place % 3 = 0").select("evidence_id")
+    return V.approvals(V.aligned(V.paired(*sides), *sides[2:]), sides[2], approved).select("evidence_id", "change", F.when(F.col("new_place").isNotNull(), F.col("new_name")).alias("new_name"), "new_place", "void").na.fill("", ["new_name"]).na.fill(0, ["new_place"])
+
+
 NAMES = (
     packet_inventory, packet_headings, packet_pdf_sections, packet_slides, packet_tables, packet_evidence, packet_claims, packet_empty_drafts, packet_source_findings, packet_selection,
     packet_clean_sources, packet_version_conflicts, packet_conflict_findings, packet_metrics, packet_metric_conflicts, packet_wide_conflicts, packet_guarded_conflicts, contradicted_numbers, balance_overlap, packet_pdf_citations, packet_pdf_table_rows, packet_undeclared_claims, book_findings, reviewed_calculations, book_sheets, book_hidden_sheets, book_headers, book_formulas,
     book_hardcodes, book_without_checks, book_repeated_formulas, book_repairs, decision_latest, reviewed_claims, replayed_claims, attached_support, merged_support, reviewed_conflicts, reviewed_findings,
     packet_claim_findings, generated_claims, claim_receipt, gate_blockers, legal_passages, legal_propositions, legal_support, legal_unresolved, legal_unmapped, legal_trust, legal_classes,
-    legal_boundaries, legal_output, legal_reuse, source_history, packet_refresh,
+    legal_boundaries, legal_output, legal_reuse, source_history, packet_refresh, paired_files, passage_changes, voided_approvals,
 )
 
 
@@ -561,6 +592,36 @@ _FINDING = "SELECT finding_id, rule_id, severity, location, issue, source_id, su
 _PDF_TITLE = r"regexp_matches(t, '^\d+(\.\d+)*\.?\s+[A-Z].{0,70}$') OR regexp_matches(t, '^([A-Z][\w''-]*|of|and|the|in|for|to)( ([A-Z][\w''-]*|of|and|the|in|for|to)){0,7}$')"
 
 
+_VERSIONS = """l AS (SELECT concat('doc', doc_id, '.md') AS name, CASE WHEN doc_id % 4 = 1 THEN concat('renamed', doc_id, '.md') ELSE concat('doc', doc_id, '.md') END AS later, line, CAST(place AS BIGINT) AS place, CASE WHEN doc_id % 8 = 5 THEN 0 ELSE (place + doc_id) % 143 END AS m
+  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS place FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents))),
+o AS (SELECT name, place, line FROM l),
+w AS (SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY spot) AS BIGINT) AS place, line FROM (
+  SELECT later AS name, 2 * place + CASE WHEN m % 13 = 6 THEN 1000000 ELSE 0 END AS spot, CASE WHEN m % 11 = 5 THEN 'Changed: ' || line ELSE line END AS line FROM l WHERE m % 7 <> 3
+  UNION ALL SELECT later, 2 * place + 1, 'Added after line ' || place FROM l WHERE m % 9 = 4)),
+fo AS (SELECT name, string_agg(sha256(line), '' ORDER BY place) AS body FROM o GROUP BY name), fw AS (SELECT name, string_agg(sha256(line), '' ORDER BY place) AS body FROM w GROUP BY name),
+t AS (SELECT name FROM fo JOIN fw USING (name)),
+ao AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY name) AS k FROM fo WHERE name NOT IN (FROM t)), aw AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY name) AS k FROM fw WHERE name NOT IN (FROM t)),
+eq AS (SELECT ao.name AS old_name, aw.name AS new_name FROM ao JOIN aw USING (body, k)),
+so AS (SELECT DISTINCT name, line FROM o WHERE name IN (SELECT name FROM ao) AND name NOT IN (SELECT old_name FROM eq)), sw AS (SELECT DISTINCT name, line FROM w WHERE name IN (SELECT name FROM aw) AND name NOT IN (SELECT new_name FROM eq)),
+sh AS (SELECT so.name AS old_name, sw.name AS new_name, count(*) AS shared FROM so JOIN sw USING (line) GROUP BY ALL),
+ne AS (SELECT * FROM sh JOIN (SELECT name AS old_name, count(*) AS p FROM so GROUP BY ALL) USING (old_name) JOIN (SELECT name AS new_name, count(*) AS q FROM sw GROUP BY ALL) USING (new_name) WHERE 2 * shared >= greatest(p, q)),
+be AS (SELECT * FROM ne QUALIFY row_number() OVER (PARTITION BY old_name ORDER BY shared DESC, new_name) = 1 AND row_number() OVER (PARTITION BY new_name ORDER BY shared DESC, old_name) = 1),
+pa AS (SELECT name AS old_name, name AS new_name, 'same name' AS how FROM t UNION ALL SELECT *, 'same content' FROM eq UNION ALL SELECT old_name, new_name, 'shared passages' FROM be)"""
+#: Levels by rounds: a passage is on level k + 1 if one of level k stands before it in both versions. Of a level's passages on a longest run the first counts.
+_ALIGNED = f"""{_VERSIONS}, po AS (SELECT pa.*, place, line, row_number() OVER (PARTITION BY old_name, line ORDER BY place) AS k FROM pa JOIN o ON name = old_name), pw AS (SELECT pa.*, place, line, row_number() OVER (PARTITION BY new_name, line ORDER BY place) AS k FROM pa JOIN w ON name = new_name),
+x AS (SELECT old_name, new_name, po.place AS a, pw.place AS b FROM po FULL JOIN pw USING (old_name, new_name, line, k)), mt AS (SELECT * FROM x WHERE a IS NOT NULL AND b IS NOT NULL),
+up AS (SELECT old_name, a, b, 1 AS r FROM mt UNION SELECT y.old_name, y.a, y.b, up.r + 1 FROM up JOIN mt y ON y.old_name = up.old_name AND y.a > up.a AND y.b > up.b),
+dn AS (SELECT old_name, a, b, 1 AS r FROM mt UNION SELECT y.old_name, y.a, y.b, dn.r + 1 FROM dn JOIN mt y ON y.old_name = dn.old_name AND y.a < dn.a AND y.b < dn.b),
+lv AS (SELECT * FROM (SELECT old_name, a, max(r) AS u FROM up GROUP BY ALL) JOIN (SELECT old_name, a, max(r) AS d FROM dn GROUP BY ALL) USING (old_name, a)),
+kp AS (SELECT old_name, min(a) AS a FROM lv JOIN (SELECT old_name, max(u) AS most FROM lv GROUP BY ALL) USING (old_name) WHERE u + d - 1 = most GROUP BY old_name, u),
+mk AS (SELECT x.*, kp.a IS NOT NULL AS kept FROM x LEFT JOIN kp USING (old_name, a)),
+ga AS (SELECT *, row_number() OVER (PARTITION BY old_name, g ORDER BY a) AS k FROM (SELECT *, count(*) FILTER (kept) OVER (PARTITION BY old_name ORDER BY a) AS g FROM mk WHERE a IS NOT NULL) WHERE b IS NULL),
+gb AS (SELECT *, row_number() OVER (PARTITION BY old_name, g ORDER BY b) AS k FROM (SELECT *, count(*) FILTER (kept) OVER (PARTITION BY old_name ORDER BY b) AS g FROM mk WHERE b IS NOT NULL) WHERE a IS NULL),
+ch AS (SELECT old_name, new_name, CASE WHEN kept THEN 'kept' ELSE 'moved' END AS change, a AS old_place, b AS new_place FROM mk WHERE a IS NOT NULL AND b IS NOT NULL
+  UNION ALL SELECT old_name, new_name, CASE WHEN gb.b IS NULL THEN 'removed' WHEN ga.a IS NULL THEN 'new' ELSE 'changed' END, ga.a, gb.b FROM ga FULL JOIN gb USING (old_name, new_name, g, k)
+  UNION ALL SELECT name, NULL, 'removed', place, NULL FROM o WHERE name NOT IN (SELECT old_name FROM pa) UNION ALL SELECT NULL, name, 'new', NULL, place FROM w WHERE name NOT IN (SELECT new_name FROM pa))"""
+
+
 def oracle_sql():
     return {
         "packet_inventory": f"WITH {_INV} SELECT source_id, name, ext, inspection, stem, name_state, status, CAST(source_date AS VARCHAR) AS source_date, role, number_bearing, consistent FROM i",
@@ -640,5 +701,8 @@ def oracle_sql():
         "legal_output": f"WITH {_LAW} SELECT concat('t', item_id) AS source_id, 'memo' AS kind, concat('Is it ', item_id, '?') AS question, 'supplied packet only' AS source_scope FROM fi WHERE item_id % 4 = 0",
         "legal_reuse": f"WITH {_LAW} SELECT DISTINCT (SELECT min(concat('law ', item_id % 3)) FROM fi WHERE item_id % 4 = 0) AS boundary_key, sha256(text) AS text_sha256 FROM me WHERE item_id % 2 = 1",
         "source_history": f"SELECT concat('s', doc_id) AS source_id, {_NAME} AS name, sha256(text) AS fingerprint FROM documents",
+        "paired_files": f"WITH {_VERSIONS} SELECT * FROM pa",
+        "passage_changes": f"WITH RECURSIVE {_ALIGNED} SELECT coalesce(old_name, '') AS old_name, coalesce(new_name, '') AS new_name, change, coalesce(old_place, 0) AS old_place, coalesce(new_place, 0) AS new_place FROM ch",
+        "voided_approvals": f"WITH RECURSIVE {_ALIGNED} SELECT concat(old_name, '_', old_place) AS evidence_id, change, CASE WHEN new_place IS NULL THEN '' ELSE new_name END AS new_name, coalesce(new_place, 0) AS new_place, change IN ('changed', 'removed') AS void FROM ch WHERE old_place % 3 = 0",
         "packet_refresh": f"""WITH d AS (SELECT doc_id, {_NAME} AS name FROM documents) SELECT name, CASE WHEN doc_id % 13 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM d WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0)""",
     }
