@@ -3,6 +3,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from vetch.__main__ import main
 from vetch.operators import conflicts as K
@@ -82,6 +83,7 @@ def test_decisions_and_refresh(service, place, first):
     with pytest.raises(ValueError, match="not ready"):
         service.copy_final_artifact(run_id, __file__, "reviewer", "approved")
     again = service.refresh_workflow(run_id, "Quarter refresh", place["packet"])
+    assert {(a["change"], a["void"]) for a in again["approvals"]} == {("kept", False)}
     assert {c["change"] for c in again["changes"]} == {"unchanged"} and again["blocking"] >= first["blocking"]  # nothing is replayed
     assert os.path.exists(f"{again['path']}/00_refresh/refresh-receipt.md") and os.path.exists(f"{again['path']}/00_refresh/prior-trust-report.json")
 
@@ -211,6 +213,36 @@ def test_command_line_and_memory_store(spark, place, tmp_path, capsys):
     assert store.get("t", "a").count() == 3 and store.get("u") is None
 
 
+def test_a_stopped_publication_leaves_the_former_state(spark, tmp_path):
+    store = ParquetStore(spark, str(tmp_path / "store"))
+    store.publish("1", {"a": spark.range(2), "b": spark.range(3)})
+    store.publish("2", {"a": spark.range(5)})
+    broken = spark.range(4).select(F.expr("raise_error('lost')").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        store.publish("1", {"a": spark.range(10), "b": broken})
+    assert [store.get(t, "1").count() for t in "ab"] == [2, 3] and store.get("a").count() == 7
+    store.publish("1", {"a": spark.range(10)})
+    assert [store.get(t, "1").count() for t in "ab"] == [10, 3] and store.get("b", "2") is None
+    assert {r["run_id"] for r in store.get("a").collect()} == {"1", "2"}
+    assert len(store.vacuum("1")) >= 2 and [store.get(t, "1").count() for t in "ab"] == [10, 3] and store.vacuum("1") == []
+
+
+def test_reuse_across_runs(spark, service, place, tmp_path):
+    first = service.run_workflow("First ring", place["legal"], profile="legal")
+    [mine] = json.load(open(f"{first['path']}/03_verification/legal-support-map.json"))
+    service.decide(first["run_id"], "proposition", mine["proposition_id"], "accept", "reviewer", "checked")
+    files = sample.legal_packet()
+
+    def library(name, change):
+        out = service.run_workflow(name, put(tmp_path / name, {**files, **change}), profile="legal")
+        return {x["state"] for x in json.load(open(f"{out['path']}/03_verification/legal-reuse-library.json")) if x["proposition_id"] == mine["proposition_id"]}
+
+    assert library("again", {}) == {"reusable"}
+    passage = mine["passage_text"].encode()
+    assert library("changed", {"finder-v-owner.md": files["finder-v-owner.md"].replace(passage, b"The rule is another one now.")}) == {"void"}
+    assert library("elsewhere", {"task.md": files["task.md"].replace(b"Property", b"Torts").replace(b"property", b"torts")}) == set()
+
+
 def test_rendering():
     text = "# A\nx  y\n\n\n\n## B\nz"
     assert render.formatted(text) == "# A\n\nx  y\n\n## B\n\nz" and render.edited("  a   b") == "  a b"

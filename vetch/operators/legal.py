@@ -117,3 +117,27 @@ def reuse_library(mapped: DataFrame, accepted: DataFrame, boundary: DataFrame) -
     reviewed = mapped.join(accepted.select(F.col("target_id").alias("proposition_id")), "proposition_id", "left_semi")
     key = boundary.agg(F.min("boundary_key").alias("boundary_key")).where("boundary_key is not null")
     return reviewed.join(F.broadcast(key), F.lit(True)).select("boundary_key", "proposition_id", "text").distinct()
+
+
+def boundary_folder(key: Column) -> Column:
+    """A boundary as the name of a folder."""
+    return F.concat(F.lit("b"), F.substring(F.sha2(key, 256), 1, 16))
+
+
+def reviewed(mapped: DataFrame, accepted: DataFrame, key: str | None) -> DataFrame:
+    """The run's reviewed propositions as later runs may reuse them: boundary_key, proposition_id, text, passage, quote_hash."""
+    own = mapped.join(accepted.select(F.col("target_id").alias("proposition_id")), "proposition_id", "left_semi").where(F.lit(key is not None))
+    return own.select(F.lit(key).cast("string").alias("boundary_key"), "proposition_id", "text", "passage", "quote_hash").distinct()
+
+
+def reusable(own: DataFrame, earlier: DataFrame, passages: DataFrame) -> DataFrame:
+    """Own and earlier reviewed propositions of one boundary with their state.
+
+    An earlier one is reusable if the packet has its passage word for word, void if the passage changed, absent if the packet hasn't got
+    it; one that the run has reviewed itself counts as own.
+    """
+    here = passages.select(F.col("passage_id").alias("passage"), "quote_hash").distinct()
+    rest = earlier.select(*own.columns).distinct().join(own, "proposition_id", "left_anti")
+    same = rest.join(here.withColumn("same", F.lit(True)), ["passage", "quote_hash"], "left").join(here.select("passage").distinct().withColumn("there", F.lit(True)), "passage", "left")
+    state = F.when(F.col("same"), "reusable").when(F.col("there"), "void").otherwise("absent")
+    return own.withColumn("state", F.lit("own")).unionByName(same.withColumn("state", state).select(*own.columns, "state"))

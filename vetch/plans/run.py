@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -22,6 +23,7 @@ from ..operators import gate as G
 from ..operators import inspection as I
 from ..operators import legal as L
 from ..operators import matching as M
+from ..operators import versions as V
 from ..operators import workbook as W
 from ..sources import packet as P
 from . import render
@@ -140,7 +142,12 @@ class Review:
 
 
 class LegalReview(Review):
-    """The legal profile's tables beside the general ones; its findings are the legal trust checks."""
+    """The legal profile's tables beside the general ones; its findings are the legal trust checks.
+
+    ``earlier`` gives what runs reviewed before within a boundary, or None.
+    """
+
+    earlier: Callable[[str], DataFrame | None] = staticmethod(lambda key: None)
 
     @cached_property
     def bodies(self) -> DataFrame:
@@ -154,6 +161,21 @@ class LegalReview(Review):
     def propositions(self) -> DataFrame:
         return L.propositions(self.facts)
 
+    @cached_property
+    def boundary_key(self) -> str | None:
+        return L.boundary(self.sources, self.bodies).agg(F.min("boundary_key")).first()[0]
+
+    @cached_property
+    def reviewed(self) -> DataFrame:
+        """This run's accepted propositions, for its library and those of later runs."""
+        accepted = D.latest(self.decisions, "proposition").where("action = 'accept'")
+        return self.hold(L.reviewed(L.legal_map(self.propositions, self.passages), accepted, self.boundary_key))
+
+    @cached_property
+    def library(self) -> DataFrame:
+        earlier = self.earlier(self.boundary_key) if self.boundary_key else None
+        return L.reusable(self.reviewed, self.reviewed.limit(0) if earlier is None else earlier, self.passages)
+
     @cached_property
     def all_findings(self) -> DataFrame:
         return N.union(L.trust_findings(self.propositions, self.passages, self.sources), N.source_findings(self.sources.where("inspection like 'unreadable%' or inspection = 'no text'")))
@@ -192,8 +214,7 @@ def _export_legal(r: LegalReview, out: render.Artifacts, state: dict) -> dict:
     out.rows("spec", "legal-boundary.json", limits)
     mapped = L.legal_map(r.propositions, r.passages)
     out.rows("verify", "legal-support-map.json", mapped.orderBy("proposition_id"))
-    accepted = D.latest(r.decisions, "proposition").where("action = 'accept'")
-    out.rows("verify", "legal-reuse-library.json", L.reuse_library(mapped, accepted, limits).orderBy("proposition_id"))
+    out.rows("verify", "legal-reuse-library.json", r.library.orderBy("proposition_id", "quote_hash"))
     ready = state["state"] == "ready"
     said = [] if ready else [f"{x['location']}: {x['issue']}" for x in out.rows("verify", "legal-trust-checks.json", G.review_queue(r.findings))]
     out.text("export", "README.md", "# Legal export receipt\n\nScope: the review packet. This is no legal advice." if ready else "# Legal export refused\n\n" + "\n".join(f"- {x}" for x in said))
@@ -237,24 +258,44 @@ def start(spark: SparkSession, store: Store, deliverables: str, name: str, input
     row = (slug_of(name, run_id), name, kind, profile, input_dir, generate, drafts or [], prior)
     runs = spark.createDataFrame([row], RUN.rsplit(", ", 1)[0]).withColumn("created_at", F.current_timestamp())
     out = render.Artifacts(deliverables, row[0])
-    result = step(spark, store, run_id, row, out, spark.createDataFrame([], D.SCHEMA))
-    store.put("runs", run_id, runs)
+    result = step(spark, store, run_id, row, out, spark.createDataFrame([], D.SCHEMA), {"runs": runs})
     return {"run_id": run_id, **result}
 
 
-def step(spark: SparkSession, store: Store, run_id: str, run: tuple, out: render.Artifacts, decisions: DataFrame) -> dict:
-    """Works a run out again with its decisions, writes its artifacts and its state."""
+def _reviewed_before(store: Store, run_id: str, key: str) -> DataFrame | None:
+    """What other runs reviewed within the boundary; only its folders are read."""
+    rows = store.get("reuse")
+    return rows if rows is None else rows.where((F.col("boundary") == L.boundary_folder(F.lit(key))) & (F.col("boundary_key") == key) & (F.col("run_id") != run_id))
+
+
+def step(spark: SparkSession, store: Store, run_id: str, run: tuple, out: render.Artifacts, decisions: DataFrame, more: dict[str, DataFrame] | None = None) -> dict:
+    """Works a run out again with its decisions, writes its artifacts and publishes its tables, and ``more``, together."""
     _, name, kind, profile, input_dir, generate, drafts, _ = run[:8]
     r = (LegalReview if profile == "legal" else Review)(spark, input_dir, list(drafts), decisions)
+    if isinstance(r, LegalReview):
+        r.earlier = lambda key: _reviewed_before(store, run_id, key)
     try:
         result = write(r, out, name, kind, profile, generate)
-        for t, rows in (("sources", r.selection), ("evidence", r.evidence.select("evidence_id", "source_id", "name")), ("claims", r.claims), ("support", r.support), ("findings", r.findings), ("conflicts", r.conflicts), ("suggestions", r.suggestions), ("readiness", r.readiness)):
-            store.put(t, run_id, rows)
+        evidence = r.evidence.select("evidence_id", "source_id", "name", "anchor", F.sha2("text", 256).alias("hash"))
+        tables = {"sources": r.selection, "evidence": evidence, "claims": r.claims, "support": r.support, "findings": r.findings, "conflicts": r.conflicts, "suggestions": r.suggestions, "readiness": r.readiness}
+        if isinstance(r, LegalReview):
+            tables["reuse"] = r.reviewed.withColumn("boundary", L.boundary_folder(F.col("boundary_key")))
+        store.publish(run_id, {**tables, **(more or {})})
     finally:
         r.release()
     return result
 
 
+def _voided(store: Store, old_run: str, new_run: str, out: render.Artifacts) -> list[dict]:
+    """What became of the passages between two runs, and of the support attached in the first."""
+    files = [store.get("sources", x).select("name", "sha256") for x in (old_run, new_run)]
+    old, new = (V.places(store.get("evidence", x)) for x in (old_run, new_run))
+    changes = V.aligned(V.paired(*files, old, new), old, new)
+    out.lines("refresh", "passage-changes.json", changes.sortWithinPartitions("old_name", "new_name", "old_place", "new_place"))
+    support = store.get("support", old_run).select("claim_id", "evidence_id").distinct()
+    return out.rows("refresh", "voided-approvals.json", V.approvals(changes, old, support).orderBy("claim_id", "evidence_id"))
+
+
 def refresh(spark: SparkSession, store: Store, deliverables: str, from_run: str, name: str, input_dir: str, kind: str = "document", generate: bool = False) -> dict:
     """A new run from a prior one, with those of its declared drafts that are still in the packet. Approvals of the prior run aren't
     replayed: its trail is copied, with hashes, and what changed is listed."""
@@ -275,5 +316,6 @@ def refresh(spark: SparkSession, store: Store, deliverables: str, from_run: str,
     if snapshot is not None:
         out.rows("refresh", "snapshots.json", snapshot)
     changes = out.rows("refresh", "refresh-receipt.json", source_diff(store.get("sources", from_run), store.get("sources", result["run_id"])).orderBy("name"))
-    out.text("refresh", "refresh-receipt.md", f"# Refresh of {from_run}\n\nNo approval is carried over.\n\n" + render.table(changes, {"name": "File", "change": "Change"}))
-    return {**result, "prior_run_id": from_run, "changes": changes}
+    voided = _voided(store, from_run, result["run_id"], out)
+    out.text("refresh", "refresh-receipt.md", f"# Refresh of {from_run}\n\nNo approval is carried over.\n\n" + render.table(changes, {"name": "File", "change": "Change"}) + "\n\nApproved evidence and what became of it:\n\n" + render.table(voided, {"claim_id": "Claim", "evidence_id": "Evidence", "change": "Change", "void": "Void"}))
+    return {**result, "prior_run_id": from_run, "changes": changes, "approvals": voided}
