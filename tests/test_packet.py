@@ -30,7 +30,7 @@ def test_scan_reads_a_folder(spark, tmp_path):
     (tmp_path / "deep" / "a b.md").write_text("# T\n\nbody")
     (tmp_path / "x.bin").write_bytes(b"\0")
     rows = {r["name"]: r["inspection"] for r in P.inspect(P.scan(spark, str(tmp_path))).collect()}
-    assert rows == {"a b.md": "inspected", "x.bin": "unsupported"}
+    assert rows == {"deep/a b.md": "inspected", "x.bin": "unsupported"}
 
 
 def test_damaged_files_are_reported():

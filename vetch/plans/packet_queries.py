@@ -22,6 +22,7 @@ from ..operators import legal as L
 from ..operators import matching as M
 from ..operators import versions as V
 from ..operators import workbook as W
+from ..sources import delimited as DL
 from .run import source_diff
 
 # Expressions that Spark and the SQL share.
@@ -474,12 +475,21 @@ def voided_approvals(spark, sf):
     return V.approvals(V.aligned(V.paired(*sides), *sides[2:]), sides[2], approved).select("evidence_id", "change", F.when(F.col("new_place").isNotNull(), F.col("new_name")).alias("new_name"), "new_place", "void").na.fill("", ["new_name"]).na.fill(0, ["new_place"])
 
 
+def delimited_cells(spark, sf):
+    """Documents as delimited files, one for each source, with their texts in quotes, line ends and all; a split ends in the middle of each text."""
+    d = _t(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("path"), "doc_id", F.expr("""concat(doc_id, ',', lang, ',"', replace(text, '"', '""'), '"')""").alias("record"))
+    parts = d.select("path", "doc_id", F.posexplode(F.split("record", "\n", -1)).alias("k", "line"), F.size(F.split("record", "\n", -1)).alias("n"))
+    parts = parts.withColumn("split", F.col("doc_id") + (2 * F.col("k") > F.col("n")).cast("long"))
+    lines = parts.select("path", "split", F.row_number().over(Window.partitionBy("path", "split").orderBy("doc_id", "k")).cast("long").alias("pos"), "line")
+    return DL.cells(DL.records(lines)).select("path", "row", "cell", F.sha2("value", 256).alias("value_sha256"))
+
+
 NAMES = (
     packet_inventory, packet_headings, packet_pdf_sections, packet_slides, packet_tables, packet_evidence, packet_claims, packet_empty_drafts, packet_source_findings, packet_selection,
     packet_clean_sources, packet_version_conflicts, packet_conflict_findings, packet_metrics, packet_metric_conflicts, packet_wide_conflicts, packet_guarded_conflicts, contradicted_numbers, balance_overlap, packet_pdf_citations, packet_pdf_table_rows, packet_undeclared_claims, book_findings, reviewed_calculations, book_sheets, book_hidden_sheets, book_headers, book_formulas,
     book_hardcodes, book_without_checks, book_repeated_formulas, book_repairs, decision_latest, reviewed_claims, replayed_claims, attached_support, merged_support, reviewed_conflicts, reviewed_findings,
     packet_claim_findings, generated_claims, claim_receipt, gate_blockers, legal_passages, legal_propositions, legal_support, legal_unresolved, legal_unmapped, legal_trust, legal_classes,
-    legal_boundaries, legal_output, legal_reuse, source_history, packet_refresh, paired_files, passage_changes, voided_approvals,
+    legal_boundaries, legal_output, legal_reuse, source_history, packet_refresh, paired_files, delimited_cells, passage_changes, voided_approvals,
 )
 
 
@@ -704,5 +714,8 @@ def oracle_sql():
         "paired_files": f"WITH {_VERSIONS} SELECT * FROM pa",
         "passage_changes": f"WITH RECURSIVE {_ALIGNED} SELECT coalesce(old_name, '') AS old_name, coalesce(new_name, '') AS new_name, change, coalesce(old_place, 0) AS old_place, coalesce(new_place, 0) AS new_place FROM ch",
         "voided_approvals": f"WITH RECURSIVE {_ALIGNED} SELECT concat(old_name, '_', old_place) AS evidence_id, change, CASE WHEN new_place IS NULL THEN '' ELSE new_name END AS new_name, coalesce(new_place, 0) AS new_place, change IN ('changed', 'removed') AS void FROM ch WHERE old_place % 3 = 0",
+        "delimited_cells": """WITH d AS (SELECT coalesce(source, '') AS path, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS "row", doc_id, lang, text FROM documents), c AS (
+            SELECT path, "row", 'A' AS l, CAST(doc_id AS VARCHAR) AS v FROM d UNION ALL SELECT path, "row", 'B', lang FROM d UNION ALL SELECT path, "row", 'C', text FROM d)
+            SELECT path, "row", concat(l, "row") AS cell, sha256(v) AS value_sha256 FROM c""",
         "packet_refresh": f"""WITH d AS (SELECT doc_id, {_NAME} AS name FROM documents) SELECT name, CASE WHEN doc_id % 13 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM d WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0)""",
     }

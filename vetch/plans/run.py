@@ -71,7 +71,7 @@ class Review:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self.hold(P.inspect(P.scan(self.spark, self.input_dir)))
+        return self.hold(P.inspect(P.scan(self.spark, self.input_dir), self.input_dir))
 
     @cached_property
     def sources(self) -> DataFrame:
