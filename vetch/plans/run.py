@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..operators import amounts as A
 from ..operators import claims as C
 from ..operators import conflicts as K
@@ -71,7 +72,7 @@ class Review:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self.hold(P.inspect(P.scan(self.spark, self.input_dir), self.input_dir))
+        return self.hold(cut(P.inspect(P.scan(self.spark, self.input_dir), self.input_dir)))  # all that follows plans from here
 
     @cached_property
     def sources(self) -> DataFrame:
