@@ -243,6 +243,18 @@ def test_reuse_across_runs(spark, service, place, tmp_path):
     assert library("elsewhere", {"task.md": files["task.md"].replace(b"Property", b"Torts").replace(b"property", b"torts")}) == set()
 
 
+def test_refresh_lists_void_approvals(spark, tmp_path):
+    store, notes = ParquetStore(spark, str(tmp_path / "store")), [f"Statement {w} about the branch." for w in ("one", "two", "three", "four")]
+    for run_id, name, said in (("1", "notes.md", notes), ("2", "renamed.md", [notes[3], notes[0], "Statement two about another matter.", notes[2]])):
+        r = run.Review(spark, put(tmp_path / run_id, {name: "\n\n".join(said).encode(), "rates.csv": b"a,b\n1,2\n"}))
+        evidence = r.evidence.select("evidence_id", "source_id", "name", "anchor", F.sha2("text", 256).alias("hash"))
+        store.publish(run_id, {"sources": r.sources, "evidence": evidence, "support": r.evidence.select(F.lit("c").alias("claim_id"), "evidence_id", "text").drop("text")})
+        if run_id == "1":
+            texts = {x["evidence_id"]: x["text"] for x in r.evidence.collect()}
+    got = {texts[x["evidence_id"]]: (x["change"], x["void"]) for x in run._voided(store, "1", "2", render.Artifacts(str(tmp_path), "r"))}
+    assert got == {notes[0]: ("kept", False), notes[1]: ("changed", True), notes[2]: ("kept", False), notes[3]: ("moved", False), "a,b": ("kept", False), "1,2": ("kept", False)}
+
+
 def test_rendering():
     text = "# A\nx  y\n\n\n\n## B\nz"
     assert render.formatted(text) == "# A\n\nx  y\n\n## B\n\nz" and render.edited("  a   b") == "  a b"
