@@ -35,6 +35,28 @@ def test_passages_are_placed_in_long_texts():
     assert S.matched(S.syncmers(b""), S.syncmers(a)) == []
 
 
+def test_fingerprints_grow_with_the_text():
+    rng = S.np.random.default_rng(4)
+    text = lambda n: rng.integers(32, 127, n, dtype=S.np.uint8).tobytes()
+    print_of = lambda t: S.sketch(S.syncmers(t)[1])
+    for n in (0, 5, 100, 2_000, 20_000, 400_000):
+        own = S.np.unique(S.syncmers(text(n))[1])
+        kept = S.sketch(own)
+        assert set(kept.tolist()) >= set(own[own < S.BOUND].tolist()) | set(own[: S.SKETCH].tolist()) and len(kept) >= min(len(own), max(S.SKETCH, len(own) / 20))
+        assert set(own[own < S.whole_below(kept)].tolist()) == set(kept.tolist())
+    for _ in range(20):  # a passage of 600 bytes in texts of 120,000
+        shared = text(600)
+        assert S.likeness(print_of(text(60_000) + shared + text(60_000)), print_of(shared + text(120_000))) > 0
+    for n, m in ((500, 500), (500, 60_000), (3_000, 9_000), (60_000, 300_000)):  # the true share, whatever the lengths
+        for keep in (0.1, 0.5, 0.9):
+            a = text(n)
+            b = a[: int(keep * n)] + text(m - int(keep * n))
+            x, y = (set(S.syncmers(t)[1].tolist()) for t in (a, b))
+            assert abs(S.likeness(print_of(a), print_of(b)) - len(x & y) / len(x | y)) < 0.2
+            assert S.likeness(print_of(a), print_of(b)) == S.likeness(print_of(b), print_of(a))
+        assert S.likeness(print_of(a), print_of(a)) == 1.0
+
+
 def test_query_by_brute_force(spark, small, documents):
     rows = {r["doc_id"]: r for r in S.op4_syncmers(spark, small).collect()}
     assert len(rows) == len(documents)
@@ -42,7 +64,7 @@ def test_query_by_brute_force(spark, small, documents):
         other, half, r = documents[(k + 1) % len(documents)][1], len(text) // 2, rows[i]
         edited = text[: len(text) - half] + other[:half]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        a, b, c = (S.sketch(x.encode()) for x in (text, edited, other))
+        a, b, c = (S.sketch(S.syncmers(x.encode())[1]) for x in (text, edited, other))
         assert r["fingerprint"] == a.astype(">u4").tobytes().hex() and r["edited_fingerprint"] == b.astype(">u4").tobytes().hex()
         assert (r["near_edited"], r["near_next"]) == (S.likeness(a, b), S.likeness(a, c))
     half = [r["near_edited"] for r in rows.values() if r["n_chars"] > 500]

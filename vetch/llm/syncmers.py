@@ -2,8 +2,9 @@
 
 A k-mer of the text's bytes is a closed syncmer if the smallest of its s-mers (by a mixed hash) lies at its start or end. Whether one
 is chosen depends on its own bytes alone, so a passage gives the same anchors in whatever text it stands. A document's
-fingerprint is the sorted set of the SKETCH smallest hashes of its syncmers; two fingerprints' likeness estimates the
-share of syncmers that the documents have in common. Where a short passage in long texts counts, matched() places all anchors of
+fingerprint is the sorted set of its syncmers' hashes below BOUND, a fixed share of all, and at least the SKETCH smallest: it grows with
+the text, and any two are comparable up to the hash to which both are whole. Two fingerprints' likeness estimates the
+share of syncmers that the documents have in common. To place a passage, matched() holds all anchors of
 one text against those of the other by their positions.
 
 To pair each document with the next one, ids are cut into ranges at quantiles, each range is sorted, and the first row of a range is
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, table, text_of
 
 K, S, SKETCH = 16, 8, 64
+#: Every hash below it is part of a fingerprint: one in 16 of a text's syncmers, about one for each 72 bytes.
+BOUND = 1 << 28
 _EDGE = K - S
 NONE = np.zeros(0, np.uint32)
 
@@ -47,16 +50,23 @@ def syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, (_mixed(first[at] * np.uint64(3) + (last[at] ^ np.uint64(0x5851F42D4C957F2D))) >> np.uint64(32)).astype(np.uint32)
 
 
-def sketch(data: bytes) -> np.ndarray:
-    return np.unique(syncmers(data)[1])[:SKETCH]
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a text with these syncmer hashes, sorted."""
+    own = np.unique(hashes)
+    return own[: max(SKETCH, int(np.searchsorted(own, BOUND)))]
+
+
+def whole_below(a: np.ndarray) -> int:
+    """The hash below which a fingerprint has all of its text's: beyond all hashes where it is shorter than SKETCH."""
+    return 1 << 32 if len(a) < SKETCH else max(BOUND, int(a[-1]) + 1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of the smallest hashes of both that both have; two empty sketches are alike."""
+    """The share of the hashes of either that both have, up to where both are whole; two empty fingerprints are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both, n = np.unique(np.concatenate([a, b]), return_counts=True)
-    n = n[:SKETCH]
+    n = n[: int(np.searchsorted(both, min(whole_below(a), whole_below(b))))]
     return float((n == 2).sum()) / len(n)
 
 
@@ -118,14 +128,14 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         passages = matched(mine_anchors, anchors)
         half = len(mine) // 2
         edited = (mine[: len(mine) - half] + text[:half]).encode("utf-8", "surrogatepass")
-        edited_sketch = sketch(edited)
+        edited_sketch = sketch(syncmers(edited)[1])
         out.append((doc_id, len(mine), hashlib.sha256(edited).hexdigest(), mine_sketch.astype(">u4").tobytes().hex(), edited_sketch.astype(">u4").tobytes().hex(), likeness(mine_sketch, edited_sketch), likeness(mine_sketch, own), len(passages), max((n for *_, n in passages), default=0)))
 
     for batch in batches:
         for part, ahead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "ahead", "doc_id", "text"))):
             data = text.encode("utf-8", "surrogatepass")
             anchors = syncmers(data)
-            own = np.unique(anchors[1])[:SKETCH]
+            own = sketch(anchors[1])
             if held is not None and held[0] == part:
                 close(held, text, own, anchors)
             held = None if ahead else (part, doc_id, text, anchors, own)
