@@ -9,6 +9,10 @@ any two linked fingerprints meet at an anchor. There they are compared on all 64
 Only different fingerprints are replicated, so copies cost nothing. Of each anchor's fingerprints only a spanning forest of
 links goes on. An anchor that more than BLOCK fingerprints reach is split into blocks, and each pair of blocks is a
 group of its own: no task holds more than two blocks, and no comparison is left out.
+
+Texts that are similar by their shingles meet by band keys. Each is first held against its key's smallest text, and what that and the fingerprints
+link is one component from then on. In keys that still have texts of several components, every pair across components
+is looked at, again in pairs of blocks: by sketches first, then on the texts.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from .syncmers import _mixed
 WORDS, SEED, THRESHOLD = 4, 42, 4
 #: Shingles for similar texts, and the band keys by which these meet: each of the DEPTH smallest hashes under as many mixings.
 SIMILAR_WORDS, BANDS, DEPTH = 5, 10, 3
+#: Bins of a text's sketch, a byte each; pairs whose sketches agree in less than the similarity minus SLACK (four standard errors of 64 bins at 0.8) don't go on to their texts.
+BINS, SLACK = 64, 0.2
 #: Ids of texts that are sent to every task (16 MB of them) rather than shuffled.
 SENT_IDS = 2_000_000
 #: Fingerprints of one anchor that are compared in one group.
@@ -140,42 +146,116 @@ def jaccard(a: str, b: str, words: int) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
+def bin_sketch(h: np.ndarray) -> list[int]:
+    """The smallest hash of each of BINS equal ranges of mixed shingle hashes, as a byte (0: none), eight to a long."""
+    m = np.sort(_mixed(h ^ np.uint64(0xA24BAED4963EE407)))
+    begin = np.searchsorted(m, np.arange(BINS, dtype=np.uint64) * np.uint64(2**64 // BINS))
+    some = begin < np.append(begin[1:], len(m))
+    least = np.zeros(BINS, np.uint8)
+    least[some] = m[begin[some]] % np.uint64(255) + np.uint64(1)
+    return least.view(np.int64).tolist()
+
+
+def open_pairs(comp: np.ndarray, side: np.ndarray, sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Places (k, l) of texts of different components whose sketches agree in that share of the bins that either fills. Those with side -1
+    meet those with 1; those with 0 meet each other."""
+    left, right, found = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0), []
+    for k in left.tolist():
+        others = right[(comp[right] != comp[k]) & ((side[k] != 0) | (right > k))]
+        if len(others):
+            a, b = sketches[k], sketches[others]
+            alike = ((a == b) & (a > 0)).sum(axis=1)
+            found += [(k, x) for x in others[alike >= least * ((a > 0) | (b > 0)).sum(axis=1)].tolist()]
+    return found
+
+
 def _marked(text: Column, words: int) -> Column:
-    """The fingerprint of a text and its band keys, struct<fp, bands>, in one pass over its words."""
+    """The fingerprint of a text, its band keys and its sketch, struct<fp, bands, sketch>."""
 
-    @F.pandas_udf("fp long, bands array<long>")
+    @F.pandas_udf("fp long, bands array<long>, sketch array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"fp": [fingerprint(t, words) for t in texts], "bands": [band_keys(shingle_hashes(t, SIMILAR_WORDS)) for t in texts]})
+        similar = [shingle_hashes(t, SIMILAR_WORDS) for t in texts]
+        return pd.DataFrame({"fp": [fingerprint(t, words) for t in texts], "bands": [band_keys(h) for h in similar], "sketch": [bin_sketch(h) for h in similar]})
 
     return of(text)
 
 
-def similar_links(marked: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Links (a, b) among the fingerprints of marked (text_id, fp, bands) whose texts in docs (text) are that similar by their shingles' Jaccard similarity.
+def shared_keys(marked: DataFrame) -> DataFrame:
+    """(fp, id, band, hub, copies) for each text of marked (text_id, fp, bands) and each of its keys of which it isn't the smallest text, hub."""
+    sent = marked.select("fp", F.col("text_id").alias("id"), F.explode("bands").alias("band"))
+    hubs = sent.groupBy("band").agg(F.min(F.struct("id", "fp")).alias("hub"), F.max("id").alias("last"), F.count("*").alias("copies")).where("hub.id < last").select("band", "hub", "copies")
+    met = skew_left_join(sent, cut(hubs), ["band"], "copies", "id").where("id <> hub.id")
+    return cut(met.select("fp", "id", "band", "hub", "copies"))
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is one of the ids, which are sent to every task while they are few enough, and shuffled beyond that."""
+    ids = cut(ids.distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi")
 
-    Texts that share a band's key are held against the key's smallest text; every pair is verified on the texts. A key's
-    texts are never in one task together: the hubs come by skew_left_join. Texts that have no pair to verify go no further than
-    the scan while the ids of the others are few enough to be sent to every task, and are shuffled by id beyond that.
+
+def similar_links(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among the fingerprints of pairs (fp, id, hub_fp, hub_id) whose texts in docs (text) are that similar by their shingles' Jaccard similarity.
+
+    Texts of many pairs go as the hub: they come by skew_left_join. Texts that have no pair go no further than the scan while
+    the ids of the others are few.
     """
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, words) >= similarity for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([jaccard(x, y, SIMILAR_WORDS) >= similarity for x, y in zip(a, b)], dtype=bool)
 
-    sent = marked.select("fp", F.col("text_id").alias("id"), F.explode("bands").alias("band"))
-    hubs = sent.groupBy("band").agg(F.min(F.struct("id", "fp")).alias("hub"), F.max("id").alias("last"), F.count("*").alias("copies")).where("hub.id < last").select("band", "hub", "copies")
-    met = skew_left_join(sent, cut(hubs), ["band"], "copies", "id").where("id <> hub.id and fp <> hub.fp")
-    pairs = cut(met.select("fp", "id", F.col("hub.fp").alias("hub_fp"), F.col("hub.id").alias("hub_id")).distinct())
-    wanted = cut(pairs.select("id").union(pairs.select("hub_id")).distinct())
-    few = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
     texts = docs.select(text_of().alias("text")).withColumn("id", F.xxhash64("text"))
-    known = cut(texts.join(few, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    known = cut(_among(texts, pairs.select("id").union(pairs.select("hub_id"))).groupBy("id").agg(F.min("text").alias("text")))
     often = pairs.groupBy("hub_id").agg(F.count("*").alias("copies"))
     hub_texts = cut(often.join(known.select(F.col("id").alias("hub_id"), F.col("text").alias("hub_text")), "hub_id"))
     both = skew_left_join(pairs.join(known, "id"), hub_texts, ["hub_id"], "copies", "id")
     return both.where(alike("text", "hub_text")).select(F.col("fp").alias("a"), F.col("hub_fp").alias("b"))
 
 
+def across(met: DataFrame, marked: DataFrame, prints: DataFrame, comp: DataFrame, similarity: float, block: int) -> DataFrame | None:
+    """Pairs (fp, id, hub_fp, hub_id) of texts that share a key, lie in different components (fp, component) and whose sketches leave the
+    similarity open; None if no key has texts of several components. Pairs with a key's smallest text are left out, as they have been looked at.
+
+    The texts of a key's largest component, at home there, meet the others, and these meet each other: where few are
+    not at home, each text at home is sent once.
+    """
+    placed = cut(prints.join(comp, "fp").select("fp", "component", "copies"))
+    texts = met.where("copies > 2").groupBy("band", "id").agg(F.min("fp").alias("fp"))
+    texts = cut(skew_left_join(texts, placed, ["fp"], "copies", "id").select("band", "id", "fp", F.coalesce("component", "fp").alias("comp")))
+    sizes = texts.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    keys = cut(keys.select("band", F.col("home.comp").alias("home"), F.ceil(F.col("home.n") / block).alias("homes"), F.ceil((F.col("n") - F.col("home.n")) / block).alias("strays"), "n"))
+    if keys.isEmpty():
+        return None
+    texts = cut(skew_left_join(texts, keys, ["band"], "n", "id").where("home is not null").select("band", "id", "fp", "comp", "home", "homes", "strays"))
+    sketches = _among(marked.select(F.col("text_id").alias("id"), "sketch"), texts.select("id")).groupBy("id").agg(F.min("sketch").alias("sketch"))
+    texts = texts.join(sketches, "id").withColumn("at_home", F.col("comp") == F.col("home"))
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("at_home"), F.col("homes")).otherwise(F.col("strays")))
+    texts = texts.withColumn("mine", mine)
+
+    def dealt(rows: DataFrame, to: str, kind: int, i: Column, j: Column, side: Column) -> DataFrame:
+        """The rows, once for each block of those they meet."""
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(to) - 1)))
+        return rows.select("band", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.struct("id", "fp", "comp", side.cast("long").alias("side"), "sketch").alias("row"))
+
+    m, o, strays = F.col("mine"), F.col("other"), texts.where("not at_home")
+    sent = dealt(strays, "strays", 0, F.least(m, o), F.greatest(m, o), F.signum(m - o))
+    sent = sent.unionByName(dealt(strays, "homes", 1, m, o, F.lit(-1))).unionByName(dealt(texts.where("at_home"), "strays", 1, o, m, F.lit(1)))
+    groups = sent.groupBy("band", "kind", "i", "j").agg(F.collect_list("row").alias("rows")).where(F.size("rows") > 1)
+
+    @F.pandas_udf("array<struct<fp:bigint,id:bigint,hub_fp:bigint,hub_id:bigint>>")
+    def opened(ids: pd.Series, fps: pd.Series, comps: pd.Series, sides: pd.Series, sketches: pd.Series) -> pd.Series:
+        out = []
+        for i, fp, c, side, raw in zip(ids, fps, comps, sides, sketches):
+            pairs = open_pairs(np.asarray(c), np.asarray(side), np.ascontiguousarray(raw, np.int64).view(np.uint8).reshape(-1, BINS), similarity - SLACK)
+            out.append([(int(fp[y]), int(i[y]), int(fp[x]), int(i[x])) for x, y in pairs])
+        return pd.Series(out, dtype=object)
+
+    found = groups.select(F.explode(opened("rows.id", "rows.fp", "rows.comp", "rows.side", F.flatten("rows.sketch"))).alias("p"))
+    return cut(found.select("p.*").distinct())
+
+
 def near_groups(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
     """(doc_id, text_id, fp, component_id, kept) for each row of docs (doc_id, text): its fingerprint and the smallest doc_id that links
     reach; text_id is the XXH64 of its text.
@@ -184,16 +264,24 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS,
     as often as in docs. Rows without a doc_id join groups but name none: a group of such rows alone has a null component_id.
     ``kept`` marks what stays of a group: the rows with its smallest doc_id and, of these, the smallest text_id; and every row without a doc_id.
     Of docs nothing but doc_id and text is used; an empty table gives no rows. With ``similarity``, texts whose SIMILAR_WORDS-word
-    shingles have that Jaccard similarity are linked too.
+    shingles have that Jaccard similarity are linked too, as far as they
+    share one of BANDS keys (at 0.8: 999 of 1000 pairs) and their sketches don't tell them apart (one in 10,000).
     """
     each = docs.select("doc_id", F.xxhash64(text_of()).alias("text_id"), (fingerprints(text_of(), words).alias("fp") if similarity is None else _marked(text_of(), words).alias("m")))
-    marked = cut(each if similarity is None else each.select("doc_id", "text_id", "m.fp", "m.bands"))
+    marked = cut(each if similarity is None else each.select("doc_id", "text_id", "m.*"))
     rows = marked.select("doc_id", "text_id", "fp")
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_id"))).alias("stays"), F.count("*").alias("copies")))
     found = links(prints.select("fp"), threshold, block)
     if similarity is not None:
-        found = found.unionByName(similar_links(marked, docs, similarity, SIMILAR_WORDS))
+        met = shared_keys(marked)
+        pairs = cut(met.where("fp <> hub.fp").select("fp", "id", F.col("hub.fp").alias("hub_fp"), F.col("hub.id").alias("hub_id")).distinct())
+        found = found.unionByName(similar_links(pairs, docs, similarity))
     comp = cut(components(found)).select(F.col("id").alias("fp"), "component")
+    if similarity is not None:
+        rest = across(met, marked, prints, comp, similarity, block)
+        if rest is not None:
+            more = similar_links(rest, docs, similarity)
+            comp = cut(components(comp.select(F.col("fp").alias("a"), F.col("component").alias("b")).unionByName(more))).select(F.col("id").alias("fp"), "component")
     member = prints.join(comp, "fp")
     smallest = member.groupBy("component").agg(F.min("first").alias("smallest"), F.min("stays").alias("stay"))
     member = member.join(smallest, "component").select("fp", "smallest", "stay")
