@@ -37,5 +37,7 @@ def test_dates_and_states(spark):
 def test_paragraphs_and_ids(spark):
     assert one(spark, X.paragraphs(F.col("t")), t="# A\n\nb\nc\n \n\n d ") == ["# A", "b\nc", "d"]
     assert one(spark, X.passage_id(F.col("n"), F.lit(4)), n="finder-v-owner.md") == "passage_finder-v-owner_p0004"
+    assert one(spark, X.passage_id(F.col("n"), F.lit(4)), n="old/finder-v-owner.md") == "passage_old/finder-v-owner_p0004"
+    assert one(spark, X.passage_id(F.col("n"), F.lit(1001), F.col("t").cast("int")), n="a.pdf", t="1") == "passage_a_p0001-1001"
     a, b = (one(spark, X.content_id("claim", F.col("t"), F.lit(None)), t=t) for t in ("x", "y"))
     assert a != b and a.startswith("claim_")

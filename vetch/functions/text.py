@@ -119,9 +119,11 @@ def heading_level(block: Column) -> Column:
     return F.length(F.regexp_extract(block, r"^(#{1,6})\s+\S", 1))
 
 
-def passage_id(name: Column, paragraph: Column) -> Column:
-    base = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[A-Za-z0-9]+$", "")
-    return F.format_string("passage_%s_p%04d", base, paragraph)
+def passage_id(name: Column, paragraph: Column, page: Column | None = None) -> Column:
+    """The id of a file's paragraph; of a page's, with the page before it. A file below the packet's folder has its path in the id."""
+    base = F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "")
+    plain = F.format_string("passage_%s_p%04d", base, paragraph)
+    return plain if page is None else F.when(page.isNull(), plain).otherwise(F.format_string("passage_%s_p%04d-%04d", base, page, paragraph))
 
 
 def content_id(kind: str, *parts: Column) -> Column:

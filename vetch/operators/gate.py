@@ -52,8 +52,15 @@ def blockers(conflicts: DataFrame, sources: DataFrame, generated: DataFrame, uns
 
 def receipt(generated: DataFrame, shown: int = 3) -> DataFrame:
     """A line for each claim: dense lists of evidence become a count and the first pointers; the full lists stay in JSON."""
-    g = generated.groupBy("claim_id", "text").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence"), F.array_sort(F.collect_set("source_name")).alias("sources"))
-    return g.select("claim_id", "text", F.size("evidence").alias("n_evidence"), F.slice("evidence", 1, shown).alias("pointers"), "evidence", "sources")
+    g = generated.groupBy("claim_id", "text").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence"), F.array_sort(F.collect_set("source_name")).alias("sources"), F.array_sort(F.collect_set(F.struct("evidence_id", "source_id", "source_name", "source_date"))).alias("cited"))
+    return g.select("claim_id", "text", F.size("evidence").alias("n_evidence"), F.slice("evidence", 1, shown).alias("pointers"), "evidence", "sources", "cited")
+
+
+def receipt_sources(sources: DataFrame, generated: DataFrame) -> DataFrame:
+    """Every source of the packet with its id and date, how many claims of the receipt rest on it, and why it was excluded if it was."""
+    rests = generated.groupBy("source_id").agg(F.count_distinct("claim_id").alias("claims"))
+    s = sources.select("source_id", "name", "source_date", "selected", "excluded_reason")
+    return s.join(rests, "source_id", "left").withColumn("claims", F.coalesce("claims", F.lit(0).cast("long")))
 
 
 def next_action(findings: DataFrame) -> DataFrame:

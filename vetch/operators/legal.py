@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,31 +15,51 @@ DRAFT = r"^LEGAL-DRAFT \[([^\]]+)\]: *(.+)$"
 PASSAGE_KINDS = ("paragraph", "heading", "page_paragraph")
 
 
-def classify(sources: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(source_id, classification, treatment_state): draft by its markers, assignment by its questions, case by its reporter or court."""
-    b = sources.join(bodies, "source_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
-    kind = (
-        F.when(F.col("body").rlike(r"(?m)^LEGAL-(MAP|DRAFT) "), "draft")
-        .when(F.col("body").rlike(r"(?im)^(question presented|course):"), "assignment")
-        .when(F.col("body").rlike(r"(?m)\b\d+ [A-Z][A-Za-z.]*(?: [A-Z][A-Za-z.]*)? \d+\b|(?i)\bcourt of\b") | F.lower("name").rlike(r"-v-"), "case")
-        .otherwise("other")
+def marks(facts: DataFrame) -> DataFrame:
+    """(source_id, ...) for each file with blocks: whether any has what tells the file's class, and the first line of each key.
+
+    Blocks are looked at one by one and only what they say is aggregated, partly before the shuffle: no file's text is put together.
+    """
+    place = [F.coalesce("page", F.lit(0)).alias("page"), "ordinal"]
+
+    def any_has(*patterns: str) -> Column:
+        return F.coalesce(F.bool_or(reduce(Column.__or__, [F.col("text").rlike(p) for p in patterns])), F.lit(False))
+
+    def first(pattern: str) -> Column:
+        found = F.regexp_extract("text", pattern, 1)
+        return F.coalesce(F.min(F.when(found != "", F.struct(*place, found.alias("found"))))["found"], F.lit(""))
+
+    line = lambda key: F.nullif(F.trim(first(rf"(?im)^{key}: *(.+)$")), F.lit(""))
+    return (
+        facts.where(F.col("kind").isin(*PASSAGE_KINDS))
+        .groupBy("source_id")
+        .agg(
+            any_has(r"(?m)^LEGAL-(MAP|DRAFT) ").alias("marked"),
+            any_has(r"(?im)^(question presented|course):").alias("assigned"),
+            any_has(r"(?m)\b\d+ [A-Z][A-Za-z.]*(?: [A-Z][A-Za-z.]*)? \d+\b", r"(?i)\bcourt of\b").alias("reported"),
+            any_has(r"(?i)\b(overruled|reversed|superseded)\b").alias("negative"),
+            any_has(r"(?im)^(course|matter):").alias("bounded"),
+            F.lower(F.coalesce(line("course"), line("matter"))).alias("boundary_key"),
+            line("jurisdiction").alias("jurisdiction"),
+            any_has(r"(?im)^question presented:").alias("asks"),
+            F.trim(first(r"(?im)^question presented: *(.+)$")).alias("question"),
+            F.nullif(F.lower(first(r"(?i)prepare an? (?:short |brief |long )?(?:legal )?(\w+)")), F.lit("")).alias("output"),
+            any_has(r"(?i)using only the supplied packet|only the packet").alias("packet_only"),
+        )
     )
-    treated = F.when(F.col("body").rlike(r"(?i)\b(overruled|reversed|superseded)\b"), "negative").otherwise("unreviewed")
-    return b.select("source_id", "name", kind.alias("classification"), treated.alias("treatment_state"))
 
 
-def bodies(facts: DataFrame) -> DataFrame:
-    """Each file's blocks as one text, in order."""
-    block = F.struct(F.coalesce("page", F.lit(0)).alias("page"), "ordinal", "text")
-    f = facts.where(F.col("kind").isin(*PASSAGE_KINDS))
-    return f.groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(block)), lambda b: b["text"]), "\n\n").alias("body"))
+def classify(sources: DataFrame, marks: DataFrame) -> DataFrame:
+    """(source_id, classification, treatment_state): draft by its markers, assignment by its questions, case by its reporter or court."""
+    b = sources.join(marks.drop("name"), "source_id", "left")
+    kind = F.when(F.col("marked"), "draft").when(F.col("assigned"), "assignment").when(F.coalesce("reported", F.lit(False)) | F.lower("name").rlike(r"-v-"), "case").otherwise("other")
+    return b.select("source_id", "name", kind.alias("classification"), F.when(F.col("negative"), "negative").otherwise("unreviewed").alias("treatment_state"))
 
 
 def passages(facts: DataFrame) -> DataFrame:
-    """Citeable passages: (source_id, name, passage_id, page, paragraph, text, quote_hash). Paragraphs count blocks, headings too."""
+    """Citeable passages: (source_id, name, passage_id, page, paragraph, text, quote_hash). Paragraphs count blocks, headings too; on pages, those of the page."""
     f = facts.where(F.col("kind").isin(*PASSAGE_KINDS) & F.col("ext").isin("md", "txt", "docx", "pdf"))
-    number = F.when(F.col("page").isNull(), F.col("ordinal")).otherwise(F.col("page") * 1000 + F.col("ordinal"))
-    return f.select("source_id", "name", X.passage_id(F.col("name"), number).alias("passage_id"), "page", F.col("ordinal").alias("paragraph"), "text", F.sha2("text", 256).alias("quote_hash"))
+    return f.select("source_id", "name", X.passage_id(F.col("name"), F.col("ordinal"), F.col("page")).alias("passage_id"), "page", F.col("ordinal").alias("paragraph"), "text", F.sha2("text", 256).alias("quote_hash"))
 
 
 def history(sources: DataFrame) -> DataFrame:
@@ -97,19 +119,16 @@ def trust_findings(propositions: DataFrame, passages: DataFrame, sources: DataFr
     )
 
 
-def boundary(sources: DataFrame, bodies: DataFrame) -> DataFrame:
+def boundary(sources: DataFrame, marks: DataFrame) -> DataFrame:
     """(source_id, boundary_key, jurisdiction) from the assignment's course or matter."""
-    b = sources.join(bodies, "source_id").where(F.col("body").rlike(r"(?im)^(course|matter):"))
-    line = lambda key: F.nullif(F.trim(F.regexp_extract("body", rf"(?im)^{key}: *(.+)$", 1)), F.lit(""))
-    return b.select("source_id", F.lower(F.coalesce(line("course"), line("matter"))).alias("boundary_key"), line("jurisdiction").alias("jurisdiction"))
+    return sources.select("source_id").join(marks.where("bounded"), "source_id").select("source_id", "boundary_key", "jurisdiction")
 
 
-def output_spec(sources: DataFrame, bodies: DataFrame) -> DataFrame:
+def output_spec(sources: DataFrame, marks: DataFrame) -> DataFrame:
     """What the assignment asks for: kind of output, question, and whether only the packet may be used."""
-    b = sources.join(bodies, "source_id").where(F.col("body").rlike(r"(?im)^question presented:"))
-    kind = F.nullif(F.lower(F.regexp_extract("body", r"(?i)prepare an? (?:short |brief |long )?(?:legal )?(\w+)", 1)), F.lit(""))
-    scope = F.when(F.col("body").rlike(r"(?i)using only the supplied packet|only the packet"), "supplied packet only").otherwise("supplied packet")
-    return b.select("source_id", F.coalesce(kind, F.lit("document")).alias("kind"), F.trim(F.regexp_extract("body", r"(?im)^question presented: *(.+)$", 1)).alias("question"), scope.alias("source_scope"))
+    scope = F.when(F.col("packet_only"), "supplied packet only").otherwise("supplied packet")
+    asked = sources.select("source_id").join(marks.where("asks"), "source_id")
+    return asked.select("source_id", F.coalesce("output", F.lit("document")).alias("kind"), "question", scope.alias("source_scope"))
 
 
 def reuse_library(mapped: DataFrame, accepted: DataFrame, boundary: DataFrame) -> DataFrame:

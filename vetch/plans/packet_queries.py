@@ -354,6 +354,19 @@ def claim_receipt(spark, sf):
     return r.select("claim_id", F.col("n_evidence").cast("long").alias("n_evidence"), F.array_join("pointers", ",").alias("pointers"), F.array_join("sources", ",").alias("sources"))
 
 
+def receipt_citations(spark, sf):
+    """Each piece of evidence that a receipt's JSON cites, with its source's id and date."""
+    r = G.receipt(_generated(spark, sf)[0]).select("claim_id", F.explode("cited").alias("c"))
+    return r.select("claim_id", "c.evidence_id", "c.source_id", F.col("c.source_date").cast("string").alias("source_date"))
+
+
+def receipt_sources(spark, sf):
+    """The sources of a receipt's JSON; the one that isn't selected with the reason."""
+    g, s, _ = _generated(spark, sf)
+    s = s.withColumn("excluded_reason", F.when(~F.col("selected"), F.lit("Number-bearing source has no source date.")))
+    return G.receipt_sources(s, g).select("source_id", F.col("source_date").cast("string").alias("source_date"), "excluded_reason", "claims")
+
+
 def gate_blockers(spark, sf):
     """What keeps a receipt of the attached support from being written."""
     g, s, support = _generated(spark, sf)
@@ -412,17 +425,17 @@ def legal_trust(spark, sf):
 
 def legal_classes(spark, sf):
     f = _legal_facts(spark, sf)
-    return L.classify(_legal_sources(f), L.bodies(f)).select("source_id", "classification", "treatment_state")
+    return L.classify(_legal_sources(f), L.marks(f)).select("source_id", "classification", "treatment_state")
 
 
 def legal_boundaries(spark, sf):
     f = _legal_facts(spark, sf)
-    return L.boundary(_legal_sources(f), L.bodies(f)).select("source_id", "boundary_key", "jurisdiction")
+    return L.boundary(_legal_sources(f), L.marks(f)).select("source_id", "boundary_key", "jurisdiction")
 
 
 def legal_output(spark, sf):
     f = _legal_facts(spark, sf)
-    return L.output_spec(_legal_sources(f), L.bodies(f)).select("source_id", "kind", "question", "source_scope")
+    return L.output_spec(_legal_sources(f), L.marks(f)).select("source_id", "kind", "question", "source_scope")
 
 
 def legal_reuse(spark, sf):
@@ -430,7 +443,7 @@ def legal_reuse(spark, sf):
     f = _legal_facts(spark, sf)
     mapped = L.legal_map(L.propositions(f), L.passages(f))
     accepted = mapped.where("cast(substr(source_id, 2) as int) % 2 = 1").select(F.col("proposition_id").alias("target_id"))
-    return L.reuse_library(mapped, accepted, L.boundary(_legal_sources(f), L.bodies(f))).select("boundary_key", F.sha2("text", 256).alias("text_sha256"))
+    return L.reuse_library(mapped, accepted, L.boundary(_legal_sources(f), L.marks(f))).select("boundary_key", F.sha2("text", 256).alias("text_sha256"))
 
 
 def source_history(spark, sf):
@@ -488,7 +501,7 @@ NAMES = (
     packet_inventory, packet_headings, packet_pdf_sections, packet_slides, packet_tables, packet_evidence, packet_claims, packet_empty_drafts, packet_source_findings, packet_selection,
     packet_clean_sources, packet_version_conflicts, packet_conflict_findings, packet_metrics, packet_metric_conflicts, packet_wide_conflicts, packet_guarded_conflicts, contradicted_numbers, balance_overlap, packet_pdf_citations, packet_pdf_table_rows, packet_undeclared_claims, book_findings, reviewed_calculations, book_sheets, book_hidden_sheets, book_headers, book_formulas,
     book_hardcodes, book_without_checks, book_repeated_formulas, book_repairs, decision_latest, reviewed_claims, replayed_claims, attached_support, merged_support, reviewed_conflicts, reviewed_findings,
-    packet_claim_findings, generated_claims, claim_receipt, gate_blockers, legal_passages, legal_propositions, legal_support, legal_unresolved, legal_unmapped, legal_trust, legal_classes,
+    packet_claim_findings, generated_claims, claim_receipt, receipt_citations, receipt_sources, gate_blockers, legal_passages, legal_propositions, legal_support, legal_unresolved, legal_unmapped, legal_trust, legal_classes,
     legal_boundaries, legal_output, legal_reuse, source_history, packet_refresh, paired_files, delimited_cells, passage_changes, voided_approvals,
 )
 
@@ -692,6 +705,9 @@ def oracle_sql():
         "packet_claim_findings": f"WITH {_LOGS} {_FINDING} FROM ({_CLAIM_RULES})",
         "generated_claims": f"WITH {_GEN} SELECT * FROM ge",
         "claim_receipt": f"WITH {_GEN}, r AS (SELECT claim_id, list_sort(list(DISTINCT evidence_id)) AS e, list_sort(list(DISTINCT source_name)) AS s FROM ge JOIN documents ON claim_id = concat('c', doc_id) GROUP BY claim_id, text) SELECT claim_id, CAST(len(e) AS BIGINT) AS n_evidence, array_to_string(e[1:3], ',') AS pointers, array_to_string(s, ',') AS sources FROM r",
+        "receipt_citations": f"WITH {_GEN} SELECT DISTINCT claim_id, evidence_id, replace(source_name, '.md', '') AS source_id, source_date FROM ge",
+        "receipt_sources": f"""WITH {_GEN} SELECT s.source_id, CASE WHEN s.source_id <> 'b3' THEN '2025-01-01' END AS source_date, CASE WHEN s.source_id = 'b5' THEN 'Number-bearing source has no source date.' END AS excluded_reason, count(DISTINCT claim_id) AS claims
+            FROM (SELECT DISTINCT concat('b', item_id % 7) AS source_id FROM benchmark) s LEFT JOIN ge ON ge.source_name = concat(s.source_id, '.md') GROUP BY s.source_id""",
         "gate_blockers": rf"""WITH {_GEN} SELECT 'selected source conflict' AS blocker, 'k0' AS subject UNION ALL SELECT 'unsupported claim', concat('c', doc_id) FROM documents WHERE concat('c', doc_id) NOT IN (SELECT claim_id FROM su)
             UNION ALL SELECT DISTINCT 'undated numeric claim', generated_id FROM ge JOIN documents ON claim_id = concat('c', doc_id) WHERE source_date IS NULL AND regexp_matches({_plain_text()}, '[0-9]') UNION ALL SELECT DISTINCT 'claim rests on an excluded source', generated_id FROM ge WHERE NOT selected
             UNION ALL SELECT 'no generated claim', 'receipt' WHERE NOT EXISTS (SELECT 1 FROM ge)""",

@@ -151,8 +151,8 @@ class LegalReview(Review):
     earlier: Callable[[str], DataFrame | None] = staticmethod(lambda key: None)
 
     @cached_property
-    def bodies(self) -> DataFrame:
-        return L.bodies(self.facts)
+    def marks(self) -> DataFrame:
+        return self.hold(L.marks(self.facts))
 
     @cached_property
     def passages(self) -> DataFrame:
@@ -164,7 +164,7 @@ class LegalReview(Review):
 
     @cached_property
     def boundary_key(self) -> str | None:
-        return L.boundary(self.sources, self.bodies).agg(F.min("boundary_key")).first()[0]
+        return L.boundary(self.sources, self.marks).agg(F.min("boundary_key")).first()[0]
 
     @cached_property
     def reviewed(self) -> DataFrame:
@@ -195,6 +195,7 @@ def _export_general(r: Review, out: render.Artifacts, name: str, generate: bool,
     if generate and ready and not blockers:
         out.rows("verify", "generated-claims.json", r.generated.orderBy("generated_id"))
         lines = out.rows("export", "receipt.json", G.receipt(r.generated).orderBy("claim_id"))
+        out.rows("export", "receipt-sources.json", G.receipt_sources(r.selection, r.generated).orderBy("name"))
         body = render.receipt(name, lines)
         for file, text in (("final-output.md", body), ("formatted-output.md", render.formatted(body)), ("edited-output.md", render.edited(body))):
             out.text("export", file, text)
@@ -207,11 +208,11 @@ def _export_general(r: Review, out: render.Artifacts, name: str, generate: bool,
 
 
 def _export_legal(r: LegalReview, out: render.Artifacts, state: dict) -> dict:
-    out.rows("source", "legal-source-packet.json", L.classify(r.sources, r.bodies).orderBy("name"))
+    out.rows("source", "legal-source-packet.json", L.classify(r.sources, r.marks).orderBy("name"))
     out.rows("source", "legal-passages.json", r.passages.orderBy("passage_id"))
     out.rows("source", "legal-source-history.json", L.history(r.sources).orderBy("name"))
-    out.rows("spec", "legal-output-spec.json", L.output_spec(r.sources, r.bodies))
-    limits = L.boundary(r.sources, r.bodies)
+    out.rows("spec", "legal-output-spec.json", L.output_spec(r.sources, r.marks))
+    limits = L.boundary(r.sources, r.marks)
     out.rows("spec", "legal-boundary.json", limits)
     mapped = L.legal_map(r.propositions, r.passages)
     out.rows("verify", "legal-support-map.json", mapped.orderBy("proposition_id"))
