@@ -11,8 +11,8 @@ links goes on. An anchor that more than BLOCK fingerprints reach is split into b
 group of its own: no task holds more than two blocks, and no comparison is left out.
 
 Texts that are similar by their shingles meet by band keys. Each is first held against its key's smallest text, and what that and the fingerprints
-link is one component from then on. In keys that still have texts of several components, every pair across components
-is looked at, again in pairs of blocks: by sketches first, then on the texts.
+link is one component from then on. In keys that still have texts of several components, each text next meets the one that its sketch
+is nearest to; then every pair across components is looked at, again in pairs of blocks: by sketches first, then on the texts.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from .syncmers import _mixed
 WORDS, SEED, THRESHOLD = 4, 42, 4
 #: Shingles for similar texts, and the band keys by which these meet: each of the DEPTH smallest hashes under as many mixings.
 SIMILAR_WORDS, BANDS, DEPTH = 5, 10, 3
-#: Bins of a text's sketch, a byte each; pairs whose sketches agree in less than the similarity minus SLACK (four standard errors of 64 bins at 0.8) don't go on to their texts.
-BINS, SLACK = 64, 0.2
+#: Bins of a text's sketch, a byte each; pairs whose sketches agree in less than the similarity minus SLACK (four standard errors of 256 bins at 0.8) don't go on to their texts.
+BINS, SLACK = 256, 0.1
+#: Rounds in which texts meet the nearest of another component before all pairs across components are formed.
+ROUNDS = 1
 #: Ids of texts that are sent to every task (16 MB of them) rather than shuffled.
 SENT_IDS = 2_000_000
 #: Fingerprints of one anchor that are compared in one group.
@@ -156,16 +158,17 @@ def bin_sketch(h: np.ndarray) -> list[int]:
     return least.view(np.int64).tolist()
 
 
-def open_pairs(comp: np.ndarray, side: np.ndarray, sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Places (k, l) of texts of different components whose sketches agree in that share of the bins that either fills. Those with side -1
-    meet those with 1; those with 0 meet each other."""
+def open_pairs(comp: np.ndarray, side: np.ndarray, sketches: np.ndarray, least: float, nearest: bool = False) -> list[tuple[int, int, float]]:
+    """Places (k, l) of texts of different components whose sketches agree in at least that share of the bins that either fills, and the share.
+    Those with side -1 meet those with 1; those with 0 meet each other. With ``nearest``, each k meets only the one with the largest share."""
     left, right, found = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0), []
     for k in left.tolist():
         others = right[(comp[right] != comp[k]) & ((side[k] != 0) | (right > k))]
         if len(others):
             a, b = sketches[k], sketches[others]
-            alike = ((a == b) & (a > 0)).sum(axis=1)
-            found += [(k, x) for x in others[alike >= least * ((a > 0) | (b > 0)).sum(axis=1)].tolist()]
+            share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
+            near = [int(share.argmax())] if nearest else np.flatnonzero(share >= least).tolist()
+            found += [(k, int(others[x]), float(share[x])) for x in near if share[x] >= least]
     return found
 
 
@@ -213,12 +216,12 @@ def similar_links(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataF
     return both.where(alike("text", "hub_text")).select(F.col("fp").alias("a"), F.col("hub_fp").alias("b"))
 
 
-def across(met: DataFrame, marked: DataFrame, prints: DataFrame, comp: DataFrame, similarity: float, block: int) -> DataFrame | None:
+def across(met: DataFrame, marked: DataFrame, prints: DataFrame, comp: DataFrame, similarity: float, block: int, nearest: bool) -> DataFrame | None:
     """Pairs (fp, id, hub_fp, hub_id) of texts that share a key, lie in different components (fp, component) and whose sketches leave the
     similarity open; None if no key has texts of several components. Pairs with a key's smallest text are left out, as they have been looked at.
 
     The texts of a key's largest component, at home there, meet the others, and these meet each other: where few are
-    not at home, each text at home is sent once.
+    not at home, each text at home is sent once. With ``nearest``, a text's nearest one alone, so no more pairs than texts.
     """
     placed = cut(prints.join(comp, "fp").select("fp", "component", "copies"))
     texts = met.where("copies > 2").groupBy("band", "id").agg(F.min("fp").alias("fp"))
@@ -244,16 +247,20 @@ def across(met: DataFrame, marked: DataFrame, prints: DataFrame, comp: DataFrame
     sent = sent.unionByName(dealt(strays, "homes", 1, m, o, F.lit(-1))).unionByName(dealt(texts.where("at_home"), "strays", 1, o, m, F.lit(1)))
     groups = sent.groupBy("band", "kind", "i", "j").agg(F.collect_list("row").alias("rows")).where(F.size("rows") > 1)
 
-    @F.pandas_udf("array<struct<fp:bigint,id:bigint,hub_fp:bigint,hub_id:bigint>>")
+    @F.pandas_udf("array<struct<fp:bigint,id:bigint,hub_fp:bigint,hub_id:bigint,share:double>>")
     def opened(ids: pd.Series, fps: pd.Series, comps: pd.Series, sides: pd.Series, sketches: pd.Series) -> pd.Series:
         out = []
         for i, fp, c, side, raw in zip(ids, fps, comps, sides, sketches):
-            pairs = open_pairs(np.asarray(c), np.asarray(side), np.ascontiguousarray(raw, np.int64).view(np.uint8).reshape(-1, BINS), similarity - SLACK)
-            out.append([(int(fp[y]), int(i[y]), int(fp[x]), int(i[x])) for x, y in pairs])
+            pairs = open_pairs(np.asarray(c), np.asarray(side), np.ascontiguousarray(raw, np.int64).view(np.uint8).reshape(-1, BINS), similarity - SLACK, nearest)
+            out.append([(int(fp[y]), int(i[y]), int(fp[x]), int(i[x]), share) for x, y, share in pairs])
         return pd.Series(out, dtype=object)
 
     found = groups.select(F.explode(opened("rows.id", "rows.fp", "rows.comp", "rows.side", F.flatten("rows.sketch"))).alias("p"))
-    return cut(found.select("p.*").distinct())
+    found, pair = found.select("p.*"), ["fp", "id", "hub_fp", "hub_id"]
+    if nearest:
+        best = F.max(F.struct("share", "id", "fp"))["id"], F.max(F.struct("share", "id", "fp"))["fp"]
+        found = found.groupBy("hub_id", "hub_fp").agg(best[0].alias("id"), best[1].alias("fp"))
+    return cut(found.select(*pair).distinct())
 
 
 def near_groups(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
@@ -277,11 +284,12 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS,
         pairs = cut(met.where("fp <> hub.fp").select("fp", "id", F.col("hub.fp").alias("hub_fp"), F.col("hub.id").alias("hub_id")).distinct())
         found = found.unionByName(similar_links(pairs, docs, similarity))
     comp = cut(components(found)).select(F.col("id").alias("fp"), "component")
-    if similarity is not None:
-        rest = across(met, marked, prints, comp, similarity, block)
-        if rest is not None:
-            more = similar_links(rest, docs, similarity)
-            comp = cut(components(comp.select(F.col("fp").alias("a"), F.col("component").alias("b")).unionByName(more))).select(F.col("id").alias("fp"), "component")
+    for nearest in ([True] * ROUNDS + [False] if similarity is not None else []):
+        rest = across(met, marked, prints, comp, similarity, block, nearest)
+        if rest is None:
+            break
+        more = similar_links(rest, docs, similarity)
+        comp = cut(components(comp.select(F.col("fp").alias("a"), F.col("component").alias("b")).unionByName(more))).select(F.col("id").alias("fp"), "component")
     member = prints.join(comp, "fp")
     smallest = member.groupBy("component").agg(F.min("first").alias("smallest"), F.min("stays").alias("stay"))
     member = member.join(smallest, "component").select("fp", "smallest", "stay")
