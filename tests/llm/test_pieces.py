@@ -122,3 +122,16 @@ def test_digest_by_brute_force(spark, small, documents):
         assert (r["n_tokens"], r["n_byte_tokens"]) == (len(ids), sum(x in e.byte_ids for x in ids.tolist()))
         assert r["ids_sha256"] == hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
         assert r["decoded"] == (e.decode(ids) == text)
+
+
+def test_chunks_in_use_are_remembered(encoder, monkeypatch):
+    """Chunks that every batch has are segmented once, however many others come between."""
+    e, often = P.Encoder(P.read_model()), [f"often{k}x" for k in range(50)]
+    monkeypatch.setattr(P, "REMEMBERED", 100)
+    learnt, real = [], e._learn
+    monkeypatch.setattr(e, "_learn", lambda chunks: learnt.extend(chunks) or real(chunks))
+    for k in range(12):
+        text = " ".join(often + [f"r{k}y{j}é\U0001f600" for j in range(60)])
+        assert e.encode([text, ""])[0].tolist() == np.concatenate([encoder._one(c.encode()) for c in e.CHUNK.findall(P.MARK + text.replace(" ", P.MARK))]).tolist()
+        assert len(e.known) + len(e.older) < 4 * 100
+    assert all(learnt.count(P.MARK + c) == 1 for c in often)

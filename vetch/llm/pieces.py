@@ -30,7 +30,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks of up to so many bytes are segmented together, and remembered; longer ones are first cut where no piece can cross.
 WIDE = 64
-#: Chunks that a worker remembers.
+#: Chunks that a worker remembers of late; as many older ones stay until these are full again.
 REMEMBERED = 80_000
 
 
@@ -106,7 +106,9 @@ class Encoder:
         self.unknown = min(model["scores"].values()) - UNKNOWN_PENALTY
         self.surface = model["surface"]
         self.byte_ids = frozenset(self.bytes.tolist())
-        self.known: dict[str, np.ndarray] = {}
+        #: Ids of chunks as bytes of 32-bit numbers: what was met since the last change of generations, and in the one before it.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         names = [self.surface[i].decode() for i in model["scores"]]
         #: Neighbours within a piece: between two characters that are none, every segmentation has a boundary.
         self.inside = frozenset(n[k : k + 2] for n in names for k in range(len(n) - 1))
@@ -178,8 +180,20 @@ class Encoder:
             up = s > best[at, end]
             at, end = at[up], end[up]
             best[at, end], start[at, end], piece[at, end] = s[up], i, -1
-        starts, pieces = start.tolist(), piece.tolist()
-        return [self._back(c, starts[k], pieces[k]) for k, c in enumerate(chunks)]
+        # All ways back at once, a piece of each a step; from right to left they fill the rows of found.
+        rows, at, found, count = np.arange(n), size, [], np.zeros(n, np.int32)
+        while len(rows):
+            step = np.zeros(n, np.int32)
+            step[rows] = piece[rows, at]
+            found.append(step)
+            count[rows] += 1
+            at = start[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        found = np.stack(found[::-1], axis=1) if found else np.zeros((n, 0), np.int32)
+        out = [found[k, found.shape[1] - c :] for k, c in enumerate(count.tolist())]
+        for k in np.flatnonzero((found < 0).any(axis=1)).tolist():  # characters in bytes
+            out[k] = self._back(chunks[k], start[k].tolist(), piece[k].tolist())
+        return out
 
     def _cut(self, chunk: str) -> list[str]:
         """A long chunk in parts that are segmented one by one: cut between characters that no piece has next to each other."""
@@ -198,19 +212,21 @@ class Encoder:
         short = [x for x in coded if len(x[0]) <= WIDE]
         for k in range(0, len(short), 4096):
             part = short[k : k + 4096]
-            self.known.update(zip((c for _, c in part), self._many([b for b, _ in part])))
-        self.known.update((c, self._one(b)) for b, c in coded[len(short) :])
+            self.known.update((c, ids.tobytes()) for (_, c), ids in zip(part, self._many([b for b, _ in part])))
+        self.known.update((c, self._one(b).tobytes()) for b, c in coded[len(short) :])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known, none = self.known, np.zeros(0, np.int32)
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [c for c in {c for s in split for c in s} if c not in known]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*split).difference(known)
+        known.update((c, older[c]) for c in new.intersection(older))
+        new.difference_update(known)
         parts = {c: p for c in new if len(c) > WIDE // 4 and len(p := self._cut(c)) > 1}
-        self._learn([c for c in new if c not in parts] + [p for p in {p for x in parts.values() for p in x} if p not in known])
-        known.update((c, np.concatenate([known[p] for p in x])) for c, x in parts.items())
-        out = [np.concatenate([known[c] for c in s]) if s else none for s in split]
+        self._learn([c for c in new if c not in parts] + [p for p in {p for x in parts.values() for p in x} if p not in known and p not in new])
+        known.update((c, b"".join([known[p] for p in x])) for c, x in parts.items())
+        out = [np.frombuffer(b"".join(map(known.__getitem__, s)), np.int32) for s in split]
         for c in [*parts, *new, *(p for x in parts.values() for p in x)]:
             if len(c) > WIDE // 4 and len(c.encode("utf-8", "surrogatepass")) > WIDE:
                 known.pop(c, None)  # what is remembered is short
