@@ -90,3 +90,42 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count()
     assert {r["component_id"] for r in rows if r["fp"] == 0} == {3}
     assert S.near_groups(none).count() == 0
+
+
+def test_families_that_stay_apart_send_no_pairs(spark):
+    """Of texts that share keys but resemble each other too little, a task sends on links alone, none for a family without any."""
+    rng = np.random.default_rng(7)
+    for side in (np.zeros(60, np.int64), np.repeat([-1, 1], 30)):
+        sets = [np.sort(rng.choice(400, rng.integers(260, 340), replace=False)).astype(np.uint64) for _ in range(60)]
+        comp = rng.integers(0, 50, 60)
+        for similarity in (0.6, 0.65, 0.9):
+            met = [(k, x) for k in range(60) for x in range(60) if (side[k] < 0 < side[x]) or (side[k] == side[x] == 0 and k < x)]
+            linked = [(k, x) for k, x in met if len(np.intersect1d(sets[k], sets[x])) >= similarity * len(np.union1d(sets[k], sets[x]))]
+
+            def roots(pairs):
+                up = {x: int(comp[x]) for x in range(60)}
+                for k, x in pairs:
+                    old, new = up[x], up[k]
+                    up = {i: new if c == old else c for i, c in up.items()}
+                return {frozenset(i for i in up if up[i] == c) for c in up.values()}
+
+            got = S.joining(comp, side, sets, similarity)
+            assert roots(got) == roots(linked) and len(got) < 60 and len(got) == len(roots([])) - len(roots(got))
+            assert similarity < 0.9 or not got
+    common = [f"c{k}" for k in range(300)]
+    docs = []
+    for k in range(40):
+        w = list(common)
+        for at in rng.choice(300, 8, replace=False):
+            w[at] = f"t{k}x{at}"
+        docs.append((k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marked = df.select(S.F.xxhash64("text").alias("text_id"), S._marked(S.F.col("text"), S.WORDS).alias("m")).select("text_id", "m.*")
+    prints = marked.groupBy("fp").agg(S.F.count("*").alias("copies"))
+    none = spark.createDataFrame([], "fp long, component long")
+    met = S.shared_keys(marked)
+    for similarity in (0.7, 0.99):
+        more = S.across(met, prints, none, df, similarity, 1000)
+        grams = {S.fingerprint(t): set(S.shingle_hashes(t, 5).tolist()) for _, t in docs}
+        assert all(len(grams[r["a"]] & grams[r["b"]]) >= similarity * len(grams[r["a"]] | grams[r["b"]]) for r in more.collect())
+        assert similarity < 0.9 or not more.count()

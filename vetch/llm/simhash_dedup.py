@@ -11,8 +11,8 @@ links goes on. An anchor that more than BLOCK fingerprints reach is split into b
 group of its own: no task holds more than two blocks, and no comparison is left out.
 
 Texts that are similar by their shingles meet by band keys. Each is first held against its key's smallest text, and what that and the fingerprints
-link is one component from then on. In keys that still have texts of several components, each text next meets the one that its sketch
-is nearest to; then every pair across components is looked at, again in pairs of blocks: by sketches first, then on the texts.
+link is one component from then on. In keys that still have texts of several components, every pair across components is looked at, again in
+pairs of blocks: a task holds the shingles of two blocks and sends on the links of a forest, so no more rows than it has texts.
 """
 
 from __future__ import annotations
@@ -29,14 +29,12 @@ from .syncmers import _mixed
 WORDS, SEED, THRESHOLD = 4, 42, 4
 #: Shingles for similar texts, and the band keys by which these meet: each of the DEPTH smallest hashes under as many mixings.
 SIMILAR_WORDS, BANDS, DEPTH = 5, 10, 3
-#: Bins of a text's sketch, a byte each; pairs whose sketches agree in less than the similarity minus SLACK (four standard errors of 256 bins at 0.8) don't go on to their texts.
-BINS, SLACK = 256, 0.1
-#: Rounds in which texts meet the nearest of another component before all pairs across components are formed.
-ROUNDS = 1
 #: Ids of texts that are sent to every task (16 MB of them) rather than shuffled.
 SENT_IDS = 2_000_000
 #: Fingerprints of one anchor that are compared in one group.
 BLOCK = 2048
+#: Shingles of a block of texts that share a key, on average; a text with more is a block by itself.
+SHINGLES = 1 << 18
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
@@ -148,37 +146,41 @@ def jaccard(a: str, b: str, words: int) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def bin_sketch(h: np.ndarray) -> list[int]:
-    """The smallest hash of each of BINS equal ranges of mixed shingle hashes, as a byte (0: none), eight to a long."""
-    m = np.sort(_mixed(h ^ np.uint64(0xA24BAED4963EE407)))
-    begin = np.searchsorted(m, np.arange(BINS, dtype=np.uint64) * np.uint64(2**64 // BINS))
-    some = begin < np.append(begin[1:], len(m))
-    least = np.zeros(BINS, np.uint8)
-    least[some] = m[begin[some]] % np.uint64(255) + np.uint64(1)
-    return least.view(np.int64).tolist()
+def joining(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Places (k, l) of links that connect what the pairs of sets with that Jaccard similarity connect across components.
 
-
-def open_pairs(comp: np.ndarray, side: np.ndarray, sketches: np.ndarray, least: float, nearest: bool = False) -> list[tuple[int, int, float]]:
-    """Places (k, l) of texts of different components whose sketches agree in at least that share of the bins that either fills, and the share.
-    Those with side -1 meet those with 1; those with 0 meet each other. With ``nearest``, each k meets only the one with the largest share."""
-    left, right, found = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0), []
-    for k in left.tolist():
-        others = right[(comp[right] != comp[k]) & ((side[k] != 0) | (right > k))]
-        if len(others):
-            a, b = sketches[k], sketches[others]
-            share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
-            near = [int(share.argmax())] if nearest else np.flatnonzero(share >= least).tolist()
-            found += [(k, int(others[x]), float(share[x])) for x in near if share[x] >= least]
-    return found
+    Those with side -1 meet those with 1; those with 0 meet each other. Sets hold each shingle once; an inverted index counts what a set
+    has in common with all others at a time.
+    """
+    size = np.array([len(x) for x in sets])
+    _, number, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(number, kind="stable")]
+    end = np.cumsum(holders)
+    begin, at = end - holders, np.cumsum(size) - size
+    root = np.unique(comp, return_inverse=True)[1]
+    places, links = np.arange(len(sets)), []
+    for k in np.flatnonzero(side <= 0).tolist():
+        others = (root != root[k]) & ((side > 0) if side[k] else (places > k))
+        if not others.any():
+            continue
+        mine = number[at[k] : at[k] + size[k]]
+        mine = mine[holders[mine] > 1]
+        held = [owner[a:b] for a, b in zip(begin[mine].tolist(), end[mine].tolist())]
+        both = np.bincount(np.concatenate(held), minlength=len(sets)) if held else np.zeros(len(sets), np.int64)
+        for x in np.flatnonzero(others & (both / np.maximum(1, size[k] + size - both) >= similarity)).tolist():
+            if root[x] != root[k]:
+                links.append((k, x))
+                root[root == root[x]] = root[k]
+    return links
 
 
 def _marked(text: Column, words: int) -> Column:
-    """The fingerprint of a text, its band keys and its sketch, struct<fp, bands, sketch>."""
+    """The fingerprint of a text and its band keys, struct<fp, bands>."""
 
-    @F.pandas_udf("fp long, bands array<long>, sketch array<long>")
+    @F.pandas_udf("fp long, bands array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         similar = [shingle_hashes(t, SIMILAR_WORDS) for t in texts]
-        return pd.DataFrame({"fp": [fingerprint(t, words) for t in texts], "bands": [band_keys(h) for h in similar], "sketch": [bin_sketch(h) for h in similar]})
+        return pd.DataFrame({"fp": [fingerprint(t, words) for t in texts], "bands": [band_keys(h) for h in similar]})
 
     return of(text)
 
@@ -216,51 +218,58 @@ def similar_links(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataF
     return both.where(alike("text", "hub_text")).select(F.col("fp").alias("a"), F.col("hub_fp").alias("b"))
 
 
-def across(met: DataFrame, marked: DataFrame, prints: DataFrame, comp: DataFrame, similarity: float, block: int, nearest: bool) -> DataFrame | None:
-    """Pairs (fp, id, hub_fp, hub_id) of texts that share a key, lie in different components (fp, component) and whose sketches leave the
-    similarity open; None if no key has texts of several components. Pairs with a key's smallest text are left out, as they have been looked at.
+def _shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, n, shingles) for the texts of docs with one of the ids: their different shingles' hashes, eight bytes each, and how many."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, SIMILAR_WORDS)).tobytes() for t in texts], dtype=object)
+
+    texts = _among(docs.select(text_of().alias("text")).withColumn("id", F.xxhash64("text")), ids).groupBy("id").agg(F.min("text").alias("text"))
+    return cut(texts.select("id", of("text").alias("shingles"))).withColumn("n", F.octet_length("shingles") / 8)
+
+
+def across(met: DataFrame, prints: DataFrame, comp: DataFrame, docs: DataFrame, similarity: float, block: int) -> DataFrame | None:
+    """Links (a, b) among the fingerprints of texts that share a key and lie in different components (fp, component): enough to connect all that
+    pairs of them with that Jaccard similarity connect; None if no key has texts of several components. Pairs with a key's smallest text have been looked at.
 
     The texts of a key's largest component, at home there, meet the others, and these meet each other: where few are
-    not at home, each text at home is sent once. With ``nearest``, a text's nearest one alone, so no more pairs than texts.
+    not at home, each text at home is sent once. ``block`` is in shingles.
     """
     placed = cut(prints.join(comp, "fp").select("fp", "component", "copies"))
     texts = met.where("copies > 2").groupBy("band", "id").agg(F.min("fp").alias("fp"))
     texts = cut(skew_left_join(texts, placed, ["fp"], "copies", "id").select("band", "id", "fp", F.coalesce("component", "fp").alias("comp")))
     sizes = texts.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    keys = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("home"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    keys = cut(keys.select("band", F.col("home.comp").alias("home"), F.ceil(F.col("home.n") / block).alias("homes"), F.ceil((F.col("n") - F.col("home.n")) / block).alias("strays"), "n"))
+    keys = cut(sizes.groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("home"), F.sum("n").alias("copies"), F.count("*").alias("comps")).where("comps > 1").drop("comps"))
     if keys.isEmpty():
         return None
-    texts = cut(skew_left_join(texts, keys, ["band"], "n", "id").where("home is not null").select("band", "id", "fp", "comp", "home", "homes", "strays"))
-    sketches = _among(marked.select(F.col("text_id").alias("id"), "sketch"), texts.select("id")).groupBy("id").agg(F.min("sketch").alias("sketch"))
-    texts = texts.join(sketches, "id").withColumn("at_home", F.col("comp") == F.col("home"))
-    mine = F.pmod(F.xxhash64("id"), F.when(F.col("at_home"), F.col("homes")).otherwise(F.col("strays")))
-    texts = texts.withColumn("mine", mine)
+    texts = cut(skew_left_join(texts, keys, ["band"], "copies", "id").where("home is not null").select("band", "id", "fp", "comp", (F.col("comp") == F.col("home")).alias("at_home")))
+    sets = _shingle_sets(texts.select("id"), docs)
+    blocks = lambda at_home: F.ceil(F.sum(F.when(F.col("at_home") == at_home, F.col("n"))) / block)
+    sized = texts.join(sets.select("id", "n"), "id").groupBy("band").agg(blocks(True).alias("homes"), blocks(False).alias("strays"), F.count("*").alias("copies"))
+    texts = skew_left_join(texts, cut(sized), ["band"], "copies", "id").select("band", "id", "fp", "comp", "at_home", "homes", "strays")
+    texts = texts.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("at_home"), F.col("homes")).otherwise(F.col("strays")))).join(sets.select("id", "shingles"), "id")
 
     def dealt(rows: DataFrame, to: str, kind: int, i: Column, j: Column, side: Column) -> DataFrame:
         """The rows, once for each block of those they meet."""
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(to) - 1)))
-        return rows.select("band", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.struct("id", "fp", "comp", side.cast("long").alias("side"), "sketch").alias("row"))
+        return rows.select("band", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.struct("fp", "comp", side.cast("long").alias("side"), "shingles").alias("row"))
 
     m, o, strays = F.col("mine"), F.col("other"), texts.where("not at_home")
     sent = dealt(strays, "strays", 0, F.least(m, o), F.greatest(m, o), F.signum(m - o))
     sent = sent.unionByName(dealt(strays, "homes", 1, m, o, F.lit(-1))).unionByName(dealt(texts.where("at_home"), "strays", 1, o, m, F.lit(1)))
     groups = sent.groupBy("band", "kind", "i", "j").agg(F.collect_list("row").alias("rows")).where(F.size("rows") > 1)
 
-    @F.pandas_udf("array<struct<fp:bigint,id:bigint,hub_fp:bigint,hub_id:bigint,share:double>>")
-    def opened(ids: pd.Series, fps: pd.Series, comps: pd.Series, sides: pd.Series, sketches: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
+    def linked(fps: pd.Series, comps: pd.Series, sides: pd.Series, shingles: pd.Series) -> pd.Series:
         out = []
-        for i, fp, c, side, raw in zip(ids, fps, comps, sides, sketches):
-            pairs = open_pairs(np.asarray(c), np.asarray(side), np.ascontiguousarray(raw, np.int64).view(np.uint8).reshape(-1, BINS), similarity - SLACK, nearest)
-            out.append([(int(fp[y]), int(i[y]), int(fp[x]), int(i[x]), share) for x, y, share in pairs])
+        for fp, c, side, raw in zip(fps, comps, sides, shingles):
+            pairs = joining(np.asarray(c), np.asarray(side), [np.frombuffer(x, np.uint64) for x in raw], similarity)
+            out.append([(int(fp[x]), int(fp[y])) for x, y in pairs])
         return pd.Series(out, dtype=object)
 
-    found = groups.select(F.explode(opened("rows.id", "rows.fp", "rows.comp", "rows.side", F.flatten("rows.sketch"))).alias("p"))
-    found, pair = found.select("p.*"), ["fp", "id", "hub_fp", "hub_id"]
-    if nearest:
-        best = F.max(F.struct("share", "id", "fp"))["id"], F.max(F.struct("share", "id", "fp"))["fp"]
-        found = found.groupBy("hub_id", "hub_fp").agg(best[0].alias("id"), best[1].alias("fp"))
-    return cut(found.select(*pair).distinct())
+    found = groups.select(F.explode(linked("rows.fp", "rows.comp", "rows.side", "rows.shingles")).alias("l"))
+    return cut(found.select("l.a", "l.b").distinct())
 
 
 def near_groups(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
@@ -271,8 +280,7 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS,
     as often as in docs. Rows without a doc_id join groups but name none: a group of such rows alone has a null component_id.
     ``kept`` marks what stays of a group: the rows with its smallest doc_id and, of these, the smallest text_id; and every row without a doc_id.
     Of docs nothing but doc_id and text is used; an empty table gives no rows. With ``similarity``, texts whose SIMILAR_WORDS-word
-    shingles have that Jaccard similarity are linked too, as far as they
-    share one of BANDS keys (at 0.8: 999 of 1000 pairs) and their sketches don't tell them apart (one in 10,000).
+    shingles have that Jaccard similarity are linked too, as far as they share one of BANDS keys (at 0.8: 999 of 1000 pairs).
     """
     each = docs.select("doc_id", F.xxhash64(text_of()).alias("text_id"), (fingerprints(text_of(), words).alias("fp") if similarity is None else _marked(text_of(), words).alias("m")))
     marked = cut(each if similarity is None else each.select("doc_id", "text_id", "m.*"))
@@ -284,11 +292,8 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS,
         pairs = cut(met.where("fp <> hub.fp").select("fp", "id", F.col("hub.fp").alias("hub_fp"), F.col("hub.id").alias("hub_id")).distinct())
         found = found.unionByName(similar_links(pairs, docs, similarity))
     comp = cut(components(found)).select(F.col("id").alias("fp"), "component")
-    for nearest in ([True] * ROUNDS + [False] if similarity is not None else []):
-        rest = across(met, marked, prints, comp, similarity, block, nearest)
-        if rest is None:
-            break
-        more = similar_links(rest, docs, similarity)
+    more = across(met, prints, comp, docs, similarity, block * (SHINGLES // BLOCK)) if similarity is not None else None
+    if more is not None:
         comp = cut(components(comp.select(F.col("fp").alias("a"), F.col("component").alias("b")).unionByName(more))).select(F.col("id").alias("fp"), "component")
     member = prints.join(comp, "fp")
     smallest = member.groupBy("component").agg(F.min("first").alias("smallest"), F.min("stays").alias("stay"))
