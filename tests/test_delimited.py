@@ -50,3 +50,18 @@ def test_files_of_one_name_stay_apart(spark, tmp_path):
     assert {r["name"] for r in rows} == {"a/x+1.md", "b c/x+1.md", "a/y.CSV", "b c/y.CSV", "none.tsv"}
     assert sorted((r["cell"], r["text"]) for r in rows if r["name"] == "b c/y.CSV") == [("A1", "a"), ("A2", "1"), ("B1", "b"), ("B2", "2")]
     assert [r["kind"] for r in rows if r["name"] == "none.tsv"] == [None] and len({r["source_id"] for r in rows}) == 5
+
+
+def test_quoted_records_stay_in_spark(spark):
+    """No record whose quotes stand where the format has them goes through the csv module; all cells are the module's."""
+    regular = ['1,en,"said ""so"", she\nand\n"', '"a","",b', '"""x"""', '"",', ',"a,b",c,', '"p\r\nq",r', '"x"']
+    astray = ['5" pipe,c', '"a"b,c', 'a,"never closed', '"a" ,b', 'q"",r', '"\x01",b', '"\x02"']
+    rng = random.Random(8)
+    mixed = ["".join(rng.choice('ab,,""') for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    rows = [("p", k, r) for k, r in enumerate(regular + astray + mixed, 1)]
+    got = {(r["row"], r["cell"]): r["value"] for r in D.cells(spark.createDataFrame(rows, "path string, row long, record string")).collect()}
+    want = {(k, cell_name(k, c)): v for _, k, r in rows for c, v in enumerate(next(csv.reader(io.StringIO(r, newline="\n"))), 1)}
+    assert got == want
+    regular = spark.createDataFrame([(r, r in regular) for r in regular + astray], "record string, regular boolean")
+    parted = regular.select("regular", (~D._parted(D.F.col("record"), ",").contains(D.ASTRAY)).alias("stays"), "record").collect()
+    assert all(r["stays"] for r in parted if r["regular"]) and not any(r["stays"] for r in parted if r["record"] in ('5" pipe,c', '"a"b,c', '"a" ,b', 'q"",r'))

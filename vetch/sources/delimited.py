@@ -86,15 +86,33 @@ def _letters(column: Column) -> Column:
     return F.concat(F.when(three, letter(third)).otherwise(""), F.when(two, letter(second)).otherwise(""), letter(column))
 
 
+#: Characters that stand for a mark between cells and for a quote out of place; a record that has them itself is read by the csv module.
+PARTED, ASTRAY = "\x01", "\x02"
+
+
+def _parted(record: Column, mark: str) -> Column:
+    """The record with PARTED around its cells and their quotes resolved; with ASTRAY where a quote stands inside of an unquoted cell or after a
+    quoted one has ended. Between marks put around the record, each piece outside of quotes is empty, for a quote of the cell, or goes from mark to mark."""
+    outside = lambda p: F.when(p == "", '"').when(p.startswith(mark) & p.endswith(mark) & ~p.rlike("[\r\n]"), F.translate(p, mark, PARTED)).otherwise(ASTRAY)
+    pieces = F.split(F.concat(F.lit(mark), record, F.lit(mark)), '"', -1)
+    return F.array_join(F.transform(pieces, lambda p, k: F.when(k % 2 == 1, p).otherwise(outside(p))), "")
+
+
 def cells(records: DataFrame, mark: str = ",") -> DataFrame:
-    """(path, row, cell, value) from records (path, row, record); cells are named as in a sheet, an empty record has none."""
+    """(path, row, cell, value) from records (path, row, record); cells are named as in a sheet, an empty record has none.
+
+    Records whose quotes stand where the format has them stay in Spark; only the others go through the csv module.
+    """
 
     @F.pandas_udf("array<string>")
     def quoted(record: pd.Series) -> pd.Series:
         csv.field_size_limit(2**31 - 1)
         return record.map(lambda r: None if r is None else next(csv.reader(io.StringIO(r, newline="\n"), delimiter=mark), []))
 
-    r = records.where("record <> ''").withColumn("has", F.col("record").contains('"'))
-    fields = F.when(F.col("has"), quoted(F.when(F.col("has"), F.col("record")))).otherwise(F.split("record", F.lit(mark), -1))
+    r = records.where("record <> ''").withColumn("has", F.col("record").contains('"')).withColumn("parted", F.when(F.col("has"), _parted(F.col("record"), mark)))
+    whole = F.length(F.regexp_replace("record", '[^"]+', "")) % 2 == 0
+    r = r.withColumn("odd", F.col("has") & ~(whole & ~F.col("parted").contains(ASTRAY) & ~F.col("record").rlike(f"[{PARTED}{ASTRAY}]")))
+    inner = F.split(F.substring(F.col("parted"), F.lit(2), F.length("parted") - 2), PARTED, -1)
+    fields = F.when(F.col("odd"), quoted(F.when(F.col("odd"), F.col("record")))).when(F.col("has"), inner).otherwise(F.split("record", F.lit(mark), -1))
     out = r.select("path", "row", F.posexplode(fields).alias("c", "value"))
     return out.select("path", "row", F.concat(_letters(F.col("c")), F.col("row").cast("string")).alias("cell"), "value")
