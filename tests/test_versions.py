@@ -34,3 +34,12 @@ def test_kept_moved_changed_and_new(spark):
     approved = spark.createDataFrame([("x.md_1",), ("x.md_2",), ("x.md_3",), ("gone.md_1",)], "evidence_id string")
     assert {r["evidence_id"]: r["void"] for r in V.approvals(changes, old, approved).collect()} == {"x.md_1": False, "x.md_2": False, "x.md_3": True, "gone.md_1": True}
     assert V.aligned(V.paired(fo.limit(0), fn.limit(0), old.limit(0), new.limit(0)), old.limit(0), new.limit(0)).count() == 0
+
+
+def test_versions_are_read_once(spark, small):
+    """What compares two versions reads their passages from the shared folder, not from the documents over again."""
+    from vetch.plans import packet_queries as Q
+
+    for side in Q._two_versions(spark, small)[2:]:
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Window" not in plan and side.count()

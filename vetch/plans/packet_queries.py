@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.shared import cut
 from ..operators import amounts as A
 from ..operators import claims as C
 from ..operators import conflicts as K
@@ -467,7 +468,7 @@ def _two_versions(spark, sf):
     more = old.where("m % 9 = 4").select("later", F.expr("2 * place + 1").alias("at"), F.expr("concat('Added after line ', place)").alias("line"))
     new = same.unionByName(more).withColumn("place", F.row_number().over(Window.partitionBy("later").orderBy("at")).cast("long"))
     files = lambda p: p.groupBy("name").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"]), ""), 256).alias("sha256"))
-    sides = [x.withColumn("hash", F.sha2("line", 256)).withColumn("evidence_id", F.concat_ws("_", "name", "place")).select("name", "place", "hash", "evidence_id") for x in (old, new.withColumnRenamed("later", "name"))]
+    sides = [cut(x.withColumn("hash", F.sha2("line", 256)).withColumn("evidence_id", F.concat_ws("_", "name", "place")).select("name", "place", "hash", "evidence_id")) for x in (old, new.withColumnRenamed("later", "name"))]  # read by many plans
     return (*(files(x) for x in sides), *sides)
 
 
