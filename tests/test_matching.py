@@ -75,3 +75,12 @@ def test_contradicted_amounts(spark):
     got = A.contradicted(make(claims, "claim_id string, text string"), make(evidence, "evidence_id string, text string"), make(pairs, "claim_id string, evidence_id string, term_overlap long"))
     assert [tuple(r) for r in got.collect()] == [("c1", "e1", "$36100000000", "$40900000000", "outdated")]
     assert "later says $40900000000" in N.number_findings(got).first()["issue"]
+
+
+def test_pairs_that_meet_once_are_in_no_grouping(spark):
+    rows = [("a", ["x"]), ("b", ["x", "y", "y", None]), ("c", ["x", "y", "z"]), ("d", [None, "z", "z"]), ("e", []), ("f", None), ("g", [None])]
+    a, b = (spark.createDataFrame(rows, f"{i} string, e array<string>") for i in ("i", "j"))
+    got, want = (sorted(M.overlap(a, b, "i", "j", "e", "n", unique=u).collect()) for u in (True, False))
+    assert got == want and len(got) == 12
+    groups = lambda u: M.overlap(a.where("i in ('a', 'd')"), b, "i", "j", "e", "n", unique=u)
+    assert sorted(groups(True).collect()) == sorted(groups(False).collect())

@@ -23,13 +23,21 @@ def exploded(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.explode_outer(column)).where(F.col(column).isNotNull())
 
 
-def overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, column: str, name: str) -> DataFrame:
+def overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, column: str, name: str, unique: bool = False) -> DataFrame:
     """(left_id, right_id, name): how many elements of the arrays in ``column`` two rows share, where they share any.
 
-    An inverted index: both sides are exploded and joined on the element.
+    An inverted index: both sides are exploded and joined on the element. With ``unique``, no id has two rows; then a pair of which either has one
+    element alone is met once at most, and is in no grouping.
     """
-    a, b = (exploded(df.select(i, F.array_distinct(column).alias("_e")), "_e") for df, i in ((left, left_id), (right, right_id)))
-    return a.join(b, "_e").groupBy(left_id, right_id).agg(F.count("*").alias(name))
+    sides = [df.select(i, F.array_distinct(column).alias("_e")) for df, i in ((left, left_id), (right, right_id))]
+    met = lambda a, b: exploded(a, "_e").join(exploded(b, "_e"), "_e")
+    counted = lambda rows: rows.groupBy(left_id, right_id).agg(F.count("*").alias(name))
+    if not unique:
+        return counted(met(*sides))
+    size = F.size(F.array_compact("_e"))
+    (one, many), (right_one, right_many) = ((x.where(size == 1), x.where(size > 1)) for x in sides)
+    once = met(one, sides[1]).unionByName(met(many, right_one)).select(left_id, right_id, F.lit(1).cast("long").alias(name))
+    return once.unionByName(counted(met(many, right_many)))
 
 
 def status_weight(status: Column) -> Column:

@@ -305,7 +305,7 @@ def balance_overlap(spark, sf):
     dollars = lambda c: F.abs(F.col(c).cast("long"))
     a = _t(spark, sf, "customer").select("c_custkey", X.numbers(F.concat(F.lit("A balance of $"), F.format_number(dollars("c_acctbal"), 0), F.lit(" on 2020-01-01"))).alias("numbers"))
     b = _t(spark, sf, "supplier").select("s_suppkey", X.numbers(F.concat(F.lit("It came to "), dollars("s_acctbal").cast("string"), F.lit(".00 dollars [note 7]"))).alias("numbers"))
-    return M.overlap(a, b, "c_custkey", "s_suppkey", "numbers", "number_overlap")
+    return M.overlap(a, b, "c_custkey", "s_suppkey", "numbers", "number_overlap", unique=True)
 
 
 def _part_pages(spark, sf):
