@@ -4,6 +4,7 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from vetch.operators import inspection as I
 from vetch.operators import workbook as W
@@ -131,3 +132,17 @@ def test_a_column_of_a_million_cells(spark):
     near = W.nearest_formulas(cells.where("formula is null"), cells.where("formula is not null"))
     wrong = near.where("suggested_input <> concat('f', cast(if(row % 10 <= 5, row - row % 10, least(row - row % 10 + 10, 999990)) as string))")
     assert near.count() == 900_000 and wrong.count() == 0
+
+
+def test_tasks_of_repairs_grow_with_the_cells(spark, monkeypatch):
+    """Four times the cells are looked through by more tasks, no task with more of them, and bands dealt out anew give the same."""
+    cells = spark.range(4000).selectExpr("concat('s', id % 2) as source_id", "'b' as name", "'m' as sheet", "'xlsx' as ext", "'number' as kind", "cast(id as int) as ordinal", "concat('A', id) as cell", "'1' as text", "if(id % 10 < 6, concat('f', id), null) as formula")
+    monkeypatch.setattr(W, "BAND", 64)
+    monkeypatch.setattr(W, "TASK_CELLS", 100)
+    most = []
+    for n in (1000, 4000):
+        found = W.repair_packet(cells.where(f"ordinal < {n}"))
+        most.append(found.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("*")).first())
+    assert most[1][1] > 2 * most[0][1] and most[1][0] <= 2 * most[0][0]
+    want = W.nearest_formulas(W.hardcodes(cells), W.formulas(cells))
+    assert {(r["cell"], r["suggested_input"]) for r in found.collect()} == {(r["cell"], r["suggested_input"]) for r in want.collect()} and found.count() == 1600

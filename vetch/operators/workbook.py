@@ -10,6 +10,8 @@ FORMULA_SHARE = 0.5
 REPEATED = 3
 #: Rows of a column that are looked through in one group.
 BAND = 1 << 16
+#: Cells of a packet to a task that looks for formulas.
+TASK_CELLS = 1 << 18
 # What to do about each kind of calculation risk.
 REPAIRS = {"hardcode": ["Find the input the number stands for.", "Replace the number by a formula on that input.", "Recalculate and compare with the number."]}
 
@@ -58,27 +60,30 @@ def repeated_formulas(facts: DataFrame) -> DataFrame:
     return f.groupBy("source_id", "sheet", "formula").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("cell")).alias("cells")).where(F.col("n") >= REPEATED)
 
 
-def nearest_formulas(numbers: DataFrame, formulas: DataFrame, band: int = BAND) -> DataFrame:
+def nearest_formulas(numbers: DataFrame, formulas: DataFrame, band: int = BAND, tasks: int | None = None) -> DataFrame:
     """``numbers`` (source_id, sheet, column, row, ...) with ``suggested_input``: the formula of the nearest row of the column; of two rows
     as near the upper one, of several formulas in a row the least. Numbers of columns without a formula are left out.
 
     A column is cut into bands of rows. In a band, the formulas before and after a number are carried over it by windows; what
     lies beyond the band's ends comes with the last formula before it and the first after it, one row a band. So no number meets more
-    than four formulas, and a long column is as many groups as it has bands.
+    than four formulas, and a long column is as many groups as it has bands. The bands are dealt out to ``tasks``.
     """
     key = ["source_id", "sheet", "column"]
     at = lambda df: df.withColumn("band", F.floor(F.col("row") / band))
     found = F.struct("row", "formula")
     f = at(formulas.select(*key, "row", "formula"))
-    # Rows of both in one table; a formula's row is itself a candidate for numbers of its row.
-    rows = at(numbers.drop("formula")).withColumn("formula", F.lit(None).cast("string")).withColumn("f", F.lit(None).cast(f.select(found.alias("x")).schema["x"].dataType))
-    rows = rows.unionByName(f.withColumn("f", found), allowMissingColumns=True)
-    low = F.min(F.when(F.col("f").isNotNull(), F.struct((-F.col("row")).alias("up"), "formula")))
-    bands = rows.groupBy(*key, "band").agg(low.alias("low"), F.min("f").alias("first"))
+    dealt = lambda df: df.repartition(tasks, *key, "band") if tasks else df
+    # Smallest structs are found by sorting, so the formulas are dealt out first; what numbers add are bands without a formula.
+    low = F.min(F.struct((-F.col("row")).alias("up"), "formula"))
+    held = dealt(f).groupBy(*key, "band").agg(low.alias("low"), F.min(found).alias("first"))
+    held = held.select(*key, "band", F.struct((-F.col("low.up")).alias("row"), F.col("low.formula").alias("formula")).alias("last"), "first")
+    bands = held.unionByName(at(numbers.select(*key, "row")).select(*key, "band").distinct(), allowMissingColumns=True)
+    bands = bands.groupBy(*key, "band").agg(F.max("last").alias("last"), F.max("first").alias("first"))
     along = lambda order: Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.col("low").isNotNull(), F.struct((-F.col("low.up")).alias("row"), F.col("low.formula").alias("formula")))
-    bands = bands.withColumn("last", last)
     edges = bands.select(*key, "band", F.last("last", True).over(along("band")).alias("above"), F.last("first", True).over(along(F.desc("band"))).alias("below"))
+    # Rows of both in one table; a formula's row is itself a candidate for numbers of its row.
+    rows = at(numbers.drop("formula")).withColumn("formula", F.lit(None).cast("string")).withColumn("f", F.lit(None).cast(f.select(found.alias("x")).schema["x"].dataType))
+    rows = dealt(rows.unionByName(f.withColumn("f", found), allowMissingColumns=True))
     # Both windows run from their beginning to the row, which Spark does in one pass; the second one runs upwards.
     inside = lambda *order: Window.partitionBy(*key, "band").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.last("f", True).over(inside("row", F.col("f").isNull(), F.desc("formula")))
@@ -90,6 +95,12 @@ def nearest_formulas(numbers: DataFrame, formulas: DataFrame, band: int = BAND)
 
 
 def repair_packet(facts: DataFrame) -> DataFrame:
-    """For each hardcode a checklist and a suggested input: the formula of the nearest row in the same column."""
-    near = nearest_formulas(hardcodes(facts), formulas(facts)).select("source_id", "name", "sheet", "cell", "value", "suggested_input").distinct()
+    """For each hardcode a checklist and a suggested input: the formula of the nearest row in the same column.
+
+    The tasks grow with the cells, so what one of them sorts doesn't.
+    """
+    found = ["source_id", "name", "sheet", "cell", "value", "suggested_input"]
+    tasks = max(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_cells(facts).count() // TASK_CELLS))
+    numbers = hardcodes(facts).select("source_id", "name", "sheet", "column", "row", "cell", "value")
+    near = nearest_formulas(numbers, formulas(facts), tasks=tasks).select(*found).repartition(tasks, "source_id", "sheet", "cell").distinct()
     return near.select("source_id", "name", "sheet", "cell", "value", F.array(*[F.lit(x) for x in REPAIRS["hardcode"]]).alias("checklist"), "suggested_input")
