@@ -84,3 +84,11 @@ def test_pairs_that_meet_once_are_in_no_grouping(spark):
     assert got == want and len(got) == 12
     groups = lambda u: M.overlap(a.where("i in ('a', 'd')"), b, "i", "j", "e", "n", unique=u)
     assert sorted(groups(True).collect()) == sorted(groups(False).collect())
+
+
+def test_elements_are_told_apart_by_their_place(spark):
+    """Terms and numbers are strings in one column, not structs; null ones, repeated ones and the same string as both are kept."""
+    rows = [(1, ["x", "7", "x", None], ["7", "8", "8"]), (2, None, ["1"]), (3, [], None), (4, ["y"], [])]
+    got = M._elements(spark.createDataFrame(rows, "k long, terms array<string>, numbers array<string>"), "k")
+    assert got.columns == ["k", "term", "e"] and got.schema["e"].dataType.simpleString() == "string"
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, True, "x"), (1, True, "7"), (1, True, None), (1, False, "7"), (1, False, "8"), (2, False, "1"), (4, True, "y")]))

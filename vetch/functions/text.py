@@ -18,8 +18,8 @@ NUMBER = r"\$?([0-9][0-9,]*(?:\.[0-9]+)?)(?: ?(%|percent|thousand|million|billio
 
 def terms(text: Column) -> Column:
     """Different terms of a text: runs of letters and digits in lower case, of three or more, without stop words. Null has none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_except(F.filter(F.array_distinct(found), lambda t: F.length(t) >= LEAST_TERM), F.array(*[F.lit(w) for w in STOPWORDS]))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[\p{{L}}\p{{N}}]{{{LEAST_TERM},}}"), F.lit(0))
+    return F.array_except(found, F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
 def without_dates(text: Column) -> Column:

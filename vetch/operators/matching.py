@@ -60,23 +60,32 @@ def confidence(shared: Column, n_claim: Column, n_evidence: Column, shared_numbe
 REACH, HOT = 32, 1000
 
 
-def _elements() -> Column:
-    """The row's different terms and numbers, marked as what they are, in one array. Null arrays have none."""
+def _elements(df: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, term, e): the row's different terms and numbers, with whether they are terms. Null arrays have none.
+
+    What an element is follows from its place in one plain array of both; an array of structs costs about as much again as finding the terms.
+    """
+    terms, numbers = (F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))) for c in ("terms", "numbers"))
+    rows = df.select(*keep, F.size(terms).alias("_n"), F.concat(terms, numbers).alias("_all"))
+    return rows.select(*keep, "_n", F.posexplode_outer("_all").alias("_at", "e")).where("_at is not null").select(*keep, (F.col("_at") < F.col("_n")).alias("term"), "e")
 
-    def marked(column: str, term: bool) -> Column:
-        found = F.array_distinct(F.coalesce(F.col(column), F.array().cast("array<string>")))
-        return F.transform(found, lambda x: F.struct(F.lit(term).alias("term"), x.alias("e")))
 
-    return F.concat(marked("terms", True), marked("numbers", False))
+def _same(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+    """left and right joined where they have the same element, and the same in the columns ``on``."""
+    right = right.withColumnsRenamed({c: f"_{c}" for c in ("term", "e", *on)})
+    same = F.col("e").eqNullSafe(F.col("_e"))
+    for c in ("term", *on):
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return left.join(right, same).drop("_term", "_e", *[f"_{c}" for c in on])
 
 
 def by_rarity(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Each claim (claim_id, claim_source, n_claim, n_numbers) with those of its terms and numbers that some evidence has, as arrays of (df, e), the
     rare ones first; df is in how much evidence."""
-    frequency = exploded(evidence.select(_elements().alias("_e")), "_e").groupBy("_e").agg(F.count("*").alias("df"))
-    a = claims.select("claim_id", F.col("source_id").alias("claim_source"), F.size("terms").alias("n_claim"), F.size("numbers").alias("n_numbers"), _elements().alias("_e"))
-    met = exploded(a, "_e").join(frequency, "_e")
-    of = lambda term: F.sort_array(F.collect_list(F.when(F.col("_e.term") == term, F.struct("df", F.col("_e.e").alias("e")))))
+    frequency = _elements(evidence).groupBy("term", "e").agg(F.count("*").alias("df"))
+    a = claims.select("claim_id", F.col("source_id").alias("claim_source"), F.size("terms").alias("n_claim"), F.size("numbers").alias("n_numbers"), "terms", "numbers")
+    met = _same(_elements(a, "claim_id", "claim_source", "n_claim", "n_numbers"), frequency)
+    of = lambda term: F.sort_array(F.collect_list(F.when(F.col("term") == term, F.struct("df", "e"))))
     return met.groupBy("claim_id", "claim_source", "n_claim", "n_numbers").agg(of(True).alias("terms"), of(False).alias("numbers"))
 
 
@@ -85,12 +94,11 @@ def _met(wanted: DataFrame, evidence: DataFrame, on: list[str]) -> DataFrame:
 
     ``on`` has standing where a claim wants different numbers of terms for evidence of different standing.
     """
-    marked = lambda c, term: F.transform(c, lambda x: F.struct(F.lit(term).alias("term"), x["e"].alias("e")))
-    cold = F.filter("numbers", lambda x: x["df"] <= HOT)
-    wanted = wanted.select("claim_id", "claim_source", *on, F.explode(F.concat(marked(F.slice("terms", 1, F.col("first")), True), marked(cold, False))).alias("_e"))
-    held = exploded(evidence.select("evidence_id", "source_id", *on, _elements().alias("_e")), "_e")
-    pairs = wanted.join(held, ["_e", *on]).where("claim_source <> source_id")
-    return pairs.groupBy("claim_id", "evidence_id", *on).agg(F.count_if(F.col("_e.term")).alias("met"), F.count_if(~F.col("_e.term")).alias("met_numbers"))
+    plain = lambda c: F.transform(c, lambda x: x["e"])
+    rare, cold = F.slice("terms", 1, F.col("first")), F.filter("numbers", lambda x: x["df"] <= HOT)
+    wanted = _elements(wanted.select("claim_id", "claim_source", *on, plain(rare).alias("terms"), plain(cold).alias("numbers")), "claim_id", "claim_source", *on)
+    pairs = _same(wanted, _elements(evidence, "evidence_id", "source_id", *on), *on).where("claim_source <> source_id")
+    return pairs.groupBy("claim_id", "evidence_id", *on).agg(F.count_if(F.col("term")).alias("met"), F.count_if(~F.col("term")).alias("met_numbers"))
 
 
 def suggest(claims: DataFrame, evidence: DataFrame, k: int = TOP, reach: int = REACH) -> DataFrame:
